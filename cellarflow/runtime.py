@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 32 << 20
+BROADCAST_LIMIT_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
