@@ -19,6 +19,8 @@ BLOCK = 512
 STRIPE_BASKETS = 8192
 #: Pairs held before a task sends its merged stripes on.
 FLUSH_PAIRS = 1_000_000
+#: Bytes of a row of the code table in a broadcast, rounded up.
+CODE_BYTES = 200
 _STRIPE = "a bigint, bucket int, b array<bigint>, n array<bigint>"
 
 
@@ -148,7 +150,7 @@ def pairs_together(
         "codes",
     )
     n_codes = codes.count()
-    coded = base.join(broadcast_if_small(codes, n_codes, 64), "item").select("u", "day", F.struct("code", "n_item").alias("x"))
+    coded = base.join(broadcast_if_small(codes, n_codes, CODE_BYTES), "item").select("u", "day", F.struct("code", "n_item").alias("x"))
     baskets = coded.groupBy("u", "day").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
     blocks = baskets.select(
         F.col("xs.code").alias("items"), F.col("xs.n_item").alias("counts"), F.explode(F.expr(f"sequence(0, size(xs) - 1, {BLOCK})")).alias("lo")
@@ -163,7 +165,7 @@ def pairs_together(
         .where(F.col("n_ab") >= F.lit(min_together))
     )
     side = lambda s: codes.select(F.col("code").alias(s), F.col("item").alias(f"item_{s}"), F.col("n_item").alias(f"n_{s}"))
-    named = merged.join(broadcast_if_small(side("a"), n_codes, 64), "a").join(broadcast_if_small(side("b"), n_codes, 64), "b")
+    named = merged.join(broadcast_if_small(side("a"), n_codes, CODE_BYTES), "a").join(broadcast_if_small(side("b"), n_codes, CODE_BYTES), "b")
     total = F.lit(n_baskets).cast("bigint")
     rated = (
         named.select("item_a", "item_b", "n_ab", "n_a", "n_b", total.alias("n_baskets"))
