@@ -7,35 +7,58 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-_BREAK = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ODD = re.compile("[\ufffd\x80-\x9f□¿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ々]")
 _MARK = re.compile(
     r"\s*(?:(?:[-–—*+•·▪◦‣→>»✔✓✗☐☑☒□■○●]+|\[[ xX✓]?\]|\(?\d{1,4}[.):](?=\s)|\d{1,4} ?[-–](?=\s)|\(?[a-zA-Z][.)](?=\s)|\d{1,4}(?=\s{2,}))\s*)+"
 )
-_CELL = re.compile(r"\s*[|\t;│]\s*|\s{2,}|,(?=\S)")
-_ITEM = re.compile(r"\s*(?:[,;/|·•»>\t、，│]|\s[-–]\s|\s{2,})\s*")
+_CELL = re.compile(r"[|\t;│]|\s{2,}|,(?=\S)")
+_ITEM = re.compile(r"[,;/|·•»>\t、，│]|\s[-–]\s|\s{2,}")
 _HARD = re.compile(r"[;|·•»/│]|\s>\s")
+_SPECIAL = re.compile(r"[|\t;│/·•»>、，#{]|\s{2,}|,(?=\S)|\s[-–]\s")
+_TAGGED = re.compile(r"(?:^|\s)#\w")
 _END = re.compile(r"[.!?…。！？][\"'»”’)\]]*$")
 _PAIR = re.compile(r"^[^\s:=][^:=.]{0,24}\s?[:=]\s?\S.{0,45}$")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])|(?<=[。！？])")
 _NUMERIC = re.compile(r"^[\d\s.,:%+/()°€$£-]*$|^.{0,3}$")
 _ASIDE = re.compile(r"[\[(][^\[\]()]{0,40}\d[^\[\]()]{0,40}[\])]")
 
 
 def lines_of(text: str) -> list[str]:
-    return [x for x in (y.strip("﻿ \t　\xa0") for y in _BREAK.split(text)) if x]
+    return [x for x in (y.strip("﻿ \t　\xa0") for y in text.splitlines()) if x]
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower().replace("’", "'") for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower().replace("’", "'"))
+
+
+def sentences_of(line: str) -> list[str]:
+    for stop in (". ", "! ", "? ", "… "):
+        line = line.replace(stop, stop[0] + "\0")
+    if not line.isascii():
+        for stop in "。！？":
+            line = line.replace(stop, stop + "\0")
+    return line.split("\0")
+
+
+def letters_in(text: str) -> int:
+    return sum(map(len, _LETTERS.findall(text)))
+
+
+def solid_in(text: str) -> int:
+    """Characters that are not white space."""
+    return sum(map(len, text.split()))
 
 
 def _pieces(words: list[str]) -> list[str]:
     """Words with what an apostrophe joins taken apart, as the lists of common words have them."""
-    return [p for w in words for p in (w.split("'") if "'" in w else (w,)) if p]
+    return " ".join(words).replace("'", " ").split()
+
+
+def _pairs(words: list[str]) -> list[str]:
+    return list(map(" ".join, zip(words, words[1:])))
 
 
 def _grams(text: str) -> list[str]:
@@ -87,7 +110,7 @@ class ProseModel:
                     into.update(_grams(line))
                 elif into is rest or len(words_of(line)) > 4:
                     words = words_of(line)
-                    into.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+                    into.update(_pairs(words))
         other = {g for g, n in rest.items() if 3 * n > prose[g]}
         return cls(
             frozenset(w for s in by_lang.values() for w in s), {k: frozenset(v) for k, v in by_lang.items()},
@@ -96,44 +119,46 @@ class ProseModel:
 
     def common_share(self, words: list[str]) -> float:
         pieces = _pieces(words)
-        return sum(p in self.common for p in pieces) / len(pieces) if pieces else 0.0
+        return sum(map(self.common.__contains__, pieces)) / len(pieces) if pieces else 0.0
 
     def known_pairs(self, words: list[str]) -> float:
         """Share of neighbouring words that stand together in labelled prose; pairs of lists and tables count as half."""
         if len(words) < 2:
             return 0.0
-        hits = 0.0
-        for a, b in zip(words, words[1:]):
-            g = f"{a} {b}"
-            hits += 1.0 if g in self.pairs else 0.5 if g in self.other else 0.0
-        return hits / (len(words) - 1)
+        grams = _pairs(words)
+        return (sum(map(self.pairs.__contains__, grams)) + 0.5 * sum(map(self.other.__contains__, grams))) / len(grams)
 
     def firm_pairs(self, words: list[str]) -> float:
         """As known_pairs, but without the pairs of lists and tables: names of things say nothing about a sentence."""
-        grams = [g for a, b in zip(words, words[1:]) if (g := f"{a} {b}") not in self.other]
-        return sum(g in self.pairs for g in grams) / len(grams) if grams else 0.0
+        grams = _pairs(words)
+        named = sum(map(self.other.__contains__, grams))
+        return sum(map(self.pairs.__contains__, grams)) / (len(grams) - named) if len(grams) > named else 0.0
 
     # a unit's verdict: prose, list, table or junk
     def unit(self, line: str, marked_run: bool = False, short_run: bool = False) -> str:
         mark = _MARK.match(line)
         body = line[mark.end() :] if mark else line
         body = _ASIDE.sub(" ", body).strip()
-        solid = sum(not c.isspace() for c in body)
+        solid = solid_in(body)
         if solid == 0:
             return "table" if any(c.isdigit() for c in line) else "list" if mark else "junk"
-        letters = sum(c.isalpha() for c in body)
-        odd = sum(c == "�" or "\x80" <= c <= "\x9f" or c in "□¿" for c in body)
+        words = words_of(body)
+        letters = sum(map(len, words)) - body.count("'") if words else 0
+        odd = 0 if body.isascii() else len(_ODD.findall(body))
         if odd > 0.04 * solid and odd > 2:
             return "junk"
-        if len(re.findall(r"(?:^|\s)#\w", body)) >= 3:
-            return "list"
-        cells = [c for c in _CELL.split(body.strip("|│ ")) if c]
-        numeric = sum(bool(_NUMERIC.match(c.strip())) for c in cells)
+        cells, numeric, n_items, bars = [body], 0, body.count(",") + 1, 0
+        if _SPECIAL.search(body):
+            if len(_TAGGED.findall(body)) >= 3:
+                return "list"
+            cells = [c for c in _CELL.split(body.strip("|│ ")) if c.strip()]
+            numeric = sum(bool(_NUMERIC.match(c.strip())) for c in cells)
+            n_items = sum(bool(x.strip()) for x in _ITEM.split(body))
+            bars = len(_HARD.findall(body))
         if letters < 0.5 * solid:
             return "table" if len(cells) >= 3 or any(c.isdigit() for c in body) and letters else "junk"
         if _cjk_share(body) > 0.3:
             return self._cjk(body, bool(mark) or marked_run, cells, numeric)
-        words = words_of(body)
         n = len(words)
         if not n:
             return "junk"
@@ -146,10 +171,9 @@ class ProseModel:
             return "table"
         if "{" in body and ":" in body and body.count('"') >= 4:
             return "table"
-        items = [x for x in _ITEM.split(body) if x]
-        if len(items) >= 4 and n / len(items) < 4.2 and known < 0.5 and share < 0.34:
+        if n_items >= 4 and n / n_items < 4.2 and known < 0.5 and share < 0.34:
             return "list" if share > 0 or known > 0 or self._listed(words) else "junk"
-        if not ended and len(_HARD.findall(body)) >= 3 and self.firm_pairs(words) < 0.6:
+        if not ended and bars >= 3 and self.firm_pairs(words) < 0.6:
             return "list"
         if n >= 6:
             if share > 0.78 and known < 0.55:
@@ -181,12 +205,12 @@ class ProseModel:
         return "list" if n <= 6 else "junk"
 
     def _listed(self, words: list[str]) -> bool:
-        return any(f"{a} {b}" in self.other for a, b in zip(words, words[1:]))
+        return any(map(self.other.__contains__, _pairs(words)))
 
     def _certain(self, words: list[str], share: float) -> bool:
         """Whether nearly all common words belong to one language of which there is labelled prose."""
         pieces = _pieces(words)
-        best, hits = max(((k, sum(p in v for p in pieces)) for k, v in self.by_lang.items()), key=lambda x: x[1], default=("", 0))
+        best, hits = max(((k, sum(map(v.__contains__, pieces))) for k, v in self.by_lang.items()), key=lambda x: x[1], default=("", 0))
         return best in self.langs and hits / len(pieces) >= 0.2 and share - hits / len(pieces) < 0.08
 
     def _cjk(self, body: str, marked: bool, cells: list[str], numeric: int) -> str:
@@ -224,7 +248,7 @@ class ProseModel:
             chars["junk"] = sum(map(len, lines))
             return {"junk": 1.0}
         if len(lines) >= 6:
-            short = sum(len(words_of(x)) <= 3 and _cjk_share(x) <= 0.3 and not _MARK.match(x) for x in lines)
+            short = sum(len(x) < 60 and len(words_of(x)) <= 3 and _cjk_share(x) <= 0.3 and not _MARK.match(x) for x in lines)
             if short >= 0.8 * len(lines):  # perhaps a sentence with a word or two on every line
                 words = [w for x in lines for w in words_of(x)]
                 joined = self.known_pairs(words)
@@ -233,7 +257,7 @@ class ProseModel:
         marked = sum(bool(_MARK.match(x)) for x in lines) >= max(3, 0.6 * len(lines))
         unended = sum(not _END.search(x) for x in lines)
         plain_run = len(lines) >= 3 and unended >= 0.9 * len(lines) and max(map(len, lines)) < 100
-        short_run = len(lines) >= 3 and sum(len(words_of(x)) <= 6 for x in lines) >= 0.75 * len(lines)
+        short_run = len(lines) >= 3 and sum(len(x) < 90 and len(words_of(x)) <= 6 for x in lines) >= 0.75 * len(lines)
         for line in _unwrapped(lines):
             tagged = _TAG.sub("\t", line) if "<" in line else line
             tags = len(line) - len(tagged)
@@ -241,7 +265,7 @@ class ProseModel:
                 chars["table" if sum(c.isdigit() for c in tagged) > 2 and re.search(r"</t[dr]>|</li>", line) else "junk"] += len(line)
                 continue
             if len(tagged) > 160:
-                for part in _SENTENCE.split(tagged):
+                for part in sentences_of(tagged):
                     if part.strip():
                         chars[self.unit(part.strip(), False)] += len(part)
             else:
@@ -287,12 +311,12 @@ def _tokens(line: str) -> list[str]:
 
 
 def _cjk_share(text: str) -> float:
-    letters = sum(c.isalpha() for c in text)
-    return len(_CJK.findall(text)) / letters if letters else 0.0
+    found = 0 if text.isascii() else len(_CJK.findall(text))
+    return found / max(1, letters_in(text)) if found else 0.0
 
 
 def _sorted(words: list[str]) -> bool:
-    return sum(a <= b for a, b in zip(words, words[1:])) >= 0.9 * (len(words) - 1)
+    return sum(map(str.__le__, words, words[1:])) >= 0.9 * (len(words) - 1)
 
 
 KINDS = ("prose", "list", "table", "junk")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarflow.functions.strings import strip
-from cellarflow.llm.prose import _END, KINDS, ProseModel, kind_of, lines_of, words_of
+from cellarflow.llm.prose import _END, KINDS, ProseModel, kind_of, lines_of, solid_in, words_of
 from cellarflow.runtime import materialize
 
 #: Statistics with a sketch. Shares lie in [0, 1]; the others are at least 0.
@@ -21,6 +22,7 @@ SHARE_STEP, LOG_STEP = 0.005, 0.05
 ALL = "*"
 #: Labelled texts the judge is fitted on at most, and common words learnt for a language without a list.
 MAX_SAMPLES, LEARNT_WORDS = 20_000, 40
+_DIGIT = re.compile(r"\d")
 _STATS = "doc_id bigint, lang string, n_words bigint, mean_word_length double, symbol_share double, ended_line_share double, common_share double, distinct_share double, natural_share double, kind string"
 
 
@@ -58,11 +60,12 @@ def text_statistics(text: str, judge: ProseModel) -> tuple:
     """n_words, mean_word_length, symbol_share, ended_line_share, common_share, distinct_share, natural_share, kind."""
     lines = lines_of(text)
     words = words_of(text)
-    solid = [c for c in text if not c.isspace()]
+    solid = solid_in(text)
+    known = sum(map(len, words)) - sum(map(str.count, words, ["'"] * len(words))) + len(_DIGIT.findall(text))
     shares = judge.shares(text)
     return (
         len(words), sum(map(len, words)) / len(words) if words else 0.0,
-        sum(not c.isalnum() for c in solid) / len(solid) if solid else 0.0,
+        max(0, solid - known) / solid if solid else 0.0,
         sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
         judge.common_share(words), len(set(words)) / len(words) if words else 0.0, shares.get("prose", 0.0), kind_of(shares),
     )
