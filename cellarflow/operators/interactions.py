@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +86,10 @@ def build_interactions(events: DataFrame, config: FeatureConfig, as_of_us: int,
     return weighed.groupBy("user_id", "item_id").agg(F.sum("weight").alias("weight"), F.max("t").alias("last_us")).where("weight > 0")
 
 
+def _named(name: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(name).alias("feature"), v.alias("value"))
+
+
 def explode_features(df: DataFrame, id_column: str, features: Sequence[FeatureColumn]) -> DataFrame:
     """(id, feature, value), one row per value; list columns entry by entry, nulls and missing columns passed over."""
     key = F.col(resolve_id(df, id_column)).cast("string").alias("id")
@@ -94,7 +98,7 @@ def explode_features(df: DataFrame, id_column: str, features: Sequence[FeatureCo
         if f.column not in df.columns:
             continue
         values = as_list(df, f.column) if f.type == "list" else F.array_compact(F.array(F.col(f.column).cast("string")))
-        parts.append(F.transform(values, lambda v, name=f.column: F.struct(F.lit(name).alias("feature"), v.alias("value"))))
+        parts.append(F.transform(values, _named(f.column)))
     if not parts:
         return empty(df, FEATURES)
     return df.select(key, F.inline(F.concat(*parts)).alias("feature", "value"))

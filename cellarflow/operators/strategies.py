@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
@@ -65,7 +65,8 @@ def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
     left = placed.select("user_id", F.col("item_id").alias("a"), F.col("v").alias("va"), F.col("piece").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
     right = placed.select("user_id", F.col("item_id").alias("b"), F.col("v").alias("vb"), F.col("piece").alias("q"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"))
     sums = left.join(right, ["user_id", "p", "q"]).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
-    both = sums.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "s"))).otherwise(F.array(F.struct("a", "b", "s"), F.struct(F.col("b"), F.col("a"), F.col("s"))))).alias("item_id", "other_id", "similarity"))
+    pair = lambda x, y: F.struct(F.col(x).alias("item_id"), F.col(y).alias("other_id"), F.col("s").alias("similarity"))
+    both = sums.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(pair("a", "b"))).otherwise(F.array(pair("a", "b"), pair("b", "a")))))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("similarity", _EXACT - 3)), "other_id"))
     return both.withColumn("place", place).where(F.col("place") <= neighbours)
 
@@ -83,10 +84,14 @@ def item_based(interactions: DataFrame, k: int, *, neighbours: int = 20, users:
     return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
 
 
+def _prefixed(prefix: str) -> Callable[[Column], Column]:
+    return lambda v: F.concat(F.lit(prefix), v)
+
+
 def item_tokens(items: DataFrame, features: Sequence[FeatureColumn]) -> DataFrame:
     """(item_id, tokens): the different column=value texts of an item; items without any are left out."""
     parts = [
-        F.transform(as_list(items, f.column) if f.type == "list" else F.array_compact(F.array(F.col(f.column).cast("string"))), lambda v, n=f.column: F.concat(F.lit(n + "="), v))
+        F.transform(as_list(items, f.column) if f.type == "list" else F.array_compact(F.array(F.col(f.column).cast("string"))), _prefixed(f.column + "="))
         for f in features
         if f.column in items.columns
     ]

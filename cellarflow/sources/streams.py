@@ -50,25 +50,37 @@ class _CursorReader(DataSourceStreamReader):
         self.path, self.size, self.schema = options["path"], int(options.get("page", 100)), schema
         self.now = [-(1 << 62), ""]
 
-    def _rows(self):
+    def _scan(self, columns: list[str], after: list, upto: list | None = None):
+        """Batches of the rows after one key and up to another, with _t; only row groups of that time range are read."""
+        import datetime
+
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
-        table = ds.dataset(self.path, format="parquet").to_table()
-        t = pc.cast(pc.cast(table["occurred_at"], "timestamp[us]"), "int64")
-        return table.append_column("_t", t)
+        table = ds.dataset(self.path, format="parquet")
+        kind = table.schema.field("occurred_at").type
+        at = lambda us: pa.scalar(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us), pa.timestamp("us")).cast(kind)
+        where = pc.field("event_id").is_valid() & pc.field("occurred_at").is_valid()
+        if after[0] > -(1 << 62):
+            where &= pc.field("occurred_at") >= at(after[0])
+        if upto is not None:
+            where &= pc.field("occurred_at") <= at(upto[0])
+        for batch in table.to_batches(columns=columns, filter=where):
+            yield batch, pc.cast(pc.cast(batch.column("occurred_at"), pa.timestamp("us")), pa.int64())
 
     def initialOffset(self) -> dict:
         return {"at": json.dumps([-(1 << 62), ""])}
 
     def latestOffset(self) -> dict:
-        import pyarrow.compute as pc
-
-        table = self._rows()
-        after = pc.or_(pc.greater(table["_t"], self.now[0]), pc.and_(pc.equal(table["_t"], self.now[0]), pc.greater(table["event_id"], self.now[1])))
-        page = table.filter(after).select(["_t", "event_id"]).sort_by([("_t", "ascending"), ("event_id", "ascending")]).slice(0, self.size)
-        if page.num_rows:
-            self.now = [page["_t"][-1].as_py(), page["event_id"][-1].as_py()]
+        import heapq
+
+        page: list[list] = []
+        for batch, t in self._scan(["occurred_at", "event_id"], self.now):
+            keys = (k for k in map(list, zip(t.to_pylist(), batch.column("event_id").to_pylist(), strict=True)) if k > self.now)
+            page = heapq.nsmallest(self.size, [*page, *heapq.nsmallest(self.size, keys)])  # never more than two pages held
+        if page:
+            self.now = page[-1]
         return {"at": json.dumps(self.now)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -77,10 +89,10 @@ class _CursorReader(DataSourceStreamReader):
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         names = [f.name for f in self.schema]
-        for row in self._rows().to_pylist():
-            key = [row["_t"], row["event_id"]]
-            if row["_t"] is not None and row["event_id"] is not None and partition.after < key <= partition.upto:
-                yield tuple(row.get(n) for n in names)
+        for batch, t in self._scan(names, partition.after, partition.upto):
+            for row, at in zip(batch.to_pylist(), t.to_pylist(), strict=True):
+                if partition.after < [at, row["event_id"]] <= partition.upto:
+                    yield tuple(row.get(n) for n in names)
 
     def commit(self, end: dict) -> None:
         pass
