@@ -72,11 +72,13 @@ def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
 
 
 def item_based(interactions: DataFrame, k: int, *, neighbours: int = 20, users: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Scores by the user's items: sum of weight * similarity over the neighbours of what the user touched, without those."""
+    """Scores by the user's items: each touched item gives weight * similarity to its own neighbours; touched items go.
+
+    A touched item reaches at most its neighbours, so the rows grow with interactions * neighbours, however popular an item.
+    """
     near = materialize(item_neighbours(interactions, neighbours), "neighbours")
     own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    # an item is scored where a touched item is among its neighbours
-    reach = own.select("user_id", F.col("item_id").alias("other_id"), "weight").join(near.drop("place"), "other_id")
+    reach = own.join(near.drop("place"), "item_id").select("user_id", F.col("other_id").alias("item_id"), "weight", "similarity")
     scored = reach.groupBy("user_id", "item_id").agg(F.sum(F.col("weight") * F.col("similarity")).alias("score")).where("score > 0")
     fresh = scored.join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     if allowed is not None:
@@ -144,14 +146,19 @@ def transitions(interactions: DataFrame) -> DataFrame:
     return steps.groupBy("from_id", F.col("item_id").alias("to_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sequential(interactions: DataFrame, k: int, *, last: int = 3, fade: float = 0.5, allowed: DataFrame | None = None) -> DataFrame:
+def sequential(
+    interactions: DataFrame, k: int, *, last: int = 3, fade: float = 0.5, fan_out: int = 50, allowed: DataFrame | None = None
+) -> DataFrame:
     """Next items by first-order transitions from the user's last items: sum of fade^(position - 1) * n / n_from, unseen only.
 
+    An item leads to its fan_out most frequent next items (ties by id); n_from counts all of its transitions.
+
     A counting baseline, not a neural model: an architecture of that kind needs a library that is not here.
     """
     moves = transitions(interactions)
     total = moves.groupBy("from_id").agg(F.sum("n").alias("n_from"))
-    odds = moves.join(total, "from_id").select("from_id", "to_id", (F.col("n") / F.col("n_from")).alias("p"))
+    often = top_k(moves, fan_out, by=("from_id",), order=(F.desc("n"), F.asc("to_id")))
+    odds = often.join(total, "from_id").select("from_id", "to_id", (F.col("n") / F.col("n_from")).alias("p"))
     ends = top_k(interactions, last, order=(F.desc("last_us"), F.desc("item_id"))).select("user_id", F.col("item_id").alias("from_id"), F.pow(F.lit(fade), F.col("rank") - 1).alias("f"))
     scored = ends.join(odds, "from_id").groupBy("user_id", F.col("to_id").alias("item_id")).agg(F.sum(F.col("f") * F.col("p")).alias("score"))
     fresh = scored.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")

@@ -236,7 +236,7 @@ def item_neighbours(spark, d):
 
 
 @query(f"""WITH {_KNN}, scored AS (
-  SELECT i.user_id, n.item_id, sum(i.weight * n.similarity) AS score FROM inter i JOIN near n ON n.other_id = i.item_id GROUP BY 1, 2 HAVING sum(i.weight * n.similarity) > 0),
+  SELECT i.user_id, n.other_id AS item_id, sum(i.weight * n.similarity) AS score FROM inter i JOIN near n ON n.item_id = i.item_id GROUP BY 1, 2 HAVING sum(i.weight * n.similarity) > 0),
 fresh AS (SELECT s.* FROM scored s ANTI JOIN inter i ON i.user_id = s.user_id AND i.item_id = s.item_id)
 SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM fresh) WHERE rank <= {K}""")
 def item_based(spark, d):
@@ -274,7 +274,7 @@ def transitions(spark, d):
     return S.transitions(interactions(spark, d))
 
 
-@query(f"""WITH {_MOVES}, odds AS (SELECT from_id, to_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY from_id) AS p FROM moves),
+@query(f"""WITH {_MOVES}, odds AS (SELECT * FROM (SELECT from_id, to_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY from_id) AS p, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS place FROM moves) WHERE place <= 50),
 ends AS (SELECT user_id, item_id AS from_id, pow(0.5e0, place - 1) AS f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_us DESC, item_id DESC) AS place FROM inter) WHERE place <= 3),
 scored AS (SELECT user_id, to_id AS item_id, sum(f * p) AS score FROM ends JOIN odds USING (from_id) GROUP BY 1, 2),
 fresh AS (SELECT s.* FROM scored s ANTI JOIN inter i ON i.user_id = s.user_id AND i.item_id = s.item_id)
@@ -520,7 +520,7 @@ _ONCE = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ev
 batch AS (SELECT event_id, user_id, item_id, event_type, quantity, t FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id, event_type, quantity, t ORDER BY event_id) AS m FROM first) WHERE m = 1)"""
 _BATCH = f"{_DELIVERED}, {_ONCE}"
 _SLICES = f"""pop AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS place FROM (
-  SELECT item_id, round(sum({_BASE} * {_QTY}), 9) AS score FROM batch WHERE {_BASE} IS NOT NULL GROUP BY 1) ORDER BY place LIMIT {K}),
+  SELECT item_id, round(sum({_BASE} * {_QTY}), 6) AS score FROM batch WHERE {_BASE} IS NOT NULL GROUP BY 1) ORDER BY place LIMIT {K}),
 new AS (SELECT item_id, CAST({K} - place + 1 AS DOUBLE) AS score, place FROM (SELECT item_id, row_number() OVER (ORDER BY max(t) DESC, item_id) AS place FROM batch WHERE {_BASE} IS NOT NULL GROUP BY 1) WHERE place <= {K})"""
 
 

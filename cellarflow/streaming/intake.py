@@ -13,9 +13,10 @@ from cellarflow.config import FeatureConfig
 from cellarflow.functions.strings import strip, strip_to_null
 from cellarflow.functions.times import micros
 from cellarflow.operators.interactions import base_weight, quantity_factor
-from cellarflow.operators.ranking import SCORE_DECIMALS
 from cellarflow.schemas import COLD_START_USER, nan_to_null
 
+#: Decimals that a batch's sums are rounded to before they order items.
+SUM_DECIMALS = 6
 #: The part of a user's places that just-touched items may take.
 BOOST_SHARE = 0.3
 # Sources of rows that a batch keeps.
@@ -81,7 +82,7 @@ def popular_slice(events: DataFrame, config: FeatureConfig | None, k: int) -> Da
     """(item_id, score, place): summed weights of the batch, without caps or decay; events of weight 0 have no part.
     Without a configuration an event weighs its quantity."""
     weight = F.col("quantity").cast("double") if config is None else base_weight(config) * quantity_factor(config)
-    sums = events.withColumn("w", weight).where("w <> 0").groupBy("item_id").agg(F.round(F.sum("w"), SCORE_DECIMALS).alias("score"))
+    sums = events.withColumn("w", weight).where("w <> 0").groupBy("item_id").agg(F.round(F.sum("w"), SUM_DECIMALS).alias("score"))
     best = sums.orderBy(F.desc("score"), "item_id").limit(k)
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")))
 
