@@ -169,12 +169,12 @@ class ExactlyOnce:
         """The batch with exactly one delivery of each message not let through before; columns as they came."""
         through = self.apply(deliveries, batch)
         named = identifier(self.id_columns)
-        first = deliveries.where(named.isNotNull()).join(through, F.col(self.key) == F.col("delivery"), "left_semi")
+        first = deliveries.where(named.isNotNull()).join(through, deliveries[self.key] == through["delivery"], "left_semi")
         return first.unionByName(deliveries.where(named.isNull()))
 
     def copies(self, deliveries: DataFrame, batch: int = 0) -> DataFrame:
         """The deliveries of the batch that were held back; joined on the unique key, so no identifier is ever hot."""
         through = self.apply(deliveries, batch)
         return deliveries.where(identifier(self.id_columns).isNotNull()).join(
-            through, F.col(self.key) == F.col("delivery"), "left_anti"
+            through, deliveries[self.key] == through["delivery"], "left_anti"
         )
