@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -52,15 +53,13 @@ class _CursorReader(DataSourceStreamReader):
 
     def _scan(self, columns: list[str], after: list, upto: list | None = None):
         """Batches of the rows after one key and up to another, with _t; only row groups of that time range are read."""
-        import datetime
-
         import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
         table = ds.dataset(self.path, format="parquet")
         kind = table.schema.field("occurred_at").type
-        at = lambda us: pa.scalar(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us), pa.timestamp("us")).cast(kind)
+        at = lambda us: pa.scalar(us, pa.int64()).cast(pa.timestamp("us")).cast(kind)
         where = pc.field("event_id").is_valid() & pc.field("occurred_at").is_valid()
         if after[0] > -(1 << 62):
             where &= pc.field("occurred_at") >= at(after[0])
@@ -92,7 +91,8 @@ class _CursorReader(DataSourceStreamReader):
         for batch, t in self._scan(names, partition.after, partition.upto):
             for row, at in zip(batch.to_pylist(), t.to_pylist(), strict=True):
                 if partition.after < [at, row["event_id"]] <= partition.upto:
-                    yield tuple(row.get(n) for n in names)
+                    when = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=at)
+                    yield tuple(when if n == "occurred_at" else row.get(n) for n in names)
 
     def commit(self, end: dict) -> None:
         pass
