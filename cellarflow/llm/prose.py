@@ -13,11 +13,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile("[\ufffd\x80-\x9f□¿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ々]")
 _MARK = re.compile(
-    r"\s*(?:(?:[-–—*+•·▪◦‣→>»✔✓✗☐☑☒□■○●]+|\[[ xX✓]?\]|\(?\d{1,4}[.):](?=\s)|\d{1,4} ?[-–](?=\s)|\(?[a-zA-Z][.)](?=\s)|\d{1,4}(?=\s{2,}))\s*)+"
+    r"\s*(?:(?:[-–*+•·▪◦‣→>»✔✓✗☐☑☒□■○●]+|\[[ xX✓]?\]|\(?\d{1,4}[.):](?=\s)|\d{1,4} ?[-–](?=\s)|\(?[a-zA-Z][.)](?=\s)|\d{1,4}(?=\s{2,}))\s*)+"
 )
 _CELL = re.compile(r"[|\t;│]|\s{2,}|,(?=\S)")
 _ITEM = re.compile(r"[,;/|·•»>\t、，│]|\s[-–]\s|\s{2,}")
 _HARD = re.compile(r"[;|·•»/│]|\s>\s")
+_OPEN, _CLOSE = "\"“«„'‘", "\"”»“'’"
 _SPECIAL = re.compile(r"[|\t;│/·•»>、，#{]|\s{2,}|,(?=\S)|\s[-–]\s")
 _TAGGED = re.compile(r"(?:^|\s)#\w")
 _END = re.compile(r"[.!?…。！？][\"'»”’)\]]*$")
@@ -83,6 +84,7 @@ class ProseModel:
 
     pairs are the word pairs (for scripts without spaces: character pairs) met in labelled prose, other those met in
     labelled lists, tables and junk. langs are the languages with labelled prose.
+    nonsense are the words met in labelled junk alone.
     """
 
     common: frozenset[str] = frozenset()
@@ -90,6 +92,7 @@ class ProseModel:
     pairs: frozenset[str] = frozenset()
     other: frozenset[str] = frozenset()
     langs: frozenset[str] = frozenset()
+    nonsense: frozenset[str] = frozenset()
 
     @classmethod
     def fit(cls, samples: Iterable[tuple[str | None, str | None, str | None]], common: Iterable[tuple[str | None, str | None]]) -> ProseModel:
@@ -99,12 +102,15 @@ class ProseModel:
             if word:
                 by_lang.setdefault((lang or "").strip().lower()[:2], set()).add(word.strip().lower())
         prose, rest, langs = Counter(), Counter(), Counter()
+        sense: set[str] = set()
+        nonsense: set[str] = set()
         for text, lang, kind in samples:
             if not text or not kind:
                 continue
             into = prose if kind.strip().lower() == "prose" else rest
             if into is prose:
                 langs[(lang or "").strip().lower()[:2]] += 1
+            (nonsense if kind.strip().lower() == "junk" else sense).update(words_of(text))
             for line in lines_of(text):
                 if _cjk_share(line) > 0.3:
                     into.update(_grams(line))
@@ -115,6 +121,7 @@ class ProseModel:
         return cls(
             frozenset(w for s in by_lang.values() for w in s), {k: frozenset(v) for k, v in by_lang.items()},
             frozenset(g for g in prose if g not in other), frozenset(other), frozenset(k for k, n in langs.items() if n >= 3),
+            frozenset(nonsense - sense),
         )
 
     def common_share(self, words: list[str]) -> float:
@@ -163,9 +170,10 @@ class ProseModel:
         if not n:
             return "junk"
         share, known = self.common_share(words), self.known_pairs(words)
-        ended = bool(_END.search(body))
-        longest = max(map(len, words))
-        if longest > 40 or letters / n > 16:
+        ended = bool(_END.search(body)) or body[0] in _OPEN and body[-1] in _CLOSE
+        if max(map(len, words)) > 40 or letters / n > 16 or solid > 30 * len(body.split()):
+            return "junk"
+        if share < 0.3 and sum(map(self.nonsense.__contains__, words)) >= 0.4 * n:
             return "junk"
         if len(cells) >= 3 and numeric >= 1 and numeric * 4 >= len(cells) and not (known > 0.55 and ended):
             return "table"
@@ -184,6 +192,8 @@ class ProseModel:
                 return "junk"  # names over and over
             if n >= 12 and not ended and share >= 0.15 and known < 0.15 and self._certain(words, share):
                 return "list" if mark or marked_run else "junk"
+        if not mark and n <= 9 and share < 0.34 and _PAIR.match(body):
+            return "table"
         if not ended and (mark or marked_run) and (n < 6 or self.firm_pairs(words) < 0.6):
             return "list"
         if short_run and n <= 6 and self.firm_pairs(words) < 0.5:
