@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -117,7 +117,8 @@ class ExactlyOnce:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def _arrivals(self, deliveries: DataFrame) -> DataFrame:
-        """One delivery per identifier: the smallest (time, key). A hash aggregation that combines before its shuffle."""
+        """One delivery per identifier: the smallest (time, key). Each task combines its rows before the shuffle, so an
+        identifier that holds a third of all rows sends one row per task."""
         rows = deliveries.select(
             identifier(self.id_columns).alias("ident"),
             F.coalesce(micros(deliveries, self.order), F.lit(_LAST)).alias("at"),
@@ -178,3 +179,8 @@ class ExactlyOnce:
         return deliveries.where(identifier(self.id_columns).isNotNull()).join(
             through, deliveries[self.key] == through["delivery"], "left_anti"
         )
+
+    def sink(self, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """A foreachBatch function: write gets what each batch of a stream lets through. A batch that comes again gives the
+        same rows, so a write that replaces by batch number is applied exactly once."""
+        return lambda batch, number: write(self.kept(batch, number), number)

@@ -26,8 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/cellarflow/{label}-{uuid.uuid4().hex}"
+    """A new path below this process's part of the shared folder."""
+    return f"{shared_dir(spark)}/cellarflow/{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables that this process has written; results that still read them are lost."""
+    delete_path(spark, f"{shared_dir(spark)}/cellarflow/{_RUN}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

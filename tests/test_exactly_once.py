@@ -72,3 +72,16 @@ def test_codes_fill_containers(spark, monkeypatch):
     for b in range(2):
         x = spark.createDataFrame([row(b * 500 + i, f"m{b * 100 + i}") for i in range(200)], SCHEMA)
         assert len(ids(e.kept(x, b))) == (200 if b == 0 else 100)
+
+
+def test_stream_sink(spark, tmp_path):
+    spark.createDataFrame([row(i, f"m{i % 5}", at=i) for i in range(20)], SCHEMA).write.parquet(f"{tmp_path}/in/1")
+    e = ExactlyOnce(spark, f"{tmp_path}/state")
+    out = {}
+    for add in (None, 2):
+        if add:
+            spark.createDataFrame([row(100 + i, f"m{i}", at=i) for i in range(8)], SCHEMA).write.parquet(f"{tmp_path}/in/2")
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        write = e.sink(lambda df, n: out.__setitem__(n, [r.event_id for r in df.collect()]))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(x for rows in out.values() for x in rows) == [f"m{i}" for i in range(8)]

@@ -113,3 +113,17 @@ def test_run_guard():
     assert guard.trigger() and len(runs) == 2
     bad = RunGuard(lambda: 1 / 0)
     assert bad.trigger() and isinstance(bad.last_error, ZeroDivisionError) and time.time() > 0
+
+
+def test_command_line(spark, store, tmp_path, capsys):
+    import json
+
+    from cellarflow.__main__ import main
+
+    (tmp_path / "job.toml").write_text('[job]\ntop_k = 2\nmodels = ["popular"]\n')
+    assert main(["run", store.root, "--job", str(tmp_path / "job.toml"), "--as-of", "2026-04-01T00:00:00+00:00"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["status"] == "ok"
+    assert main(["lookup", store.root, "u1"]) == 0
+    assert [r["place"] for r in json.loads(capsys.readouterr().out.splitlines()[-1])] == [1, 2]
+    (tmp_path / "job.toml").write_text('[job]\nmodels = ["odd"]\n')
+    assert main(["run", store.root, "--job", str(tmp_path / "job.toml")]) == 2
