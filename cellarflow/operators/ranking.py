@@ -96,14 +96,16 @@ def blend(
     one = best_rank(personalized.select("user_id", "item_id", "rank", "score", F.lit("personalized").alias("source")))
     lists = [(one, "personalized", "w_personalized"), (popular, "popular_fallback", "w_popular")]
     lists += [(latest, "latest", "w_latest")] if latest is not None else []
-    rows = union([f.select("user_id", "item_id", "rank", F.lit(label).alias("source"), F.lit(w).alias("_w")) for f, label, w in lists])
-    weight = F.when(F.col("_w") == "w_personalized", F.col("w_personalized")).when(F.col("_w") == "w_popular", F.col("w_popular")).otherwise(F.col("w_latest"))
+    # lists are told apart by bits, so that the aggregation holds numbers only and stays a hash aggregation
+    rows = union([f.select("user_id", "item_id", "rank", F.lit(1 << i).alias("_bit")) for i, (f, _, _) in enumerate(lists)])
+    case = lambda values, c: F.coalesce(*(F.when(F.col(c) == 1 << i, v) for i, v in enumerate(values)))
+    weight = case([F.col(w) for _, _, w in lists], "_bit")
     scored = (
         rows.where("rank is not null").join(weights, "user_id").withColumn("_weight", weight).where("_weight > 1e-9")
         .withColumn("score", F.col("_weight") / (F.lit(b.rrf_k) + F.col("rank")))
     )
-    mixed = scored.groupBy("user_id", "item_id").agg(F.sum("score").alias("score"), F.count_distinct("source").alias("_n"), F.min("source").alias("_one"))
-    labelled = mixed.withColumn("source", F.when(F.col("_n") > 1, F.lit("blended")).otherwise(F.col("_one")))
+    mixed = scored.groupBy("user_id", "item_id").agg(F.sum("score").alias("score"), F.bit_or("_bit").alias("_bits"))
+    labelled = mixed.withColumn("source", F.coalesce(case([F.lit(label) for _, label, _ in lists], "_bits"), F.lit("blended")))
     return top_k(labelled, k).select("user_id", "item_id", "rank", "score", "source")
 
 

@@ -464,9 +464,14 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "shop_users").select("user_id").distinct()
 
 
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    raw = read(spark, d, "shop_items")
+    return L.item_snapshot(raw, SHOP.availability, newest=[F.desc_nulls_last("exported_at")])
+
+
 @query(f"WITH {_SNAPSHOT} SELECT * FROM snap")
 def item_snapshot(spark, d):
-    return L.item_snapshot(items(spark, d), SHOP.availability)
+    return snapshot(spark, d)
 
 
 @query(f"WITH {_STORED}, {_PLACES}, {_ASKED} SELECT user_id, item_id, place, score, source FROM places SEMI JOIN asked USING (user_id) WHERE place <= {K}")
@@ -499,14 +504,14 @@ def lookup_with_fallback(spark, d):
 kept AS (SELECT s.* FROM served s SEMI JOIN (SELECT item_id FROM snap WHERE is_available AND category = 'beer') x ON x.item_id = s.item_id WHERE place <= {K * 5})
 SELECT user_id, item_id, place, score, source, is_fallback FROM (SELECT user_id, item_id, score, source, is_fallback, row_number() OVER (PARTITION BY user_id ORDER BY place) AS place FROM kept) WHERE place <= {K}""")
 def serve_filtered(spark, d):
-    return L.serve(stored(spark, d), L.item_snapshot(items(spark, d), SHOP.availability), asked(spark, d), K, category="beer")
+    return L.serve(stored(spark, d), snapshot(spark, d), asked(spark, d), K, category="beer")
 
 
 @query(f"WITH {_STORED}, {_PLACES}, {_SNAPSHOT} SELECT user_id, p.item_id, place, category FROM places p LEFT JOIN snap USING (item_id) WHERE place <= {K}")
 def rows_with_category(spark, d):
     rows = stored(spark, d)
     shown = L.lookup(rows, rows.select("user_id"), K).select("user_id", "item_id", "place")
-    return L.with_category(shown, L.item_snapshot(items(spark, d), SHOP.availability))
+    return L.with_category(shown, snapshot(spark, d))
 
 
 # ---- stores and streams --------------------------------------------------------------------------------------------
