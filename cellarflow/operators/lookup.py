@@ -15,7 +15,6 @@ from cellarflow.schemas import COLD_START_USER, newest_rows, resolve_id
 #: Sources that a row for strangers may have, best first.
 FALLBACK_SOURCES = ("popular_fallback", "latest")
 OVERFETCH = 5
-_ORDER = (F.asc_nulls_last, F.desc_nulls_last)
 
 
 def _by_rank(rows: DataFrame, k: int, name: str = "rank") -> DataFrame:

@@ -21,7 +21,6 @@ SUM_DECIMALS = 6
 BOOST_SHARE = 0.3
 # Sources of rows that a batch keeps.
 PRESERVED = ("personalized", "item_based", "sequential", "content_fallback", "blended")
-TIERS = ("incremental", "preserved", "popular_fallback", "latest")
 _ROWS = ("user_id", "item_id", "rank", "score", "source")
 
 
