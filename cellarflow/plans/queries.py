@@ -41,13 +41,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def query(sql: str | None = None) -> Callable:
-    """Registers a function of (spark, sf_dir) under its name, with its SQL if there is any."""
+def query(sql: str | None = None, *, stored_ranks: bool = False) -> Callable:
+    """Registers a function of (spark, sf_dir) under its name, with its SQL if there is any.
+
+    Places that a window counts come out as bigint, as they do in SQL; stored_ranks leaves the tables' own ranks as they are.
+    """
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir)
+            df = f(spark, sf_dir)
+            counted = [] if stored_ranks else [c for c, kind in df.dtypes if c in ("rank", "place") and kind == "int"]
+            return df.withColumns({c: F.col(c).cast("bigint") for c in counted}) if counted else df
 
         QUERIES[f.__name__] = run
         if sql is not None:
@@ -334,7 +339,7 @@ def blend_weights_linear(spark, d):
     return _rounded(R.blend_weights(interaction_counts(spark, d), LINEAR))
 
 
-@query(f"WITH {_STORED} SELECT user_id, item_id, rank, score, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY rank NULLS LAST, score DESC NULLS LAST, source) AS place FROM stored) WHERE place = 1")
+@query(f"WITH {_STORED} SELECT user_id, item_id, rank, score, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY rank NULLS LAST, score DESC NULLS LAST, source) AS place FROM stored) WHERE place = 1", stored_ranks=True)
 def best_rank(spark, d):
     return R.best_rank(stored(spark, d)).select("user_id", "item_id", "rank", "score", "source")
 
@@ -580,7 +585,7 @@ def incremental_merge(spark, d):
 _NEWER = "newer AS (SELECT user_id, item_id, CAST(1 AS INTEGER) AS rank, CAST(1 AS DOUBLE) AS score, 'latest' AS source FROM (SELECT user_id, min(item_id) AS item_id FROM shop_events WHERE channel = 'kiosk' AND user_id IS NOT NULL AND item_id IS NOT NULL GROUP BY 1))"
 
 
-@query(f"WITH {_STORED}, {_NEWER} SELECT * FROM stored ANTI JOIN newer USING (user_id) UNION ALL SELECT * FROM newer")
+@query(f"WITH {_STORED}, {_NEWER} SELECT * FROM stored ANTI JOIN newer USING (user_id) UNION ALL SELECT * FROM newer", stored_ranks=True)
 def replaced_users(spark, d):
     kiosk = read(spark, d, "shop_events").where("channel = 'kiosk' and user_id is not null and item_id is not null")
     rows = kiosk.groupBy("user_id").agg(F.min("item_id").alias("item_id")).select("user_id", "item_id", F.lit(1).alias("rank"), F.lit(1.0).alias("score"), F.lit("latest").alias("source"))
@@ -592,7 +597,7 @@ def stored_users(spark, d):
     return stored(spark, d).agg(F.countDistinct("user_id").alias("n_users"))
 
 
-@query(f"WITH {_STORED} SELECT * FROM stored SEMI JOIN (SELECT user_id FROM shop_users) USING (user_id)")
+@query(f"WITH {_STORED} SELECT * FROM stored SEMI JOIN (SELECT user_id FROM shop_users) USING (user_id)", stored_ranks=True)
 def rows_for_users(spark, d):
     return stored(spark, d).join(asked(spark, d), "user_id", "left_semi")
 

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 16 << 20
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once per application, so that it needs no installation there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.suffix or not root.is_dir():  # already running from a sent archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="cellarflow-code-"), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
