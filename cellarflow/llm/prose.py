@@ -135,18 +135,15 @@ class ProseModel:
         grams = _pairs(words)
         return (sum(map(self.pairs.__contains__, grams)) + 0.5 * sum(map(self.other.__contains__, grams))) / len(grams)
 
-    def firm_pairs(self, words: list[str]) -> float:
-        """As known_pairs, but without the pairs of lists and tables: names of things say nothing about a sentence."""
-        grams = _pairs(words)
-        named = sum(map(self.other.__contains__, grams))
-        return sum(map(self.pairs.__contains__, grams)) / (len(grams) - named) if len(grams) > named else 0.0
-
     # a unit's verdict: prose, list, table or junk
     def unit(self, line: str, marked_run: bool = False, short_run: bool = False) -> str:
         mark = _MARK.match(line)
         body = line[mark.end() :] if mark else line
-        body = _ASIDE.sub(" ", body).strip()
-        solid = solid_in(body)
+        if "(" in body or "[" in body:
+            body = _ASIDE.sub(" ", body)
+        body = body.strip()
+        runs = body.split()
+        solid = sum(map(len, runs))
         if solid == 0:
             return "table" if any(c.isdigit() for c in line) else "list" if mark else "junk"
         words = words_of(body)
@@ -169,9 +166,14 @@ class ProseModel:
         n = len(words)
         if not n:
             return "junk"
-        share, known = self.common_share(words), self.known_pairs(words)
+        share, grams = self.common_share(words), _pairs(words)
+        # known counts pairs of lists and tables as half; firm leaves them out, for names say nothing about a sentence
+        met = sum(map(self.pairs.__contains__, grams))
+        named = sum(map(self.other.__contains__, grams))
+        known = (met + 0.5 * named) / len(grams) if grams else 0.0
+        firm = met / (len(grams) - named) if len(grams) > named else 0.0
         ended = bool(_END.search(body)) or body[0] in _OPEN and body[-1] in _CLOSE
-        if max(map(len, words)) > 40 or letters / n > 16 or solid > 30 * len(body.split()):
+        if max(map(len, words)) > 40 or letters / n > 16 or solid > 30 * len(runs):
             return "junk"
         if share < 0.3 and sum(map(self.nonsense.__contains__, words)) >= 0.4 * n:
             return "junk"
@@ -181,28 +183,28 @@ class ProseModel:
             return "table"
         if n_items >= 4 and n / n_items < 4.2 and known < 0.5 and share < 0.34:
             return "list" if share > 0 or known > 0 or self._listed(words) else "junk"
-        if not ended and bars >= 3 and self.firm_pairs(words) < 0.6:
+        if not ended and bars >= 3 and firm < 0.6:
             return "list"
         if n >= 6:
             if share > 0.78 and known < 0.55:
                 return "junk"  # words without a sentence
             if n >= 12 and _sorted(words):
                 return "junk"
-            if n >= 12 and not ended and share < 0.32 and len(set(words)) < 0.6 * n and self.firm_pairs(words) < 0.1:
+            if n >= 12 and not ended and share < 0.32 and len(set(words)) < 0.6 * n and firm < 0.1:
                 return "junk"  # names over and over
             if n >= 12 and not ended and share >= 0.15 and known < 0.15 and self._certain(words, share):
                 return "list" if mark or marked_run else "junk"
         if not mark and n <= 9 and share < 0.34 and _PAIR.match(body):
             return "table"
-        if not ended and (mark or marked_run) and (n < 6 or self.firm_pairs(words) < 0.6):
+        if not ended and (mark or marked_run) and (n < 6 or firm < 0.6):
             return "list"
-        if short_run and n <= 6 and self.firm_pairs(words) < 0.5:
+        if short_run and n <= 6 and firm < 0.5:
             return "list"
         if known >= 0.5 and share >= 0.12 and (n >= 6 or ended and n >= 4):
             return "prose"
         if n >= 5 and share >= 0.2 and (ended or n >= 8):
             return "prose"
-        if n >= 3 and share >= 0.3 and ended and not (short_run and n <= 6 and self.firm_pairs(words) < 0.5):
+        if n >= 3 and share >= 0.3 and ended and not (short_run and n <= 6 and firm < 0.5):
             return "prose"
         if n >= 7 and ended and share >= 0.1 and known >= 0.15:
             return "prose"
@@ -303,7 +305,7 @@ def _unwrapped(lines: list[str]) -> list[str]:
         run.clear()
 
     for line in lines:
-        if _MARK.match(line) or len(line) < 3 or len(_CELL.split(line)) >= 3:
+        if _MARK.match(line) or len(line) < 3 or _SPECIAL.search(line) and len(_CELL.split(line)) >= 3:
             close()
             out.append(line)
         else:

@@ -61,7 +61,7 @@ def text_statistics(text: str, judge: ProseModel) -> tuple:
     lines = lines_of(text)
     words = words_of(text)
     solid = solid_in(text)
-    known = sum(map(len, words)) - sum(map(str.count, words, ["'"] * len(words))) + len(_DIGIT.findall(text))
+    known = sum(map(len, words)) - " ".join(words).count("'") + len(_DIGIT.findall(text))
     shares = judge.shares(text)
     return (
         len(words), sum(map(len, words)) / len(words) if words else 0.0,
