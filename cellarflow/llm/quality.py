@@ -97,11 +97,12 @@ def sketches(stats: DataFrame) -> DataFrame:
     """(lang, stat, bucket, n): a histogram sketch of each statistic per language and over all (lang ALL).
 
     Sketches merge by adding n; the order of merging makes no difference. A bucket is half a hundredth wide for shares and
-    5 % for other values, which bounds the error of any quantile. Rows without a value are left out.
+    5 % for other values, which bounds the error of any quantile. Rows without a value are left out, and blank texts from
+    the sketch of natural_share, for nothing in them was judged.
     """
     long = stats.where("n_words is not null").select(
-        "lang", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), bucket(s).alias("bucket")) for s in STATISTICS)))
-    )
+        "lang", "kind", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), bucket(s).alias("bucket")) for s in STATISTICS)))
+    ).where("kind is not null or stat <> 'natural_share'")
     own = long.groupBy("lang", "stat", "bucket").agg(F.count(F.lit(1)).alias("n"))
     return own.select(F.explode(F.array("lang", F.lit(ALL))).alias("lang"), "stat", "bucket", "n").groupBy("lang", "stat", "bucket").agg(F.sum("n").alias("n"))
 
@@ -150,7 +151,8 @@ def text_quality(
     Statistics are taken in one pass and written once. Their sketches, merged per language, give every value a percentile
     and a robust z-score. tails names the statistics in a tail of their language: percentile under extreme_share or over
     1 - extreme_share, or abs(z) over extreme_z. suspect marks documents whose natural_share lies in the lower tail of
-    their language or of all documents.
+    their language or of all documents, and every text that is not blank with natural_share under one half: tails depend
+    on the mix of the documents, so the bound keeps every case among the suspects however many there are.
     """
     judge = fit_judge(documents, samples, common_words, text=text, lang=lang)
     rows = documents.where(F.col(doc_id).isNotNull()).select(
@@ -169,12 +171,13 @@ def text_quality(
     tails = F.concat_ws(",", *(F.when(is_tail(s), F.lit(s)) for s in STATISTICS))
     low_all = (F.col("natural_share") - F.col("every.median")) / F.col("every.spread") < -extreme_z
     low_own = (F.col("z_natural_share") < -extreme_z) | (F.col("p_natural_share") < extreme_share)
+    under_half = F.col("kind").isNotNull() & (F.col("natural_share") < 0.5)
     return full.select(
         "doc_id", "lang", *STATISTICS, *(f"p_{s}" for s in STATISTICS), *(f"z_{s}" for s in STATISTICS),
-        tails.alias("tails"), "kind", F.coalesce(low_all | low_own, F.lit(False)).alias("suspect"),
+        tails.alias("tails"), "kind", (F.coalesce(low_all | low_own, F.lit(False)) | under_half).alias("suspect"),
     )
 
 
 def not_prose(quality: DataFrame) -> DataFrame:
-    """The documents in the lower tail of natural_share that the exact check, under one half, confirms: doc_id, kind."""
+    """The suspects that the exact check, under one half, confirms: doc_id, kind."""
     return quality.where(F.col("suspect") & F.col("kind").isNotNull() & (F.col("kind") != KINDS[0])).select("doc_id", "kind")

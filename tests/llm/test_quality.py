@@ -89,6 +89,20 @@ def test_tails_lead_to_the_check(spark, frames):
     assert "natural_share" in by[100].tails and by[100].z_natural_share < -3.5 and by[100].p_natural_share < 0.05
 
 
+@pytest.mark.parametrize("n_prose,n_other", [(60, 30), (30, 60)])
+def test_every_case_is_suspect_at_any_mix(spark, frames, n_prose, n_other):
+    rows = [(i, " ".join(PROSE[j] for j in (i % 3, (i + 1) % 3)) + f" We bought {i} of it.", "en", "", 0, 0) for i in range(n_prose)]
+    rows += [(1000 + i, (LIST, TABLE)[i % 2], "en", "", 0, 0) for i in range(n_other)] + [(2000 + i, " ", ("en", "ja")[i % 2], "", 0, 0) for i in range(4)]
+    q = text_quality(spark.createDataFrame(rows, DOCS), *frames)
+    assert sorted(r.doc_id for r in not_prose(q).collect()) == [1000 + i for i in range(n_other)]
+
+
+def test_blank_texts_stay_out_of_the_sketch_of_natural_share(spark, frames):
+    rows = [(i, PROSE[i % 3], "en", "", 0, 0) for i in range(30)] + [(100 + i, " ", "en", "", 0, 0) for i in range(30)]
+    by = {r.doc_id: r for r in text_quality(spark.createDataFrame(rows, DOCS), *frames).collect()}
+    assert by[0].p_natural_share == 0.5 and not by[100].kind
+
+
 def test_sketches_merge_and_bound_quantiles(spark):
     rows = [(i, "en" if i % 3 else "it", i % 97, 1 + (i % 7) / 3, (i % 50) / 50, 1.0, 0.3, 0.5, 0.9, "prose") for i in range(500)]
     stats = spark.createDataFrame(rows, "doc_id bigint, lang string, n_words bigint, mean_word_length double, symbol_share double, ended_line_share double, common_share double, distinct_share double, natural_share double, kind string")
