@@ -147,23 +147,29 @@ def transitions(interactions: DataFrame) -> DataFrame:
 
 
 def sequential(
-    interactions: DataFrame, k: int, *, last: int = 3, fade: float = 0.5, fan_out: int = 50, allowed: DataFrame | None = None
+    interactions: DataFrame, k: int, *, last: int = 3, fade: float = 0.5, fan_out: int | None = None, allowed: DataFrame | None = None
 ) -> DataFrame:
     """Next items by first-order transitions from the user's last items: sum of fade^(position - 1) * n / n_from, unseen only.
 
-    An item leads to its fan_out most frequent next items (ties by id); n_from counts all of its transitions.
+    An item leads to all of its next items, or only to its fan_out most frequent ones (ties by id) where that is given, which
+    loses scores; n_from counts all of its transitions. The rows to score are the users' last items times their next items.
+    Users with the same last items in the same order score alike, so each such list of ends is scored once.
 
     A counting baseline, not a neural model: an architecture of that kind needs a library that is not here.
     """
     moves = transitions(interactions)
     total = moves.groupBy("from_id").agg(F.sum("n").alias("n_from"))
-    often = top_k(moves, fan_out, by=("from_id",), order=(F.desc("n"), F.asc("to_id")))
+    often = moves if fan_out is None else top_k(moves, fan_out, by=("from_id",), order=(F.desc("n"), F.asc("to_id")))
     odds = often.join(total, "from_id").select("from_id", "to_id", (F.col("n") / F.col("n_from")).alias("p"))
-    ends = top_k(interactions, last, order=(F.desc("last_us"), F.desc("item_id"))).select("user_id", F.col("item_id").alias("from_id"), F.pow(F.lit(fade), F.col("rank") - 1).alias("f"))
-    scored = ends.join(odds, "from_id").groupBy("user_id", F.col("to_id").alias("item_id")).agg(F.sum(F.col("f") * F.col("p")).alias("score"))
-    fresh = scored.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    newest = top_k(interactions, last, order=(F.desc("last_us"), F.desc("item_id")))
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "item_id")))  # at most last items
+    ends = materialize(newest.groupBy("user_id").agg(F.transform(in_order, lambda x: x["item_id"]).alias("ends")), "ends")
+    parts = ends.select("ends").distinct().select("ends", F.posexplode("ends").alias("at", "from_id"))
+    scored = parts.join(odds, "from_id").groupBy("ends", F.col("to_id").alias("item_id")).agg(F.sum(F.pow(F.lit(fade), F.col("at")) * F.col("p")).alias("score"))
     if allowed is not None:
-        fresh = fresh.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
+        scored = scored.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
+    named = ends.join(scored, "ends").select("user_id", "item_id", "score")
+    fresh = named.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
 
 

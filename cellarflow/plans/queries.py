@@ -285,6 +285,16 @@ scored AS (SELECT user_id, to_id AS item_id, sum(f * p) AS score FROM ends JOIN
 fresh AS (SELECT s.* FROM scored s ANTI JOIN inter i ON i.user_id = s.user_id AND i.item_id = s.item_id)
 SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM fresh) WHERE rank <= {K}""")
 def sequential(spark, d):
+    """Only the 50 most frequent next items of an item, as this query's SQL has it; sequential_whole has all of them."""
+    return S.sequential(materialize(interactions(spark, d), "interactions"), K, fan_out=50).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_MOVES}, odds AS (SELECT from_id, to_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY from_id) AS p FROM moves),
+ends AS (SELECT user_id, item_id AS from_id, pow(0.5e0, place - 1) AS f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_us DESC, item_id DESC) AS place FROM inter) WHERE place <= 3),
+scored AS (SELECT user_id, to_id AS item_id, sum(f * p) AS score FROM ends JOIN odds USING (from_id) GROUP BY 1, 2),
+fresh AS (SELECT s.* FROM scored s ANTI JOIN inter i ON i.user_id = s.user_id AND i.item_id = s.item_id)
+SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM fresh) WHERE rank <= {K}""")
+def sequential_whole(spark, d):
     return S.sequential(materialize(interactions(spark, d), "interactions"), K).withColumn("score", F.round("score", 6))
 
 

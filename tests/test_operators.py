@@ -186,6 +186,14 @@ def test_sequential(spark):
     assert ranked(S.sequential(x, 5)) == {"u2": ["c"], "u3": ["c"]}
 
 
+def test_sequential_scores_all_next_items(spark):
+    rows = [(f"a{i:03}", x, 1.0, t) for i in range(120) for t, x in enumerate(("hot", f"n{i % 60:02}"))]
+    rows += [("b", f"n{i:02}", 1.0, i) for i in range(55)] + [("b", "hot", 1.0, 99)]
+    x = inter(spark, rows)
+    assert ranked(S.sequential(x, 5, last=1))["b"] == ["n55", "n56", "n57", "n58", "n59"]
+    assert "b" not in ranked(S.sequential(x, 5, last=1, fan_out=50))
+
+
 def test_collaborative_invariants(spark):
     x = inter(spark, [(f"u{u}", f"i{i}", 1.0, 1) for u in range(12) for i in range(10) if (u + i) % 3 == 0])
     uf = spark.createDataFrame([("feature_only", "style", "ipa"), ("u1", "style", "ipa")], I.FEATURES)
