@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
 from cellarflow.functions.values import as_list
-from cellarflow.operators.ranking import days, for_each_user, top_k
+from cellarflow.operators.ranking import days, for_each_user, top_k, union
 from cellarflow.runtime import materialize
 
 #: Items of a user that one piece of a self-join holds; users with more are split into pieces.
@@ -179,8 +179,9 @@ def collaborative(
 ) -> DataFrame:
     """Implicit ALS over interactions and feature edges: users to pseudo-items of their features, pseudo-users to items.
 
-    A user with features but no interactions gets factors from them. Pseudo ids and seen items are not recommended. Scores
-    are the model's and not comparable with other strategies.
+    A user with features but no interactions gets factors from them. Pseudo ids and items not allowed are left out before
+    scoring and each user asks for k and at least as many as they have seen, so k unseen items remain if there are so many.
+    Scores are the model's and not comparable with other strategies.
     """
     from pyspark.ml.recommendation import ALS
 
@@ -198,17 +199,39 @@ def collaborative(
         userCol="u_no", itemCol="i_no", ratingCol="weight", implicitPrefs=True, rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, seed=seed,
         numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=-1,
     ).fit(coded)
+    real = its.where("i like 'i:%'").select("i_no", F.expr("substring(i, 3)").alias("item_id"))
+    if allowed is not None:
+        real = real.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
+    real = materialize(real, "real_items")
+    n_items = real.count()
+    if not n_items:
+        return top_k(interactions.select("user_id", "item_id", F.lit(0.0).alias("score")).limit(0), k).select("user_id", "item_id", "rank", "score")
+    factors = materialize(model.itemFactors.join(real, model.itemFactors["id"] == real["i_no"], "left_semi"), "item_factors")
+    scorer = _with_items(model, factors)
     seen = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    most = min(200, k + int(seen.agg(F.coalesce(F.percentile_approx("n", 0.95), F.lit(0))).first()[0]) + 20)
-    people = us.where("u like 'u:%'")
-    found = model.recommendForUserSubset(people.select("u_no"), most).select("u_no", F.inline("recommendations"))
-    named = found.join(people, "u_no").join(its.where("i like 'i:%'"), "i_no").select(F.expr("substring(u, 3)").alias("user_id"), F.expr("substring(i, 3)").alias("item_id"), F.col("rating").cast("double").alias("score"))
+    named_users = us.where("u like 'u:%'").select("u_no", F.expr("substring(u, 3)").alias("user_id"))
+    people = materialize(named_users.join(seen, "user_id", "left").select("u_no", "user_id", F.coalesce("n", F.lit(0)).alias("n")), "people")
+    most = people.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    low, high, bands = -1, 16, []
+    while low < most:  # a user of a band asks for k and as many as anyone in it has seen: a few bands up to the most
+        own = people.where((F.col("n") > low) & (F.col("n") <= high)).select("u_no")
+        bands.append(scorer.recommendForUserSubset(own, min(n_items, k + min(high, most))))
+        low, high = high, high * 4
+    found = union(bands).select("u_no", F.inline("recommendations"))
+    named = found.join(people, "u_no").join(real, "i_no").select("user_id", "item_id", F.col("rating").cast("double").alias("score"))
     fresh = named.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    if allowed is not None:
-        fresh = fresh.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
     return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
 
 
+def _with_items(model, factors: DataFrame):
+    """The ALS model with these item factors only, so that no other item takes a place in its lists."""
+    from pyspark.ml.recommendation import ALSModel
+
+    jvm = factors.sparkSession._jvm
+    java = jvm.org.apache.spark.ml.recommendation.ALSModel(model.uid, model.rank, model.userFactors._jdf, factors._jdf)
+    return ALSModel(java.setUserCol("u_no").setItemCol("i_no"))
+
+
 def _dense_ids(ids: DataFrame, name: str) -> DataFrame:
     """Whole numbers from 0 for different ids, by counts per partition: no global sort in one task."""
     parts = materialize(ids.withColumn("_pid", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()), "numbering")

@@ -203,6 +203,16 @@ def test_collaborative_invariants(spark):
     assert "feature_only" in {r.user_id for r in got}
 
 
+def test_collaborative_gives_k_rows_to_users_who_saw_much(spark):
+    rows = [("much", f"i{i:03}", 1.0, 1) for i in range(240)] + [(f"u{u}", f"i{(u * 7 + j * 13) % 260:03}", 1.0, 1) for u in range(60) for j in range(8)]
+    x = inter(spark, rows + [("rest", f"i{i:03}", 1.0, 1) for i in range(240, 260)])
+    few = spark.createDataFrame([(f"i{i:03}",) for i in range(230, 260)], "item_id string")
+    for allowed in (None, few):
+        got = ranked(S.collaborative(x, 5, rank=4, iterations=2, blocks=2, allowed=allowed))
+        assert set(got) == {r[0] for r in rows} | {"rest"} and all(len(v) == 5 for v in got.values())
+        assert all(int(i[1:]) >= 240 for i in got["much"])
+
+
 def test_registry():
     with pytest.raises(ValueError):
         S.register("popular", S.popular)
