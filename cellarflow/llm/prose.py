@@ -78,6 +78,42 @@ def periodic(tokens: list[str], least: int = 4) -> bool:
     return False
 
 
+def repeated_share(tokens: list[str], least: int = 4) -> float:
+    """Share of the characters that lie in stretches of tokens repeated back to back so many times or more, of any length
+    and wherever they start; values over one half may be cut short, for the search ends there.
+
+    A stretch of p tokens repeated least times covers neighbouring multiples of p, so comparing those finds every period.
+    Where the different tokens are too long together for one half to be repetition, nothing is searched.
+    """
+    n, sizes = len(tokens), list(map(len, tokens))
+    total = sum(sizes)
+    if not total or sum(map(len, set(tokens))) > total * (0.5 + 0.5 / least):
+        return 0.0
+    covered, chars = bytearray(n), 0
+    period, end = [0] * n, [0] * n  # the last run found over a token
+    for p in range(1, n // least + 1):
+        at = 0
+        while at + p < n:
+            if tokens[at] != tokens[at + p] or period[at] and p % period[at] == 0 and end[at] >= at + p + period[at]:
+                at += p
+                continue
+            low, high = at, at + 1
+            while low and tokens[low - 1] == tokens[low - 1 + p]:
+                low -= 1
+            while high + p < n and tokens[high] == tokens[high + p]:
+                high += 1
+            if high - low >= (least - 1) * p:
+                for i in range(low, high + p):
+                    if not covered[i]:
+                        covered[i] = 1
+                        chars += sizes[i]
+                    period[i], end[i] = p, high + p
+                if chars > 0.5 * total:
+                    return chars / total
+            at += max(p, (high - at + p - 1) // p * p)
+    return chars / total
+
+
 @dataclass
 class ProseModel:
     """What the labelled texts and the common words say; small, and sent to the executors with the function.
@@ -256,7 +292,7 @@ class ProseModel:
             return {}
         flat = [x for line in lines for x in _tokens(line)]
         chars = Counter()
-        if len(flat) >= 8 and periodic(flat):
+        if len(flat) >= 8 and (periodic(flat) or repeated_share(flat) > 0.5):
             chars["junk"] = sum(map(len, lines))
             return {"junk": 1.0}
         if len(lines) >= 6:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from cellarflow.llm.prose import ProseModel, kind_of, periodic, sentences_of
+from cellarflow.llm.prose import ProseModel, kind_of, periodic, repeated_share, sentences_of
 from cellarflow.llm.quality import ALL, STATISTICS, bucket, fit_judge, language, not_prose, scales, sketches, text_quality
 from pyspark.sql import functions as F
 
@@ -66,6 +66,18 @@ def test_blank_and_parts():
     assert sentences_of("One. Two! Three") == ["One.", "Two!", "Three"]
 
 
+def test_repetition_of_any_length_and_start():
+    long = " ".join(PROSE) + " " + " ".join(f"We bought bottle {i} of the dark beer for you." for i in range(5))
+    assert len(long.split()) > 60 and kind_of(judge().shares(long)) == "prose"
+    assert kind_of(judge().shares("\n".join([long] * 4))) == "junk" and kind_of(judge().shares("\n".join([long] * 2))) == "prose"
+    assert kind_of(judge().shares(" ".join([PROSE[1], *[PROSE[0]] * 4]))) == "junk"
+    assert kind_of(judge().shares(" ".join([*PROSE[1:], *PROSE[1:], *[PROSE[0]] * 3]))) == "prose"
+    ja = "".join(chr(0x3042 + i % 70) for i in range(64))
+    assert kind_of(judge().shares(ja * 5)) == "junk"
+    assert repeated_share("x a a a a b a a a a b a a a a b a a a a b".split()) > 0.5
+    assert repeated_share("a b c a b c a b c d e f g h".split()) == 0.0
+
+
 def test_quality_of_edge_cases(spark, frames):
     rows = [(1, PROSE[0], "en", "x", 1, 1), (2, None, None, "x", 1, 1), (3, "", "EN-gb", "x", 1, 1), (4, " \n ", " de ", "x", 1, 1), (5, LIST, "??", "x", 1, 1), (None, PROSE[0], "en", "x", 1, 1), (6, "word " * 200_000, "en", "x", 1, 1), (1, PROSE[0], "en", "x", 1, 1)]
     got = sorted(text_quality(spark.createDataFrame(rows, DOCS), *frames).collect(), key=lambda r: (r.doc_id, r.lang))
