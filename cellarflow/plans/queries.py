@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarflow.config import SHOP, Blending, BoostRule, JobSettings
+from cellarflow.config import PERSONALIZED, SHOP, Blending, BoostRule, JobSettings
 from cellarflow.functions.strings import duckdb_strip
 from cellarflow.functions.times import DAY_US
 from cellarflow.functions.values import as_time
@@ -449,19 +449,19 @@ def metrics_mean(spark, d):
 
 @query()
 def automl(spark, d):
-    """Every closed-form strategy alone and two combinations over two weekly folds: the mean metrics of each."""
+    """Every strategy of the registry alone and two combinations of all over two weekly folds: the mean metrics of each."""
     ev = materialize(events(spark, d), "events")
     raw = ev.withColumn("occurred_at", F.timestamp_micros("t"))
     folds = E.time_folds(ev, 2, 7, not_after_us=AS_OF_US)
     split = {f: E.split(raw, f) for f in folds}
     data = {f: pipeline.build_dataset(split[f][0], None, items(spark, d), SHOP, f.start_us, HALF_LIFE) for f in folds}
     truth = {f: materialize(I.build_interactions(split[f][1], SHOP, f.end_us, HALF_LIFE), "truth") for f in folds}
-    models = ("popular", "latest", "sequential")
+    models = tuple(S.REGISTRY)
 
     def recommend(c: E.Candidate, f: E.Fold) -> DataFrame:
-        return pipeline.recommend(data[f], SHOP, JobSettings(models=c.models, model_weights=dict(c.weights) if c.weights else None, rrf_k=c.rrf_k))
+        return pipeline.recommend(data[f], SHOP, JobSettings(models=c.models, content_fallback="content_fallback" in c.models, model_weights=dict(c.weights) if c.weights else None, rrf_k=c.rrf_k))
 
-    results = E.evaluate(folds, E.default_candidates(models, ("sequential",)), recommend, lambda f: truth[f], K)
+    results = E.evaluate(folds, E.default_candidates(models, PERSONALIZED), recommend, lambda f: truth[f], K)
     best = E.select_best(results, "MAP").label
     rows = [(c.label, c.label == best, *(float(m[f"{n}@{K}"]) for n in E.METRICS)) for c, m in results]
     return spark.createDataFrame(rows, "candidate string, is_best boolean, map double, ndcg double, recall double, precision double")

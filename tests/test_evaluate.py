@@ -4,6 +4,8 @@ import pytest
 
 from cellarflow.config import ConfigError
 from cellarflow.operators import evaluate as E
+from cellarflow.operators.strategies import REGISTRY
+from cellarflow.plans.queries import QUERIES
 
 DAY = 86_400_000_000
 
@@ -58,3 +60,8 @@ def test_select_best():
 def test_trajectory():
     assert E.trajectory_warning([]) is None and E.trajectory_warning([0.1, 0.2, 0.3]) is None
     assert E.trajectory_warning([0.1, 0.4, 0.29]) == "fell" and E.trajectory_warning([0.1, 0.3, 0.301, 0.3]) == "plateau"
+
+
+def test_automl_evaluates_the_whole_registry(spark, small):
+    rows = QUERIES["automl"](spark, small).collect()
+    assert set(REGISTRY) <= {r.candidate for r in rows} and len(rows) == len(REGISTRY) + 2 and sum(r.is_best for r in rows) == 1
