@@ -79,6 +79,62 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop_path(spark, path)
+    return fs.exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = hadoop_path(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with its whole text; False if it is there already.
+
+    The text is written beside and then linked (local file systems) or renamed without overwriting (others), so no reader
+    ever meets a part of it, a crash leaves at most a stray .tmp file, and of two writers just one gets True.
+    """
+    fs, at = hadoop_path(spark, path)
+    sc = spark.sparkContext
+    beside = sc._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(beside.toUri().getPath(), at.toUri().getPath())
+            return True
+        kind = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = sc._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), sc._jsc.hadoopConfiguration()).rename(beside, at, options)
+        return True
+    except Exception as e:  # noqa: BLE001 - py4j wraps Java's exceptions
+        if fs.exists(at):
+            return False
+        raise e
+    finally:
+        fs.delete(beside, False)
+
+
+def newest_number(spark: SparkSession, folder: str) -> int:
+    """The largest n of the files 1.json .. n.json of a folder, 0 if there is none; numbers without gaps, found by bisection
+    instead of a listing."""
+    there = lambda n: exists(spark, f"{folder}/{n}.json")
+    low, high = 0, 1
+    while there(high):
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if there(middle) else (low, middle)
+    return low
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """A broadcast hint only where a known number of rows proves that the side is small; else Spark joins by shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

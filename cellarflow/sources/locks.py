@@ -10,54 +10,58 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from cellarflow.runtime import hadoop_path
-from cellarflow.sources.tables import read_text
+from cellarflow.runtime import exists, hadoop_path, newest_number, put_new, read_text
 
 
 class FileLease:
-    """A lease that its holder renews; after ttl seconds without that another may take it."""
+    """A lease that its holder renews; after ttl seconds without that another may take it.
+
+    Taking it creates the next numbered file of a folder, which only one of several takers can do. The number is the fence:
+    whoever holds a smaller one has lost. The holder's renewals go into a file beside its number; one that cannot be read, for it
+    is being written, counts as a renewal.
+    """
 
     def __init__(self, spark: SparkSession, path: str, ttl: float = 60.0, clock: Callable[[], float] = time.time) -> None:
         self.spark, self.path, self.ttl, self.clock, self.owner = spark, path, ttl, clock, uuid.uuid4().hex
-
-    def _write(self, overwrite: bool) -> bool:
-        fs, at = hadoop_path(self.spark, self.path)
+        self.fence = 0
+
+    def _holder(self) -> tuple[int, str | None, float]:
+        """The newest number, its owner and until when it is held."""
+        n = newest_number(self.spark, self.path)
+        if not n:
+            return 0, None, 0.0
+        held = json.loads(read_text(self.spark, f"{self.path}/{n}.json"))
         try:
-            stream = fs.create(at, overwrite)
-        except Exception:  # noqa: BLE001 - it exists
-            return False
-        stream.write(bytearray(json.dumps({"owner": self.owner, "until": self.clock() + self.ttl}).encode()))
+            until = float(read_text(self.spark, f"{self.path}/{n}.until")) if exists(self.spark, f"{self.path}/{n}.until") else held["until"]
+        except Exception:  # noqa: BLE001 - the holder is writing it
+            until = self.clock() + self.ttl
+        return n, held["owner"], until
+
+    def _until(self, at: float) -> None:
+        fs, path = hadoop_path(self.spark, f"{self.path}/{self.fence}.until")
+        stream = fs.create(path, True)
+        stream.write(bytearray(repr(at).encode()))
         stream.close()
-        return True
-
-    def _read(self) -> dict | None:
-        fs, at = hadoop_path(self.spark, self.path)
-        try:
-            return json.loads(read_text(self.spark, self.path)) if fs.exists(at) else None
-        except ValueError:
-            return None
 
     def acquire(self) -> bool:
-        held = self._read()
-        if held is None:
-            return self._write(False)
-        if held["owner"] != self.owner and held["until"] > self.clock():
+        n, owner, until = self._holder()
+        if owner == self.owner and n == self.fence and until > self.clock():
+            self._until(self.clock() + self.ttl)
+            return True
+        if until > self.clock():
             return False
-        fs, at = hadoop_path(self.spark, self.path)
-        if held["owner"] != self.owner:
-            fs.delete(at, False)
-            return self._write(False)
-        return self._write(True)
+        if put_new(self.spark, f"{self.path}/{n + 1}.json", json.dumps({"owner": self.owner, "until": self.clock() + self.ttl})):
+            self.fence = n + 1
+            return True
+        return False
 
     def lost(self) -> bool:
-        held = self._read()
-        return held is None or held["owner"] != self.owner or held["until"] <= self.clock()
+        n, owner, until = self._holder()
+        return owner != self.owner or n != self.fence or until <= self.clock()
 
     def release(self) -> None:
-        held = self._read()
-        if held and held["owner"] == self.owner:
-            fs, at = hadoop_path(self.spark, self.path)
-            fs.delete(at, False)
+        if not self.lost():
+            self._until(0.0)
 
 
 class RunGuard:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarflow.runtime import delete_path, hadoop_path
+from cellarflow.runtime import delete_path, exists, hadoop_path, newest_number, put_new, read_text
 from cellarflow.schemas import RECOMMENDATIONS
 
 ARTIFACT_VERSION = 1
@@ -33,33 +34,6 @@ def read_only(query: str) -> str:
     return text
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = hadoop_path(spark, path)
-    return fs.exists(at)
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    fs, at = hadoop_path(spark, path)
-    stream = fs.open(at)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so a reader sees the old text or the new."""
-    fs, at = hadoop_path(spark, path)
-    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    stream = fs.create(beside, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"{path} could not be replaced")
-
-
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
     """A scan that reads just the columns and row groups asked for."""
     df = spark.read.parquet(path)
@@ -78,6 +52,44 @@ def write_jdbc(df: DataFrame, url: str, table: str, *, append: bool = False, bat
     df.write.format("jdbc").option("url", url).option("dbtable", table_name(table)).option("batchsize", batch).option("truncate", True).options(**options).mode("append" if append else "overwrite").save()
 
 
+def replace_users_jdbc(rows: DataFrame, ids: DataFrame, url: str, table: str, **options: str) -> None:
+    """Replaces the rows of the users in ids in a database table: all of it in one transaction, or nothing.
+
+    Executors write the ids and the new rows into two tables beside it, in parallel; then one connection deletes and inserts
+    by those tables and commits. options go to the writer (createTableColumnTypes for databases that cannot compare
+    long texts); user and password also to the connection.
+    """
+    spark, wanted = rows.sparkSession, replace_ids(ids, rows)
+    jvm = spark.sparkContext._jvm
+    quote = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    stem = f"{table_name(table)}_{uuid.uuid4().hex[:8]}"
+    types = options.pop("createTableColumnTypes", None)
+    columns = ", ".join(quote(c) for c in rows.columns)
+    typed = lambda names: {"createTableColumnTypes": ", ".join(t for t in types.split(", ") if t.split()[0] in names)} if types else {}
+    props = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            props.setProperty(name, options[name])
+    write_jdbc(wanted, url, f"{stem}_ids", **typed(wanted.columns), **options)
+    write_jdbc(rows, url, f"{stem}_rows", **typed(rows.columns), **options)
+    link = jvm.java.sql.DriverManager.getConnection(url, props)
+    link.setAutoCommit(False)
+    run = link.createStatement().executeUpdate
+    user = quote("user_id")
+    try:
+        run(f"delete from {table} where {user} in (select {user} from {stem}_ids)")
+        run(f"insert into {table} ({columns}) select {columns} from {stem}_rows")
+        link.commit()
+    except Exception:
+        link.rollback()
+        raise
+    finally:
+        for part in ("ids", "rows"):
+            run(f"drop table {stem}_{part}")
+        link.commit()
+        link.close()
+
+
 def replace_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """The different ids to replace; rows of users not among them, or rows without any ids, raise."""
     wanted = ids.select(F.col("user_id").cast("string").alias("user_id")).where("user_id is not null").distinct()
@@ -114,12 +126,18 @@ def count_after(events: DataFrame, cursor: tuple[int, str] | None, most: int = 1
 class Store:
     """A folder with input tables and versioned outputs.
 
-    Outputs are written into a new folder and become current by the replacement of one small pointer file, so
-    a reader never sees half a table and a table can be replaced from rows that were read from it.
+    An output is written into a new folder and becomes current by a numbered file of its own, <name>.versions/<n>.json,
+    that appears whole or not at all; the largest number is the current one. A reader never sees half a table or none,
+    and a table can be replaced from rows that were read from it. Folders of older versions stay, for frames may still read
+    them; vacuum deletes those behind the newest few.
+
+    Recommendations lie in buckets by a hash of the user. A version names the folder of each bucket, so replacing some users
+    writes their buckets only, and the others are shared with the version before. A replacement counts only as the version
+    after the one it was computed from; where another writer was faster it is computed anew.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, input_root: str | None = None, buckets: int = 64) -> None:
-        self.spark, self.root, self.input_root, self.buckets = spark, root.rstrip("/"), (input_root or root).rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, *, input_root: str | None = None, buckets: int = 64, attempts: int = 20) -> None:
+        self.spark, self.root, self.input_root, self.buckets, self.attempts = spark, root.rstrip("/"), (input_root or root).rstrip("/"), buckets, attempts
 
     def read_input(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
         """events, and users and items where they are there; missing events raise."""
@@ -134,76 +152,142 @@ class Store:
         fs, at = hadoop_path(self.spark, f"{self.input_root}/{name}.parquet")
         return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else None
 
-    def _current(self, name: str) -> str | None:
-        pointer = f"{self.root}/{name}.current"
-        return f"{self.root}/{read_text(self.spark, pointer)}" if exists(self.spark, pointer) else None
-
-    def _publish(self, name: str, df: DataFrame) -> DataFrame:
-        old, version = self._current(name), f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{version}")
-        write_text(self.spark, f"{self.root}/{name}.current", version)
-        if old:
-            delete_path(self.spark, old)
-        return self.spark.read.parquet(f"{self.root}/{version}")
+    # versions
+
+    def version(self, name: str) -> tuple[int, dict | None]:
+        """The number and content of the current version of an output; (0, None) before the first."""
+        n = newest_number(self.spark, f"{self.root}/{name}.versions")
+        return n, json.loads(read_text(self.spark, f"{self.root}/{name}.versions/{n}.json")) if n else None
+
+    def publish(self, name: str, make: Callable[[dict | None], dict]) -> dict:
+        """Makes what make(current version) gives the next version; computed anew where another writer came in between."""
+        for _ in range(self.attempts):
+            n, current = self.version(name)
+            entry = make(current)
+            if put_new(self.spark, f"{self.root}/{name}.versions/{n + 1}.json", json.dumps(entry)):
+                return entry
+        raise RuntimeError(f"{name}: other writers were faster {self.attempts} times")
+
+    def vacuum(self, keep: int = 3) -> int:
+        """Deletes the folders of outputs that none of the newest versions names; returns how many. Frames that still read
+        older versions, and writers that have not published yet, must be done."""
+        used: set[str] = set()
+        for name in ("recommendations", "items_snapshot", "artifact"):
+            n = newest_number(self.spark, f"{self.root}/{name}.versions")
+            for i in range(max(1, n - keep + 1), n + 1):
+                entry = json.loads(read_text(self.spark, f"{self.root}/{name}.versions/{i}.json"))
+                used |= {p.split("/")[0] for p in [entry.get("path", ""), *entry.get("buckets", {}).values()]}
+        fs, at = hadoop_path(self.spark, self.root)
+        old = [p for p in (x.getPath() for x in fs.listStatus(at)) if re.fullmatch(r"(recommendations|items_snapshot|artifact)-[0-9a-f]{32}", p.getName()) and p.getName() not in used]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
+    # recommendations
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
+
+    def _write_buckets(self, rows: DataFrame) -> tuple[dict[str, str], dict[str, int]]:
+        """The folder and the number of users of each bucket that has rows. Sorted by user and rank, so that a look-up
+        skips nearly all row groups; a bucket is spread over several tasks where there is much of it."""
+        version = f"recommendations-{uuid.uuid4().hex}"
+        columns = [F.col(f.name).cast(f.dataType) for f in RECOMMENDATIONS]
+        placed = rows.select(*columns, self._bucket().alias("bucket"), F.pmod(F.hash("user_id"), F.lit(16)).alias("_spread"))
+        spread = placed.repartition("bucket", "_spread").sortWithinPartitions("bucket", "user_id", "rank").drop("_spread")
+        spread.write.partitionBy("bucket").parquet(f"{self.root}/{version}")
+        written = self.spark.read.schema("user_id string, bucket int").parquet(f"{self.root}/{version}")
+        users = {str(r["bucket"]): r["n"] for r in written.groupBy("bucket").agg(F.countDistinct("user_id").alias("n")).collect()}  # a row per bucket
+        return {b: f"{version}/bucket={b}" for b in users}, users
 
     def write_recommendations(self, rows: DataFrame) -> DataFrame:
-        """Sorted by user and rank in files by user, so that a look-up of a user skips nearly all row groups."""
-        columns = [F.col(f.name).cast(f.dataType) for f in RECOMMENDATIONS]
-        return self._publish("recommendations", rows.select(*columns).repartition("user_id").sortWithinPartitions("user_id", "rank"))
+        """Replaces the whole table."""
+        buckets, users = self._write_buckets(rows)
+        entry = self.publish("recommendations", lambda old: {"of": self.buckets, "buckets": buckets, "users": users, "batch": (old or {}).get("batch")})
+        return self._rows(entry["buckets"].values())
+
+    def _rows(self, folders) -> DataFrame:
+        paths = [f"{self.root}/{p}" for p in folders]
+        return self.spark.read.schema(RECOMMENDATIONS).parquet(*paths) if paths else self.spark.createDataFrame([], RECOMMENDATIONS)
 
     def read_recommendations(self, users: DataFrame | None = None) -> DataFrame:
-        """All rows, or those of some users; an empty frame of the fixed schema before the first run."""
-        path = self._current("recommendations")
-        rows = self.spark.read.schema(RECOMMENDATIONS).parquet(path) if path else self.spark.createDataFrame([], RECOMMENDATIONS)
-        return rows if users is None else rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
+        """All rows, or those of some users, of whose buckets only; an empty frame of the fixed schema before the first run."""
+        entry = self.version("recommendations")[1]
+        if entry is None:
+            return self._rows([])
+        if users is None:
+            return self._rows(entry["buckets"].values())
+        self.buckets = entry["of"]
+        wanted = users.select("user_id").distinct()
+        touched = {str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()}  # at most as many as there are buckets
+        return self._rows(p for b, p in entry["buckets"].items() if b in touched).join(wanted, "user_id", "left_semi")
 
     def count_users(self) -> int:
-        return self.read_recommendations().agg(F.countDistinct("user_id")).first()[0]
+        """How many users the table has; kept with the version, nothing is read."""
+        return sum(((self.version("recommendations")[1] or {}).get("users") or {}).values())
+
+    def last_batch(self) -> int | None:
+        """The number of the last micro-batch that the current version holds, whatever runs came after it."""
+        return (self.version("recommendations")[1] or {}).get("batch")
 
-    def replace_for_users(self, ids: DataFrame, rows: DataFrame) -> int:
-        """Replaces the rows of the users in ids; returns how many users the table then has."""
+    def replace_for_users(self, ids: DataFrame, rows: DataFrame, *, batch: int | None = None) -> int:
+        """Replaces the rows of the users in ids; returns how many users the table then has. Only their buckets are read and
+        written. batch is kept with the version, and a batch not above the last one is passed over."""
         wanted = replace_ids(ids, rows)
-        self.write_recommendations(replace_users(self.read_recommendations(), wanted, rows))
-        return self.count_users()
+
+        def make(old: dict | None) -> dict:
+            old = old or {"of": self.buckets, "buckets": {}, "users": {}, "batch": None}
+            if batch is not None and old["batch"] is not None and old["batch"] >= batch:
+                return old
+            self.buckets = old["of"]
+            touched = {str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()}
+            before = self._rows(p for b, p in old["buckets"].items() if b in touched)
+            buckets, users = self._write_buckets(replace_users(before, wanted, rows))
+            rest = lambda m: {b: x for b, x in m.items() if b not in touched}
+            return {"of": self.buckets, "buckets": rest(old["buckets"]) | buckets, "users": rest(old["users"]) | users, "batch": old["batch"] if batch is None else batch}
+
+        return sum(self.publish("recommendations", make)["users"].values())
+
+    # items, manifests, artifacts
 
     def write_snapshot(self, items: DataFrame) -> None:
-        self._publish("items_snapshot", items)
+        path = f"items_snapshot-{uuid.uuid4().hex}"
+        items.write.parquet(f"{self.root}/{path}")
+        self.publish("items_snapshot", lambda old: {"path": path})
 
     def read_snapshot(self) -> DataFrame | None:
-        path = self._current("items_snapshot")
-        return self.spark.read.parquet(path) if path else None
+        entry = self.version("items_snapshot")[1]
+        return self.spark.read.parquet(f"{self.root}/{entry['path']}") if entry else None
 
     def write_manifest(self, manifest: Mapping) -> None:
-        """One file per run; the newest by generated_at is the current one."""
-        stamp = re.sub(r"\D", "", str(manifest["generated_at"]))[:20]
-        write_text(self.spark, f"{self.root}/manifests/{stamp}-{uuid.uuid4().hex[:8]}.json", json.dumps(dict(manifest)))
-
-    def manifests(self, n: int = 1) -> list[dict]:
-        """The n newest manifests, newest first."""
+        """One file per run, named by time and mode; the newest by generated_at (UTC where it names no zone) is the current one."""
+        at = datetime.fromisoformat(str(manifest["generated_at"]))
+        stamp = (at if at.tzinfo else at.replace(tzinfo=UTC)).astimezone(UTC).strftime("%Y%m%d%H%M%S%f")
+        mode = re.sub(r"\W", "", str(manifest.get("mode", "full")))
+        put_new(self.spark, f"{self.root}/manifests/{stamp}-{mode}-{uuid.uuid4().hex[:8]}.json", json.dumps(dict(manifest)))
+
+    def manifests(self, n: int = 1, mode: str | None = None) -> list[dict]:
+        """The n newest manifests, of a mode if one is given, newest first; the names tell which, so only n files are opened."""
         fs, at = hadoop_path(self.spark, f"{self.root}/manifests")
-        names = sorted((x.getPath().toString() for x in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
-        found = [json.loads(read_text(self.spark, p)) for p in names if p.endswith(".json")]
-        return sorted(found, key=lambda m: m["generated_at"], reverse=True)[:n]
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        named = sorted((x for x in names if x.endswith(".json") and mode in (None, x.split("-")[1])), reverse=True)
+        return [json.loads(read_text(self.spark, f"{self.root}/manifests/{x}")) for x in named[:n]]
 
     def newest_incremental(self) -> dict | None:
-        return next((m for m in self.manifests(1000) if m.get("mode") == "incremental"), None)
+        return next(iter(self.manifests(1, "incremental")), None)
 
     def write_artifact(self, tables: Mapping[str, DataFrame], meta: Mapping) -> None:
         """Tables and a description of a fitted state, current as one; nothing pickled."""
-        version = f"artifact-{uuid.uuid4().hex}"
+        path = f"artifact-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{table_name(name)}")
-        write_text(self.spark, f"{self.root}/{version}/meta.json", json.dumps({"version": ARTIFACT_VERSION, "tables": list(tables), **meta}))
-        old = self._current("artifact")
-        write_text(self.spark, f"{self.root}/artifact.current", version)
-        if old:
-            delete_path(self.spark, old)
+            df.write.parquet(f"{self.root}/{path}/{table_name(name)}")
+        self.publish("artifact", lambda old: {"path": path, "meta": {"version": ARTIFACT_VERSION, "tables": list(tables), **meta}})
 
     def read_artifact(self) -> tuple[dict, dict[str, DataFrame]]:
-        path = self._current("artifact")
-        if not path:
-            raise FileNotFoundError(f"{self.root}/artifact.current")
-        meta = json.loads(read_text(self.spark, f"{path}/meta.json"))
+        entry = self.version("artifact")[1]
+        if entry is None:
+            raise FileNotFoundError(f"{self.root}/artifact.versions")
+        meta = entry["meta"]
         if meta.get("version") != ARTIFACT_VERSION:
             raise ValueError(f"artifact version {meta.get('version')!r} cannot be read")
-        return meta, {n: self.spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}
+        return meta, {n: self.spark.read.parquet(f"{self.root}/{entry['path']}/{n}") for n in meta["tables"]}

@@ -13,6 +13,7 @@ from cellarflow.config import FeatureConfig
 from cellarflow.functions.strings import strip, strip_to_null
 from cellarflow.functions.times import micros
 from cellarflow.operators.interactions import base_weight, quantity_factor
+from cellarflow.runtime import materialize
 from cellarflow.schemas import COLD_START_USER, nan_to_null
 
 #: Decimals that a batch's sums are rounded to before they order items.
@@ -138,6 +139,8 @@ def merge_batch(prior: DataFrame, events: DataFrame, config: FeatureConfig | Non
 class MicroBatches:
     """foreachBatch target that merges batches into a Store; a batch number is applied once, replays are passed over.
 
+    The number of the last batch is part of the table's version, so that it counts as applied exactly when its rows do. A batch
+    reads and writes the buckets of its users only.
     busy and fenced are asked before the work and before the write: a busy store raises, so that the batch comes again.
     """
 
@@ -148,8 +151,8 @@ class MicroBatches:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from datetime import UTC, datetime
 
-        done = self.store.newest_incremental()
-        if done is not None and done["batch_id"] >= batch_id:
+        done = self.store.last_batch()
+        if done is not None and done >= batch_id:
             return
         if self.busy():
             raise RuntimeError("the store is being rebuilt")
@@ -160,11 +163,10 @@ class MicroBatches:
             report = {"generated_at": datetime.now(UTC).isoformat(), "mode": "incremental", "batch_id": batch_id, "status": "ok", "n_events": n, "n_rejected": rejected.count()}
             if n:
                 users = events.select("user_id").distinct().unionByName(self.store.spark.createDataFrame([(COLD_START_USER,)], "user_id string")).distinct()
-                rows = merge_batch(self.store.read_recommendations(users), events, self.config, self.k)
+                rows = materialize(merge_batch(self.store.read_recommendations(users), events, self.config, self.k), "merged")
                 if self.fenced():
                     raise RuntimeError("another writer took over")
-                written = rows.select("user_id").distinct()
-                report["n_users"] = self.store.replace_for_users(written, rows)
+                report["n_users"] = self.store.replace_for_users(rows.select("user_id"), rows, batch=batch_id)
             self.store.write_manifest(report)
             self.outcomes.append(report)
         finally:

@@ -1,3 +1,4 @@
+import threading
 import time
 from datetime import UTC, datetime, timedelta
 
@@ -71,6 +72,79 @@ def test_replacing_users(spark, store):
     assert store.changed_at() > 0 and Store(spark, store.root + "/nowhere").changed_at() is None
 
 
+def test_only_buckets_of_replaced_users_are_written(spark, store):
+    row = lambda u, i: (u, i, 1, 1.0, "s")
+    store.write_recommendations(spark.createDataFrame([row(f"u{i}", "x") for i in range(400)], ROWS))
+    before = store.version("recommendations")[1]["buckets"]
+    rows = spark.createDataFrame([row(f"u{i}", "y") for i in range(10)], ROWS)
+    assert store.replace_for_users(rows, rows) == store.count_users() == 400
+    after = store.version("recommendations")[1]["buckets"]
+    touched = {r[0] for r in rows.select(store._bucket()).distinct().collect()}
+    assert {int(b) for b in after if after[b] != before[b]} == touched and len(touched) <= 10 < len(after)
+    assert store.read_recommendations().where("item_id = 'y'").count() == 10 and store.read_recommendations().count() == 400
+    assert store.replace_for_users(rows, rows.limit(0)) == 390
+
+
+def test_a_reader_sees_whole_versions_and_old_frames_stay_readable(spark, store):
+    rows = lambda x: spark.createDataFrame([(f"u{i}", x, 1, 1.0, "s") for i in range(30)], ROWS)
+    store.write_recommendations(rows("v0"))
+    old, stop, seen = store.read_recommendations(), threading.Event(), []
+
+    def look():
+        while not stop.is_set():
+            seen.append(sorted(r.item_id for r in Store(spark, store.root).read_recommendations().collect()))
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for i in range(1, 5):
+        store.write_recommendations(rows(f"v{i}"))
+    stop.set()
+    reader.join()
+    assert seen and all(len(x) == 30 and len(set(x)) == 1 for x in seen)
+    assert old.where("item_id = 'v0'").count() == 30
+    assert store.vacuum(keep=2) == 3 and store.read_recommendations().where("item_id = 'v4'").count() == 30
+
+
+def test_replacements_that_overlap_lose_nothing(spark, store, monkeypatch):
+    rows = lambda u: spark.createDataFrame([(u, "x", 1, 1.0, "s")], ROWS)
+    other, real, late = Store(spark, store.root), Store._write_buckets, []
+
+    def write(self, df):
+        if self is store and not late:
+            late.append(other.replace_for_users(rows("b"), rows("b"), batch=7))
+        return real(self, df)
+
+    monkeypatch.setattr(Store, "_write_buckets", write)
+    assert store.replace_for_users(rows("a"), rows("a")) == 2 and store.last_batch() == 7
+    assert {r.user_id for r in store.read_recommendations().collect()} == {"a", "b"}
+
+
+def test_manifests_by_name(spark, store):
+    for i in range(1005):
+        if i < 1 or i > 1000:
+            store.write_manifest({"generated_at": f"2026-03-01T10:{i // 60:02d}:{i % 60:02d}+01:00", "mode": "incremental" if not i else "full", "i": i})
+    assert [m["i"] for m in store.manifests(2)] == [1004, 1003] and store.newest_incremental()["i"] == 0
+    assert [m["i"] for m in store.manifests(9, "full")] == [1004, 1003, 1002, 1001]
+
+
+def test_database_users_are_replaced_in_one_transaction(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    types = "user_id VARCHAR(64), item_id VARCHAR(64), source VARCHAR(64)"
+    row = lambda u, i: (u, i, 1, 1.0, "s")
+    frame = lambda rows: spark.createDataFrame(rows, ROWS)
+    T.write_jdbc(frame([row("a", "x"), row("b", "x"), row("b", "y")]), url, "recs", createTableColumnTypes=types)
+    got = lambda: sorted((r.user_id, r.item_id) for r in T.read_jdbc(spark, url, table="recs").collect())
+    T.replace_users_jdbc(frame([row("b", "z"), row("c", "w")]), spark.createDataFrame([("b",), ("c",), (None,)], "user_id string"), url, "recs", createTableColumnTypes=types)
+    assert got() == [("a", "x"), ("b", "z"), ("c", "w")]
+    with pytest.raises(Exception):  # the insert fails, so the delete must not stay
+        T.replace_users_jdbc(frame([("b", "z", 1, 1.0, "s" * 65)]), spark.createDataFrame([("b",)], "user_id string"), url, "recs", createTableColumnTypes=types.replace("source VARCHAR(64)", "source VARCHAR(99)"))
+    assert got() == [("a", "x"), ("b", "z"), ("c", "w")]
+    T.write_jdbc(frame([row("d", "x")]), url, "recs", append=True)
+    assert T.read_jdbc(spark, url, query="select \"user_id\" from recs where \"item_id\" = 'x'").count() == 2
+    T.write_jdbc(frame([row("only", "x")]), url, "recs")
+    assert got() == [("only", "x")]
+
+
 def test_keyset_pages(spark):
     ev = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d"), (3, None)], "t bigint, event_id string")
     page = lambda c, n: [(r.t, r.event_id) for r in T.keyset_page(ev, c, n).collect()]

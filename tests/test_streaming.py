@@ -5,6 +5,7 @@ import pytest
 
 from cellarflow.config import SHOP
 from cellarflow.sources import streams
+from cellarflow.sources.locks import FileLease
 from cellarflow.sources.tables import Store
 from cellarflow.streaming import intake as N
 
@@ -111,7 +112,14 @@ def test_busy_store_makes_the_batch_come_again(spark, tmp_path):
         N.MicroBatches(store, SHOP, fenced=lambda: True)(batch, 0)
     assert store.newest_incremental() is None
     N.MicroBatches(store, SHOP)(batch, 0)
-    assert store.newest_incremental()["n_events"] == 1
+    assert store.newest_incremental()["n_events"] == 1 and store.last_batch() == 0
+    lease = FileLease(spark, f"{tmp_path}/lease")
+    assert lease.acquire()
+    N.MicroBatches(store, SHOP, fenced=lease.lost)(batch, 1)
+    lease.release()
+    with pytest.raises(RuntimeError):
+        N.MicroBatches(store, SHOP, fenced=lease.lost)(batch, 2)
+    assert store.last_batch() == 1
 
 
 def test_cursor_source(spark, tmp_path):
