@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile("[\ufffd\x80-\x9f□¿]")
@@ -67,28 +67,20 @@ def _grams(text: str) -> list[str]:
     return [kept[i : i + 2] for i in range(len(kept) - 1)]
 
 
-def periodic(tokens: list[str], least: int = 4) -> bool:
-    """Bare repetition: the sequence is, but for its rim, one stretch of tokens over and over, at least so many times."""
-    n = len(tokens)
-    for p in range(1, min(n // least, 60) + 1):
-        if tokens[0] == tokens[p] or tokens[1 : 2] == tokens[p + 1 : p + 2]:
-            same = sum(map(str.__eq__, tokens[p:], tokens))
-            if same >= 0.95 * (n - p):
-                return True
-    return False
-
-
 def repeated_share(tokens: list[str], least: int = 4) -> float:
     """Share of the characters that lie in stretches of tokens repeated back to back so many times or more, of any length
     and wherever they start; values over one half may be cut short, for the search ends there.
 
     A stretch of p tokens repeated least times covers neighbouring multiples of p, so comparing those finds every period.
-    Where the different tokens are too long together for one half to be repetition, nothing is searched.
+    Where the different tokens, or the first tokens of different neighbouring pairs, are too long together for one half to be
+    repetition, nothing is searched: a run of p tokens repeated so often has at most p of its tokens and p + 1 of its pairs.
     """
     n, sizes = len(tokens), list(map(len, tokens))
     total = sum(sizes)
     if not total or sum(map(len, set(tokens))) > total * (0.5 + 0.5 / least):
         return 0.0
+    if sum(len(a) for a, _ in set(zip(tokens, tokens[1:]))) > total * (0.5 + 1 / least):
+        return 0.0
     covered, chars = bytearray(n), 0
     period, end = [0] * n, [0] * n  # the last run found over a token
     for p in range(1, n // least + 1):
@@ -292,7 +284,7 @@ class ProseModel:
             return {}
         flat = [x for line in lines for x in _tokens(line)]
         chars = Counter()
-        if len(flat) >= 8 and (periodic(flat) or repeated_share(flat) > 0.5):
+        if len(flat) >= 8 and repeated_share(flat) > 0.5:
             chars["junk"] = sum(map(len, lines))
             return {"junk": 1.0}
         if len(lines) >= 6:

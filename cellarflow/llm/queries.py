@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarflow.functions.strings import duckdb_strip
+from cellarflow.functions.strings import WHITESPACE, duckdb_strip, duckdb_whitespace
 from cellarflow.llm.cooccurrence import pairs_together
 from cellarflow.llm.mixing import mix_sources
 from cellarflow.llm.packing import pack_texts
-from cellarflow.llm.quality import not_prose, text_quality
+from cellarflow.llm.quality import (
+    CLOSING,
+    ENDS,
+    HIRAGANA,
+    LEARNT_LETTERS,
+    LEARNT_WORDS,
+    SEPARATORS,
+    STATISTICS,
+    UNSPACED_LETTERS,
+    measure_texts,
+    not_prose,
+    plain_statistics,
+    text_quality,
+    word_lists,
+)
 from cellarflow.llm.topn import top_items
 
 
@@ -64,21 +78,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[1]
 
 
-def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_quality(*(_read(spark, sf_dir, t) for t in ("documents", "prose_samples", "common_words")))
+def _texts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [_read(spark, sf_dir, t) for t in ("documents", "prose_samples", "common_words")]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return not_prose(_quality(spark, sf_dir)).select("doc_id")
+    return not_prose(measure_texts(*_texts(spark, sf_dir))).select("doc_id")
 
 
 def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir)
+    return text_quality(*_texts(spark, sf_dir))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document that the tails are taken of."""
+    documents, _, words = _texts(spark, sf_dir)
+    stats = plain_statistics(documents.select("doc_id", "text"), sorted({w for _, w in word_lists(documents, words)}))
+    return stats.select("doc_id", "n_words", *(F.round(s, 6).alias(s) for s in STATISTICS[1:]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p4_found, p4_best_scores, p6_packed, p6_fill, p7_uses, p7_shares, p8_found, p8_quality)
+    for f in (p1_found, p1_pairs, p4_found, p4_best_scores, p6_packed, p6_fill, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)
 }
 
 _BASKETS = f"""
@@ -107,10 +128,45 @@ _LLR = " + ".join(
     )
 )
 
+_BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+_BREAKS = "[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]+"
+_PAT = {k: "'" + v.replace("'", "''") + "'" for k, v in {
+    "not_letter": "[^\\p{L}\\p{Nl}\\p{No}]+", "not_alpha": "[^\\p{L}]+", "not_digit": "[^\\p{Nd}]+", "lines": _BREAKS, "ended": f"[{ENDS}][{CLOSING}]*$",
+    "stop": f"[.!?…][{CLOSING}]*(?:[{_BLANK}]|$)|[。！？]", "separator": f"[{SEPARATORS}]", "sentences": f"[{ENDS}\\n\\r]+",
+    "not_unspaced": f"[^{UNSPACED_LETTERS}]+", "not_hiragana": f"[^{HIRAGANA}]+",
+}.items()}
+_SIZE = lambda pattern: f"length(regexp_replace(text, {pattern}, '', 'g'))"
+_LANG = "CASE WHEN regexp_matches(substr(lower({0}), 1, 2), '^[a-z]{{2}}$') THEN substr(lower({0}), 1, 2) ELSE 'und' END"
+_SHARE = lambda a, b, none="0": f"CASE WHEN text IS NOT NULL THEN coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), {none}) END"
+_STATISTICS = f"""
+WITH docs AS (SELECT doc_id, text, lower(text) AS low, {_LANG.format(duckdb_strip("lang"))} AS lang FROM documents),
+listed AS (SELECT DISTINCT {_LANG.format(duckdb_strip("lang"))} AS lang, lower({duckdb_strip("word")}) AS word FROM common_words WHERE {duckdb_strip("word")} <> ''),
+other AS (SELECT lang, low FROM docs WHERE text IS NOT NULL AND lang <> 'und' AND lang NOT IN (SELECT lang FROM listed)),
+met AS (SELECT lang, unnest(list_distinct(regexp_split_to_array(low, {_PAT["not_alpha"]}))) AS word FROM other),
+counted AS (SELECT lang, word, count(*) AS n FROM met WHERE length(word) BETWEEN 1 AND {LEARNT_LETTERS} GROUP BY 1, 2),
+often AS (SELECT lang, word, n FROM counted JOIN (SELECT lang, count(*) AS d FROM other GROUP BY 1) USING (lang) WHERE n * 10 >= d),
+learnt AS (SELECT word FROM (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM often) WHERE place <= {LEARNT_WORDS}),
+common AS (SELECT list(word) AS words FROM (SELECT word FROM listed UNION SELECT word FROM learnt)),
+cut AS (SELECT doc_id, text, list_filter(regexp_split_to_array(low, {_PAT["not_letter"]}), lambda x: x <> '') AS w,
+  {_SIZE(_PAT["not_letter"])} AS letters, {_SIZE(_PAT["not_digit"])} AS digits, length(translate(text, {duckdb_whitespace()}, '')) AS solid,
+  {_SIZE(_PAT["not_unspaced"])} AS kana, {_SIZE(_PAT["not_hiragana"])} AS hira,
+  list_filter(list_transform(regexp_split_to_array(text, {_PAT["lines"]}), lambda x: {duckdb_strip("x")}), lambda x: x <> '') AS lines,
+  len(regexp_extract_all(text, {_PAT["stop"]})) AS stops, len(regexp_extract_all(text, {_PAT["separator"]})) AS seps,
+  list_filter(list_transform(regexp_split_to_array(low, {_PAT["sentences"]}), lambda x: {duckdb_strip("x")}), lambda x: x <> '') AS parts FROM docs),
+sized AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: list_contains(words, x))) AS n_common, len(list_filter(lines, lambda x: regexp_matches(x, {_PAT["ended"]}))) AS n_ended,
+  len(list_distinct(w)) AS n_distinct, len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS n_pairs, len(list_distinct(parts)) AS n_parts FROM cut, common)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN n END AS n_words, round({_SHARE("letters", "n")}, 6) AS mean_word_length,
+  round({_SHARE("(solid - letters - digits)", "solid")}, 6) AS symbol_share, round({_SHARE("digits", "solid")}, 6) AS digit_share,
+  round({_SHARE("n_ended", "len(lines)")}, 6) AS ended_line_share, round(CASE WHEN kana > 0.3 * letters THEN {_SHARE("hira", "letters")} ELSE {_SHARE("n_common", "n")} END, 6) AS common_share,
+  round({_SHARE("n_distinct", "n")}, 6) AS distinct_share, round(CASE WHEN text IS NULL THEN NULL WHEN n < 2 THEN 1 ELSE {_SHARE("n_pairs", "(n - 1)")} END, 6) AS pair_share,
+  round({_SHARE("n_parts", "len(parts)", "1")}, 6) AS sentence_share, round(least({_SHARE("seps", "greatest(letters, 1)")}, 1), 6) AS separator_share,
+  round({_SHARE("letters", "greatest(stops, 1)")}, 6) AS stop_gap FROM sized"""
+
 SQL: dict[str, str] = {
     "p1_found": _BASKETS + "SELECT item_a, item_b FROM rated WHERE n_ab >= 5 AND n_ab * n >= 10 * n_a * n_b",
     "p1_pairs": _BASKETS
     + f"SELECT item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round(2 * ({_LLR}), 6) AS llr FROM rated",
+    "p8_statistics": _STATISTICS,
     "p4_found": """
 WITH best AS (
   SELECT user_id, item_id, max(score) + 0.0 AS score FROM recommendations

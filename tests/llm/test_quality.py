@@ -3,8 +3,9 @@ from collections import Counter
 
 import pytest
 
-from cellarflow.llm.prose import ProseModel, kind_of, periodic, repeated_share, sentences_of
-from cellarflow.llm.quality import ALL, STATISTICS, bucket, fit_judge, language, not_prose, scales, sketches, text_quality
+from cellarflow.llm.prose import ProseModel, kind_of, repeated_share, sentences_of
+from cellarflow.llm import quality
+from cellarflow.llm.quality import ALL, STATISTICS, bucket, fit_judge, language, measure_texts, not_prose, scales, sketches, text_quality, text_statistics, word_lists
 from pyspark.sql import functions as F
 
 DOCS = "doc_id bigint, text string, lang string, kind string, scale int, n_words int"
@@ -62,7 +63,7 @@ def test_share_is_by_characters():
 
 def test_blank_and_parts():
     assert judge().shares(" \n\t ") == {} and kind_of({}) is None
-    assert periodic("a b a b a b a b a b".split()) and not periodic("a b c d e f g h".split())
+    assert repeated_share("a b a b a b a b a b".split()) > 0.5 and not repeated_share("a b c d e f g h".split())
     assert sentences_of("One. Two! Three") == ["One.", "Two!", "Three"]
 
 
@@ -93,12 +94,66 @@ def test_empty(spark, frames):
     assert text_quality(spark.createDataFrame([], DOCS), *frames).collect() == []
 
 
+def many(n):
+    return [(i, " ".join(PROSE[j] for j in (i % 3, (i + 1) % 3)) + f" We bought {i} of it.", "en", "", 0, 0) for i in range(n)]
+
+
 def test_tails_lead_to_the_check(spark, frames):
-    rows = [(i, " ".join(PROSE[j] for j in (i % 3, (i + 1) % 3)) + f" We bought {i} of it.", "en", "", 0, 0) for i in range(60)] + [(100, LIST, "en", "", 0, 0), (101, TABLE, "en", "", 0, 0)]
-    q = text_quality(spark.createDataFrame(rows, DOCS), *frames)
+    q = text_quality(spark.createDataFrame(many(60) + [(100, LIST, "en", "", 0, 0), (101, TABLE, "en", "", 0, 0)], DOCS), *frames)
     assert {r.doc_id for r in not_prose(q).collect()} == {100, 101}
     by = {r.doc_id: r for r in q.collect()}
-    assert "natural_share" in by[100].tails and by[100].z_natural_share < -3.5 and by[100].p_natural_share < 0.05
+    assert "common_share" in by[100].tails and by[100].z_common_share < -3.5 and by[100].p_common_share < 0.05
+    assert by[100].suspect and by[100].natural_share < 0.5 and by[1].kind == "prose"
+
+
+def test_only_suspects_reach_the_judge(spark, frames, monkeypatch):
+    """A judge that condemns all it gets: what lies in no tail of labelled prose is prose without it."""
+    rows = spark.createDataFrame(many(30) + [(100 + i, (LIST, TABLE)[i % 2], "en", "", 0, 0) for i in range(6)], DOCS)
+    frames = spark.createDataFrame([(r[1], "en", "prose") for r in many(60)], SAMPLES), frames[1]
+    real = quality._measure
+
+    class Harsh(ProseModel):
+        def shares(self, text):
+            return {"junk": 1.0}
+
+    monkeypatch.setattr(quality, "_measure", lambda common, tails, judge: real(common, tails, Harsh()))
+    assert sorted(r.doc_id for r in not_prose(measure_texts(rows, *frames)).collect()) == list(range(100, 106))
+
+
+@pytest.mark.parametrize("n_prose", [0, 100])
+def test_a_corpus_of_mostly_other_kinds_comes_out(spark, n_prose):
+    """The documents that the judge alone takes for no prose, by themselves and with as many as 100 of prose."""
+    docs, *frames = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "prose_samples", "common_words"))
+    judge = fit_judge(docs, *frames)
+    texts = [(r.doc_id, r.text, r.lang, kind_of(judge.shares(r.text))) for r in docs.where("text is not null").collect()]
+    other = [t for t in texts if t[3] not in (None, "prose")]
+    rows = spark.createDataFrame([t[:3] for t in other + [t for t in texts if t[3] == "prose"][:n_prose]], "doc_id bigint, text string, lang string")
+    found = {r.doc_id for r in not_prose(measure_texts(rows, *frames)).collect()}
+    assert len(other) > 100 and len(found & {t[0] for t in other}) >= 0.99 * len(other) and len(found) <= len(other)
+
+
+def test_a_long_passage_over_and_over_is_found(spark, frames):
+    passage = " ".join(PROSE) + " " + " ".join(f"On day {x} we bought another bottle and drank it with {y}." for x, y in zip("one two three".split(), "bread cheese soup".split()))
+    assert 61 < len(passage.split()) < 100
+    got = measure_texts(spark.createDataFrame([(1, "\n".join([passage] * 20), "en", "", 0, 0), (2, passage, "en", "", 0, 0)], DOCS), *frames)
+    assert {r.doc_id: r.kind for r in got.collect()} == {1: "junk", 2: "prose"}
+
+
+def test_word_lists_have_no_bound(spark, frames):
+    words = spark.createDataFrame([("en", f"w{i}", i) for i in range(100_500)], WORDS)
+    assert len(word_lists(spark.createDataFrame([], DOCS), words)) == 100_500
+
+
+def test_statistics_by_hand():
+    got = dict(zip([*STATISTICS, "unspaced"], text_statistics("The ale, the malt.\n\n12 of it | no end", frozenset(["the", "of", "it"])), strict=True))
+    solid = len("Theale,themalt.12ofit|noend")
+    assert (got["n_words"], got["unspaced"]) == (8, False)
+    want = {"mean_word_length": 22 / 8, "symbol_share": 3 / solid, "digit_share": 2 / solid, "ended_line_share": 0.5, "common_share": 4 / 8, "distinct_share": 7 / 8,
+            "pair_share": 1.0, "sentence_share": 1.0, "separator_share": 2 / 22, "stop_gap": 22.0}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    ja = text_statistics("これは麦です。", frozenset())
+    assert ja[-1] is True and ja[STATISTICS.index("common_share")] == pytest.approx(5 / 6)
+    assert text_statistics("", frozenset())[:2] == (0, 0.0) and text_statistics(None, frozenset()) == (None,) * 12
 
 
 @pytest.mark.parametrize("n_prose,n_other", [(60, 30), (30, 60)])
@@ -109,15 +164,9 @@ def test_every_case_is_suspect_at_any_mix(spark, frames, n_prose, n_other):
     assert sorted(r.doc_id for r in not_prose(q).collect()) == [1000 + i for i in range(n_other)]
 
 
-def test_blank_texts_stay_out_of_the_sketch_of_natural_share(spark, frames):
-    rows = [(i, PROSE[i % 3], "en", "", 0, 0) for i in range(30)] + [(100 + i, " ", "en", "", 0, 0) for i in range(30)]
-    by = {r.doc_id: r for r in text_quality(spark.createDataFrame(rows, DOCS), *frames).collect()}
-    assert by[0].p_natural_share == 0.5 and not by[100].kind
-
-
 def test_sketches_merge_and_bound_quantiles(spark):
-    rows = [(i, "en" if i % 3 else "it", i % 97, 1 + (i % 7) / 3, (i % 50) / 50, 1.0, 0.3, 0.5, 0.9, "prose") for i in range(500)]
-    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, n_words bigint, mean_word_length double, symbol_share double, ended_line_share double, common_share double, distinct_share double, natural_share double, kind string")
+    rows = [(i, "en" if i % 3 else "it", i % 97, 1 + (i % 7) / 3, (i % 50) / 50, *[0.5] * 8) for i in range(500)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, n_words bigint, " + ", ".join(f"{s} double" for s in STATISTICS[1:]))
     whole = Counter({(r.lang, r.stat, r.bucket): r.n for r in sketches(stats).collect()})
     halves = sum((Counter({(r.lang, r.stat, r.bucket): r.n for r in sketches(stats.where(f"doc_id % 2 = {h}")).collect()}) for h in (0, 1)), Counter())
     assert whole == halves
@@ -150,4 +199,4 @@ def test_learnt_words_and_held_out_accuracy(spark, small):
         m = ProseModel.fit([r for i, r in enumerate(rows) if i % 4 != fold], words)
         wrong += sum((kind_of(m.shares(r[0])) == "prose") != (r[2] == "prose") for i, r in enumerate(rows) if i % 4 == fold)
     assert wrong <= 0.03 * len(rows)
-    assert len(STATISTICS) == 7
+    assert len(STATISTICS) == 11
