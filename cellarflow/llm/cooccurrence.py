@@ -13,8 +13,8 @@ from cellarflow.functions.strings import strip
 from cellarflow.functions.times import DAY_US, micros
 from cellarflow.runtime import broadcast_if_small, materialize
 
-#: Items of a basket that one row expands against the rest of the basket.
-BLOCK = 512
+#: Items of a basket that one row holds, about; larger baskets are cut into pieces by a hash of the item.
+PIECE = 2048
 #: Baskets of an item for which one stripe bucket is enough.
 STRIPE_BASKETS = 8192
 #: Pairs held before a task sends its merged stripes on.
@@ -35,7 +35,8 @@ def _merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _stripes(flush: int = FLUSH_PAIRS, wide: int = STRIPE_BASKETS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (items, counts, lo, hi) to stripes: the neighbours after each of items[lo:hi], merged within the task."""
+    """Rows (items, counts, others, other_counts) to stripes, merged within the task: the pairs of items, or, where others is not
+    null, of each item with each other one. The smaller code of a pair has the stripe."""
 
     def emit(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
         bucket = np.where(parts > 1, b % np.maximum(parts, 1), 0)
@@ -48,50 +49,62 @@ def _stripes(flush: int = FLUSH_PAIRS, wide: int = STRIPE_BASKETS) -> Callable[[
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (b, n)]
         return pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(bucket[at], pa.int32()), *lists], names=["a", "bucket", "b", "n"])
 
+    def within(items: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of each of several rows of the sizes given, in portions of about flush pairs."""
+        starts = np.cumsum(sizes) - sizes
+        left = np.arange(len(items))
+        later = np.repeat(sizes + starts, sizes) - left - 1
+        begin = 0
+        while begin < len(left):
+            ends = np.cumsum(later[begin:])
+            stop = begin + max(1, int(np.searchsorted(ends, flush, side="right")))
+            reps = later[begin:stop]
+            at = np.repeat(left[begin:stop], reps)
+            step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + 1
+            yield items[at], items[at + step]
+            begin = stop
+
+    def between(items: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, flush // max(1, len(others)))
+        for i in range(0, len(items), step):
+            part = items[i : i + step]
+            yield np.repeat(part, len(others)), np.tile(others, len(part))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         widths: dict[int, int] = {}
         size = 0
 
         def drain() -> pa.RecordBatch:
-            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b, n = _merged(a, b, n)
+            a, b, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
             parts = np.fromiter((widths.get(int(x), 1) for x in a), np.int64, len(a)) if widths else np.ones(len(a), np.int64)
             held.clear()
             return emit(a, b, n, parts)
 
+        def portions(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            alone = batch.filter(batch.column(2).is_null())
+            met = batch.filter(batch.column(2).is_valid())
+            for lists, counts in ((x.column(i), x.column(i + 1)) for x, i in ((alone, 0), (met, 0), (met, 2))):
+                items, freq = lists.flatten().to_numpy(), counts.flatten().to_numpy()
+                for x, c in zip(items[freq > wide], freq[freq > wide], strict=True):
+                    widths[int(x)] = int(-(-c // wide))
+            lists = alone.column(0)
+            yield from within(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64))
+            for i in range(met.num_rows):
+                yield from between(met.column(0)[i].values.to_numpy(), met.column(2)[i].values.to_numpy())
+
         for batch in batches:
-            lists, counts = batch.column(0), batch.column(1)
-            items, freq = lists.flatten().to_numpy(), counts.flatten().to_numpy()
-            for x, c in zip(items[freq > wide], freq[freq > wide], strict=True):
-                widths[int(x)] = int(-(-c // wide))
-            sizes = np.diff(lists.offsets.to_numpy())
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-            lo, hi = batch.column(2).to_numpy(), np.minimum(batch.column(3).to_numpy(), sizes)
-            # one (left position, number of later items) entry for each item of each row's range
-            spans = hi - lo
-            row = np.repeat(np.arange(len(spans)), spans)
-            left = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + lo[row]
-            later = sizes[row] - left - 1
-            left += starts[row]
-            begin = 0
-            while begin < len(left):  # in portions, for baskets of any size
-                ends = np.cumsum(later[begin:])
-                stop = begin + max(1, int(np.searchsorted(ends, flush, side="right")))
-                reps, at = later[begin:stop], left[begin:stop]
-                a_pos = np.repeat(at, reps)
-                step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + 1
-                if len(a_pos):
-                    held.append((items[a_pos], items[a_pos + step], np.ones(len(a_pos), np.int64)))
-                    size += len(a_pos)
+            for x, y in portions(batch):
+                if not len(x):
+                    continue
+                held.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)))
+                size += len(x)
                 if size >= flush:
-                    if len(held) > 1:
-                        held[:] = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                        size = len(held[0][0])
+                    held[:] = [_merged(*(np.concatenate(z) for z in zip(*held, strict=True)))]
+                    size = len(held[0][0])
                     if size >= flush // 2:
                         yield drain()
                         size = 0
-                begin = stop
         if held:
             yield drain()
 
@@ -129,10 +142,11 @@ def pairs_together(
     Repeated rows count once, other columns are ignored, empty input gives an empty result.
 
     Items that no kept pair can contain are pruned before any pair is made: those in fewer than min_together baskets, and,
-    since n_ab is at most the smaller count, those in more than n_baskets / min_lift. Baskets travel as sorted arrays of
-    codes; a row expands at most BLOCK items of a basket, so a large basket is spread over many tasks. Each task merges
-    the stripes of its baskets, and the stripe of a frequent item is split by neighbour before it is shuffled, so neither a
-    basket nor an item is ever gathered whole.
+    since n_ab is at most the smaller count, those in more than n_baskets / min_lift. Baskets travel as arrays of codes. One of
+    more than PIECE items is cut into pieces by a hash of the item before anything is gathered, and each piece meets each
+    other one in a row of its own: no row holds more than two pieces, a large basket is spread over many tasks, and a code of
+    it travels as often as it has pieces. Each task merges the stripes of its rows, and the stripe of a frequent item is
+    split by neighbour before it is shuffled, so neither a basket nor an item is ever gathered whole.
     """
     base = materialize(
         events.select(strip(user).alias("u"), micros(events, time).alias("t"), strip(item).alias("item"))
@@ -141,7 +155,9 @@ def pairs_together(
         .distinct(),
         "baskets",
     )
-    n_baskets = base.select("u", "day").distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    sizes = base.groupBy("u", "day").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > PIECE)
+    n_baskets, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("n") > PIECE)).first()
     counts = base.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     kept = counts.where((F.col("n_item") >= F.lit(min_together)) & (F.col("n_item") * F.lit(min_lift) <= F.lit(n_baskets)))
     # codes follow the order of the items: range partitions in order, rows sorted in each
@@ -150,13 +166,22 @@ def pairs_together(
         "codes",
     )
     n_codes = codes.count()
-    coded = base.join(broadcast_if_small(codes, n_codes, CODE_BYTES), "item").select("u", "day", F.struct("code", "n_item").alias("x"))
-    baskets = coded.groupBy("u", "day").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
-    blocks = baskets.select(
-        F.col("xs.code").alias("items"), F.col("xs.n_item").alias("counts"), F.explode(F.expr(f"sequence(0, size(xs) - 1, {BLOCK})")).alias("lo")
-    )
-    spread = blocks.repartition("items", "lo") if True else blocks
-    stripes = spread.select("items", "counts", "lo", (F.col("lo") + BLOCK).alias("hi")).mapInArrow(_stripes(), _STRIPE)
+    coded = base.join(broadcast_if_small(codes, n_codes, CODE_BYTES), "item").select("u", "day", "code", "n_item")
+    if n_large:
+        coded = coded.join(broadcast_if_small(large, n_large, CODE_BYTES), ["u", "day"], "left")
+        pieces = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(PIECE)).cast("int")
+        coded = coded.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("code"), F.col("pieces")).cast("int"))
+    else:
+        coded = coded.withColumns({"pieces": F.lit(1), "piece": F.lit(0)})
+    packed = coded.groupBy("u", "day", "pieces", "piece").agg(F.collect_list(F.struct("code", "n_item")).alias("xs"))  # about PIECE at most
+    nothing = F.lit(None).cast("array<bigint>")
+    rows = packed.where(F.size("xs") > 1).select(F.col("xs.code").alias("items"), F.col("xs.n_item").alias("counts"), nothing.alias("others"), nothing.alias("other_counts"))
+    if n_large:
+        packed = materialize(packed.where("pieces > 1"), "pieces")
+        left = packed.where("piece < pieces - 1").select("u", "day", F.col("piece").alias("p"), F.explode(F.expr("sequence(piece + 1, pieces - 1)")).alias("q"), F.col("xs").alias("x"))
+        right = packed.where("piece > 0").select("u", "day", F.col("piece").alias("q"), F.explode(F.expr("sequence(0, piece - 1)")).alias("p"), F.col("xs").alias("y"))
+        rows = rows.unionByName(left.join(right, ["u", "day", "p", "q"]).select(F.col("x.code").alias("items"), F.col("x.n_item").alias("counts"), F.col("y.code").alias("others"), F.col("y.n_item").alias("other_counts")))
+    stripes = rows.mapInArrow(_stripes(), _STRIPE)
     merged = (
         stripes.repartition("a", "bucket")
         .select("a", "bucket", F.inline(F.arrays_zip("b", "n")).alias("b", "n"))

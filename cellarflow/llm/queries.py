@@ -33,8 +33,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The 0.999 quantile of chi squared with one degree of freedom.
+SIGNIFICANT = 10.828
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_together(_read(spark, sf_dir, "shop_events"), min_together=5, min_lift=10).select("item_a", "item_b")
+    """Pairs in five baskets or more, ten times more often than chance would have it and significantly so.
+
+    The log-likelihood ratio is at least 2 n_ab (ln lift - 1 + 1 / lift), 14.03 for such pairs, so SIGNIFICANT leaves out none.
+    """
+    return pairs_together(_read(spark, sf_dir, "shop_events"), min_together=5, min_lift=10, min_llr=SIGNIFICANT).select("item_a", "item_b")
+
+
+def p1_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least two common baskets whose number of them chance does not explain, in either direction."""
+    pairs = pairs_together(_read(spark, sf_dir, "shop_events"), min_together=2, min_llr=SIGNIFICANT)
+    return pairs.select("item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +113,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p4_found, p4_best_scores, p6_packed, p6_fill, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)
+    for f in (p1_found, p1_significant, p1_pairs, p4_found, p4_best_scores, p6_packed, p6_fill, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)
 }
 
 _BASKETS = f"""
@@ -164,6 +178,8 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN n END AS n_words, round({_SHARE("
 
 SQL: dict[str, str] = {
     "p1_found": _BASKETS + "SELECT item_a, item_b FROM rated WHERE n_ab >= 5 AND n_ab * n >= 10 * n_a * n_b",
+    "p1_significant": _BASKETS
+    + f"SELECT * FROM (SELECT item_a, item_b, n_ab, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round(2 * ({_LLR}), 6) AS llr FROM rated WHERE n_ab >= 2) WHERE llr >= {SIGNIFICANT}",
     "p1_pairs": _BASKETS
     + f"SELECT item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round(2 * ({_LLR}), 6) AS llr FROM rated",
     "p8_statistics": _STATISTICS,

@@ -39,9 +39,9 @@ def rows_of(seed, n=500):
     return out
 
 
-@pytest.mark.parametrize("block,flush,wide", [(512, 1_000_000, 8192), (2, 7, 2)])
+@pytest.mark.parametrize("block,flush,wide", [(2048, 1_000_000, 8192), (2, 7, 2)])
 def test_against_brute_force(spark, monkeypatch, block, flush, wide):
-    monkeypatch.setattr(cooccurrence, "BLOCK", block)
+    monkeypatch.setattr(cooccurrence, "PIECE", block)
     whole = cooccurrence._stripes
     monkeypatch.setattr(cooccurrence, "_stripes", lambda: whole(flush, wide))
     rows = rows_of(block)
@@ -54,6 +54,42 @@ def test_against_brute_force(spark, monkeypatch, block, flush, wide):
     assert {x[:2] for x in found(pairs_together(df, min_together=3, min_lift=2))} == strict
 
 
+def test_no_row_holds_a_large_basket(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "PIECE", 64)
+    whole = cooccurrence._stripes
+
+    def checked():
+        inner = whole()
+
+        def run(batches):
+            def small(batches):
+                for b in batches:
+                    assert all(len(x) <= 128 for c in range(4) for x in b.column(c).to_pylist() if x is not None)
+                    yield b
+
+            return inner(small(batches))
+
+        return run
+
+    monkeypatch.setattr(cooccurrence, "_stripes", checked)
+    rows = [("big", f"i{i:04d}", T0, 0, "", 0) for i in range(1500)] + [("other", f"i{i:04d}", T0, 0, "", 0) for i in (3, 700, 1499)]
+    got = pairs_together(spark.createDataFrame(rows, SCHEMA)).groupBy("n_ab").count().collect()
+    assert {r.n_ab: r["count"] for r in got} == {1: 1500 * 1499 // 2 - 3, 2: 3}
+
+
+def test_a_basket_of_many_items_that_few_share(spark):
+    many = spark.range(200_000).selectExpr("'big' user_id", "concat('i', id) item_id", "timestamp'2026-03-01 05:00:00' occurred_at", "1L code", "'' u", "0 n_ab")
+    few = spark.range(90).selectExpr("'few' user_id", "concat('i', id * 2000) item_id", "timestamp'2026-03-01 05:00:00' occurred_at", "1L code", "'' u", "0 n_ab")
+    assert pairs_together(many.unionByName(few), min_together=2).agg({"n_ab": "sum"}).first()[0] == 2 * 90 * 89 // 2
+
+
+def test_significant_pairs_leave_out_no_case(spark):
+    """n_ab >= 5 and lift >= 10 imply a ratio of at least 14, whatever the margins."""
+    rows = [(f"u{i}", x, T0, 0, "", 0) for i in range(600) for x in ((["a", "b"] if i < 5 else ["a"] if i < 8 else ["b"] if i < 42 else ["c"]))]
+    r = next(r for r in pairs_together(spark.createDataFrame(rows, SCHEMA)).collect() if r.item_a == "a")
+    assert r.lift == pytest.approx(5 * 600 / (8 * 39)) and r.llr >= 2 * 5 * (math.log(r.lift) - 1 + 1 / r.lift)
+
+
 def test_large_side_joins_without_broadcast(spark, monkeypatch):
     rows = rows_of(3)
     df = spark.createDataFrame(rows, SCHEMA)
