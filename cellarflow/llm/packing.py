@@ -130,8 +130,9 @@ def pack_texts(
 
     Round one packs every input partition where it is read, together with the sizing of its texts, without a shuffle.
     Containers at least nearly_full, and those whose free room is under the smallest size still open in their kind, are
-    closed. The others go up a tree as items of their used size: fan_in neighbouring groups merge by best fit in a round,
-    but only so many that a task never gets more than PORTION containers. Rounds end when one group is left or none shrinks.
+    closed. The others go up a tree as items of their used size: fan_in neighbouring groups merge by best fit in a round.
+    A group of more than PORTION containers is merged in parts, and what they leave open again in fewer parts, so its size
+    changes the number of rounds and not what meets. Rounds end when one part of one group is left, or none closed any.
     """
     if any(c < 1 for _, c in kinds) or len({k for k, _ in kinds}) != len(kinds):
         raise ValueError("kinds need different names and capacities of at least 1")
@@ -159,7 +160,7 @@ def pack_texts(
         merged = hop.select("kind", "capacity", F.col("parent").alias("bin"), "home", "used").distinct()
         open_bins = materialize(merged.where(~closed), "open")
         now, homes = (open_bins.agg(F.count(F.lit(1)), F.countDistinct("home")).first() or (0, 0))[:2]
-        if homes <= 1:
+        if homes <= 1 and (n_open <= PORTION or now >= n_open):  # all open containers met in one part, or none was filled
             break
         n_open = now
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarflow.functions.strings import WHITESPACE, duckdb_strip, duckdb_whitespace
+from cellarflow.functions.times import DAY_US
 from cellarflow.llm.cooccurrence import pairs_together
 from cellarflow.llm.mixing import mix_sources
 from cellarflow.llm.packing import pack_texts
@@ -81,13 +82,27 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses of each document, with the share its source asked for and the share it really got."""
-    uses, shares = mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
+def _mixed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    if "weight" in options:  # newer texts count more: half for each half-year of age, a tenth where the time is not known
+        newest = documents.agg(F.max("created_at"))
+        age = (F.unix_micros(newest.scalar()) - F.unix_micros("created_at")) / F.lit(182.5 * DAY_US)
+        documents = documents.withColumn(options["weight"], F.coalesce(F.pow(F.lit(0.5), age), F.lit(0.1)))
+    uses, shares = mix_sources(documents, _read(spark, sf_dir, "mix_targets"), **options)
     report = shares.select("source", "target_share", F.round("real_share", 9).alias("real_share"))
     return uses.join(report, uses["source"].eqNullSafe(report["source"]), "left").select("doc_id", uses["source"], "n_tokens", "uses", "target_share", "real_share")
 
 
+def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of each document, with the share its source asked for and the share it really got."""
+    return _mixed(spark, sf_dir)
+
+
+def p7_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix with newer texts more likely in it: inclusion odds differ within a source."""
+    return _mixed(spark, sf_dir, weight="_weight")
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[1]
 
@@ -113,7 +128,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_significant, p1_pairs, p4_found, p4_best_scores, p6_packed, p6_fill, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics)
+    for f in (p1_found, p1_significant, p1_pairs, p4_found, p4_best_scores, p6_packed, p6_fill, p7_uses, p7_weighted, p7_shares, p8_found, p8_quality, p8_statistics)
 }
 
 _BASKETS = f"""

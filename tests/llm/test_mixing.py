@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cellarflow.llm.mixing import allocate, mix_sources
+from cellarflow.llm.mixing import allocate, largest_total, mix_sources
 from cellarflow.llm.tokens import token_count
 
 DOCS = "doc_id bigint, text string, source string, w double, uses int, rate double"
@@ -19,7 +19,7 @@ def docs_of(seed, n=800):
 GOALS = [("big", 0.5, 1), ("MID", 0.3, 3), ("rare", 0.1, 2), ("absent", 0.1, 4)]
 
 
-@pytest.mark.parametrize("total", [None, 3000, 20_000, 1])
+@pytest.mark.parametrize("total", [None, "available", 3000, 20_000, 1])
 @pytest.mark.parametrize("weight", [None, "w"])
 def test_shares_and_caps(spark, total, weight):
     rows = docs_of(3)
@@ -43,8 +43,9 @@ def test_shares_and_caps(spark, total, weight):
     for s in caps:
         assert report[s].mixed_tokens == mixed.get(s, 0)
         assert report[s].real_share == pytest.approx(mixed.get(s, 0) / whole if whole else 0)
-        if not weight:
-            assert abs(report[s].mixed_tokens - report[s].wanted_tokens) <= max([0, *have.get(s, [])])  # within one text
+        assert abs(report[s].mixed_tokens - report[s].wanted_tokens) <= max([0, *have.get(s, [])])  # within one text
+    if total is None:
+        assert all(report[s].wanted_tokens / sum(r.wanted_tokens for r in report.values()) == pytest.approx(w / 0.9) for s, w in (("big", 0.5), ("mid", 0.3), ("rare", 0.1)))
     assert report["absent"].n_docs == 0 and report["absent"].real_share == 0
 
 
@@ -69,6 +70,32 @@ def test_allocate():
     assert allocate([("a", 1.0, 0)], {"a": 100}, 60) == {"a": 0.0}
 
 
+def test_largest_total():
+    assert largest_total([("a", 0.5, 1), ("b", 0.25, 4), ("gone", 0.25, 9)], {"a": 300, "b": 25}) == pytest.approx(300)
+    assert largest_total([("a", 0.0, 1), ("gone", 1.0, 9)], {"a": 300}) == 0.0
+
+
+@pytest.mark.parametrize("query", ["p7_uses", "p7_weighted"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_registered_mixes_meet_their_targets(spark, sf, query):
+    from cellarflow.llm.queries import QUERIES
+
+    rows = QUERIES[query](spark, f"/root/testdata/{sf}").collect()
+    targets = {r.source: (r.target_share, r.max_repeats) for r in spark.read.parquet(f"/root/testdata/{sf}/mix_targets.parquet").collect()}
+    whole = sum(r.uses * r.n_tokens for r in rows if r.uses)
+    there = {r.source for r in rows} & set(targets)
+    given = sum(targets[s][0] for s in there)
+    assert given == pytest.approx(0.98) and whole > 0
+    for s in there:
+        mine = [r for r in rows if r.source == s]
+        real = sum(r.uses * r.n_tokens for r in mine if r.uses) / whole
+        assert abs(real - targets[s][0] / given) <= max(r.n_tokens for r in mine if r.n_tokens) / whole and max(r.uses for r in mine) <= targets[s][1]
+        assert all(r.real_share == pytest.approx(real, abs=1e-8) for r in mine)
+    assert {r.uses for r in rows if r.source not in there} == {0}
+    scarce = min(there, key=lambda s: sum(r.n_tokens for r in rows if r.source == s and r.n_tokens) * targets[s][1] / targets[s][0])
+    assert all(r.uses == targets[scarce][1] for r in rows if r.source == scarce and r.n_tokens)
+
+
 def test_empty_and_bad_targets(spark):
     empty = spark.createDataFrame([], DOCS)
     uses, shares = mix_sources(empty, spark.createDataFrame(GOALS, TARGETS))

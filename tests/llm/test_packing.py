@@ -74,6 +74,26 @@ def test_rounds_up_the_tree(spark, monkeypatch):
     check(spark, texts_of(2, 200), [("k", 128)], fan_in=2, nearly_full=1.0)
 
 
+def least(used, capacity):
+    return -(-sum(used.values()) // capacity)
+
+
+def test_parts_of_a_large_group_are_merged_again(spark, monkeypatch):
+    df = spark.createDataFrame(texts_of(3, 900), SCHEMA).repartition(60)
+    for portion in (200_000, 25):
+        monkeypatch.setattr(packing, "PORTION", portion)
+        used = {r.container_id: r.used_tokens for r in pack_texts(df, [("k", 256)], fan_in=100).collect()}
+        assert len(used) <= least(used, 256) + 3
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_fill_of_the_registered_query(spark, sf):
+    from cellarflow.llm.queries import QUERIES
+
+    for r in QUERIES["p6_fill"](spark, f"/root/testdata/{sf}").collect():
+        assert r.fill >= 0.995 and r.n_containers <= r.least_containers + max(2, r.n_containers // 500)
+
+
 def test_repeated_ids_and_exact_multiples(spark):
     enc = encoding()
     text = "malt" * 3
