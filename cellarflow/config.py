@@ -200,6 +200,11 @@ class JobSettings:
     latest_days: int = 14
     folds: int = 2
     fold_days: int = 14
+    automl: bool = False  # choose models, weights and rrf_k by backtesting before the run
+    candidates: tuple[Mapping[str, Any], ...] | None = None  # None: every strategy alone and two combinations
+    primary_metric: str = "MAP"
+    epochs: tuple[int, ...] = ()  # iterations of collaborative after which its fit is measured for the manifest
+    sequential_least: float = 5.0  # median items of a user below which sequential is no candidate
 
 
 def parse_job(raw: Mapping[str, Any]) -> JobSettings:
@@ -208,12 +213,16 @@ def parse_job(raw: Mapping[str, Any]) -> JobSettings:
     models = tuple(job.get("models") or JobSettings.models)
     if not models or any(m not in STRATEGIES for m in models):
         raise ConfigError(f"models must be some of {', '.join(STRATEGIES)}")
-    weights = job.get("model_weights")
+    weights, auto = job.get("model_weights"), job.get("automl") or {}
+    if auto.get("candidates") is not None and not auto["candidates"]:
+        raise ConfigError("automl.candidates is empty")
     return JobSettings(
         top_k=positive("top_k", job.get("top_k", 10), int), half_life_days=positive("half_life_days", job.get("half_life_days", 90.0)),
         models=models, model_weights=None if weights is None else check_weights(weights, STRATEGIES),
         rrf_k=positive("rrf_k", job.get("rrf_k", 60.0)), content_fallback=bool(job.get("content_fallback", False)),
         neighbours=positive("neighbours", job.get("neighbours", 20), int), content_rows=positive("content_rows", job.get("content_rows", 50), int),
-        latest_days=positive("latest_days", job.get("latest_days", 14), int), folds=positive("folds", job.get("folds", 2), int),
-        fold_days=positive("fold_days", job.get("fold_days", 14), int),
+        latest_days=positive("latest_days", job.get("latest_days", 14), int), folds=positive("n_splits", auto.get("n_splits", job.get("folds", 2)), int),
+        fold_days=positive("test_days", auto.get("test_days", job.get("fold_days", 14)), int), automl=bool(auto.get("enabled", False)),
+        candidates=tuple(auto["candidates"]) if auto.get("candidates") is not None else None, primary_metric=str(auto.get("primary_metric", "MAP")),
+        epochs=tuple(positive("epochs", e, int) for e in job.get("epochs") or ()), sequential_least=float(job.get("sequential_min_median_interactions", 5.0)),
     )

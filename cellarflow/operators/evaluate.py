@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,27 @@ def mean_metrics(recommendations: DataFrame, truth: DataFrame, k: int) -> DataFr
     return user_metrics(recommendations, truth, k).agg(*(F.avg(c).alias(c) for c in ("map", "ndcg", "recall", "precision")))
 
 
+def metrics_by_candidate(recommendations: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """candidate with its mean map, ndcg, recall and precision over all users of the truth, for rows of many candidates at once.
+
+    Hits of all candidates are found and summed together; a candidate without a hit has no row, which stands for zeros.
+    """
+    wanted = truth.select("user_id", "item_id").distinct()
+    relevant = wanted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = recommendations.where(F.col("rank") <= k).select("candidate", "user_id", "item_id", "rank").join(wanted, ["user_id", "item_id"], "left_semi")
+    so_far = F.row_number().over(Window.partitionBy("candidate", "user_id").orderBy("rank"))
+    per = hits.withColumn("h", so_far).groupBy("candidate", "user_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.sum(F.col("h") / F.col("rank")).alias("ap"), F.sum(F.lit(1.0) / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg")
+    )
+    ideal = F.lit(1.0) * F.expr(f"aggregate(sequence(1, {int(k)}), cast(0 as double), (a, i) -> a + 1.0d / log2(i + 1.0d))")
+    n_users = relevant.agg(F.count(F.lit(1)).cast("double"))
+    sums = per.join(relevant, "user_id").groupBy("candidate").agg(
+        F.sum(F.col("ap") / F.col("n")).alias("map"), F.sum(F.col("dcg") / ideal).alias("ndcg"), F.sum(F.col("hits") / F.col("n")).alias("recall"),
+        F.sum(F.col("hits") / F.lit(float(k))).alias("precision"),
+    )
+    return sums.select("candidate", *((F.col(c) / n_users.scalar()).alias(c) for c in ("map", "ndcg", "recall", "precision")))
+
+
 @dataclass(frozen=True)
 class Candidate:
     models: tuple[str, ...]
@@ -82,7 +104,9 @@ class Candidate:
 
 
 def parse_candidates(rows: Sequence[Mapping]) -> list[Candidate]:
-    """Candidates from a configuration: each a list of known models, with weights for all of them or for none."""
+    """Candidates from a configuration: each a list of known models, with weights for all of them or for none. At least one."""
+    if not rows:
+        raise ConfigError("the list of candidates is empty")
     out = []
     for r in rows:
         models = tuple(r.get("models") or ())
@@ -115,17 +139,15 @@ def without_sequential(candidates: Sequence[Candidate], median_items: float | No
 def evaluate(
     folds: Sequence[Fold], candidates: Sequence[Candidate], recommend: Callable[[Candidate, Fold], DataFrame], truth: Callable[[Fold], DataFrame], k: int
 ) -> list[tuple[Candidate, dict[str, float]]]:
-    """The mean over folds of each candidate's metrics; one row per fold and candidate reaches the driver."""
-    out = []
-    for c in candidates:
-        sums: dict[str, float] = {}
-        for f in folds:
-            row = mean_metrics(recommend(c, f), truth(f), k).first()
+    """The mean over folds of each candidate's metrics. The candidates of a fold are judged by one aggregation; one row per fold
+    and candidate reaches the driver."""
+    sums = [{f"{name}@{k}": 0.0 for name in METRICS} for _ in candidates]
+    for f in folds:
+        rows = [recommend(c, f).select("user_id", "item_id", "rank", F.lit(i).alias("candidate")) for i, c in enumerate(candidates)]
+        for r in metrics_by_candidate(reduce(DataFrame.unionByName, rows), truth(f), k).collect():
             for name in METRICS:
-                key = f"{name}@{k}"
-                sums[key] = sums.get(key, 0.0) + float(row[name.lower()] or 0.0)
-        out.append((c, {name: v / max(1, len(folds)) for name, v in sums.items()}))
-    return out
+                sums[r["candidate"]][f"{name}@{k}"] += float(r[name.lower()])
+    return [(c, {name: v / max(1, len(folds)) for name, v in s.items()}) for c, s in zip(candidates, sums, strict=True)]
 
 
 def select_best(results: Sequence[tuple[Candidate, Mapping[str, float]]], metric: str) -> Candidate:
@@ -140,13 +162,12 @@ def select_best(results: Sequence[tuple[Candidate, Mapping[str, float]]], metric
 
 
 def trajectory_warning(values: Sequence[float], *, drop: float = 0.25, span: float = 0.01, last: int = 3) -> str | None:
-    """What looks wrong in a metric logged per epoch: a fall from the best, or a plateau of the last few values."""
-    if not values:
+    """What looks wrong in a metric logged per epoch: a fall from the best, or a plateau of the last few values. One value says nothing."""
+    if len(values) < 2:
         return None
     best = max(values)
-    if best > 0 and values[-1] <= (1 - drop) * best:
+    if best > 0 and best - values[-1] >= drop * best:
         return "fell"
     tail = values[-last:]
-    if len(values) > last and max(tail) > 0 and (max(tail) - min(tail)) / max(tail) <= span:
-        return "plateau"
-    return None
+    size = max(*map(abs, tail), 1e-9)
+    return "plateau" if len(values) >= last and max(tail) - min(tail) <= span * size else None

@@ -14,6 +14,8 @@ from cellarflow.functions.strings import strip
 from cellarflow.functions.times import micros
 
 _STATE = "pid int, field string, key_value string, n bigint, partners bigint, first_us bigint, last_us bigint, edge boolean, head string, tail string"
+#: Parts that rows alike in field, key, partner and time can be split into.
+SALTS = 1024
 _NEVER, _LATEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -99,7 +101,8 @@ def key_statistics(
     empty result; other columns are ignored.
 
     Rows are range-partitioned on (field, key, partner, time) with sampled quantiles, so a key of any weight is spread
-    over as many partitions as its share of the rows calls for. Each partition folds its sorted rows into one state per
+    over as many partitions as its share of the rows calls for. Rows alike in all four are told apart by a salt, the row's number
+    within its input partition modulo SALTS, so even one row repeated without end is split. Each partition folds its sorted rows into one state per
     key in Arrow batches; only a partition's first and last key can continue elsewhere. Stitching sums the states of a
     key and takes off one partner for each partition boundary that the same partner spans: at most two edges a partition.
     """
@@ -111,13 +114,14 @@ def key_statistics(
         )
     )
     rows = (
-        records.select(F.inline(pairs), at.alias("t"))
+        records.select(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("short").alias("salt"), F.inline(pairs), at.alias("t"))
         .where("key_value is not null")
-        .select("field", "key_value", "partner", "t")
+        .select("field", "key_value", "partner", "t", "salt")
     )
     order = ["field", "key_value", "partner", "t"]
-    spread = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    states = spread.sortWithinPartitions(*order).mapInArrow(_states, _STATE)
+    ranges = [*order, "salt"]
+    spread = rows.repartitionByRange(partitions, *ranges) if partitions else rows.repartitionByRange(*ranges)
+    states = spread.drop("salt").sortWithinPartitions(*order).mapInArrow(_states, _STATE)
     edge = F.when(F.col("edge"), F.struct("pid", "head", "tail"))
     stitched = states.groupBy("field", "key_value").agg(
         F.sum("n").alias("n_rows"),

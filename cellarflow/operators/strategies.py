@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
 from cellarflow.functions.values import as_list
+from cellarflow.operators.pair_sums import pair_sums
 from cellarflow.operators.ranking import days, for_each_user, top_k, union
 from cellarflow.runtime import materialize
 
-#: Items of a user that one piece of a self-join holds; users with more are split into pieces.
-PIECE = 500
+#: Items of a user that one row holds, about; users with more are split into pieces.
+PIECE = 2048
+#: Tokens of an item up to which its sets of tokens are listed; items with more are compared token by token.
+LISTED_TOKENS = 8
 HISTORY = 50
 #: Values of a boost or cosine are compared after rounding to so many decimals.
 _EXACT = 12
@@ -55,28 +58,30 @@ def item_vectors(interactions: DataFrame) -> DataFrame:
 def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
     """(item_id, other_id, similarity, place): the most similar items of each item by cosine, itself included.
 
-    Pairs are formed once (item <= other) on the user; a user with more than PIECE items is cut into pieces, and each pair
-    of pieces is a join key of its own, so no task meets more than PIECE * PIECE pairs of a user at once.
+    Each pair of items of a user is made once and summed within its task, see pair_sums; an item's similarity to itself is 1
+    and needs no sum. Items are numbered in the order of their ids, so that sums, ties and the cut work on whole numbers.
     """
-    vectors = item_vectors(interactions)
-    pieces = F.ceil(F.col("n_user") / F.lit(PIECE)).cast("int")
-    placed = vectors.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("item_id"), F.col("pieces")).cast("int"))
-    placed = materialize(placed.drop("n_user"), "vectors")
-    left = placed.select("user_id", F.col("item_id").alias("a"), F.col("v").alias("va"), F.col("piece").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
-    right = placed.select("user_id", F.col("item_id").alias("b"), F.col("v").alias("vb"), F.col("piece").alias("q"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"))
-    sums = left.join(right, ["user_id", "p", "q"]).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
-    pair = lambda x, y: F.struct(F.col(x).alias("item_id"), F.col(y).alias("other_id"), F.col("s").alias("similarity"))
-    both = sums.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(pair("a", "b"))).otherwise(F.array(pair("a", "b"), pair("b", "a")))))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("similarity", _EXACT - 3)), "other_id"))
-    return both.withColumn("place", place).where(F.col("place") <= neighbours)
-
-
-def item_based(interactions: DataFrame, k: int, *, neighbours: int = 20, users: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    vectors = materialize(item_vectors(interactions), "vectors")
+    codes = materialize(_dense_ids(vectors.select("item_id").distinct(), "item_id", in_order=True), "item_codes")
+    entries = vectors.join(codes, "item_id").select(F.col("user_id").alias("group"), F.col("item_id_no").alias("item"), "v", F.col("n_user").alias("n_group"))
+    sums = pair_sums(entries, PIECE)
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "s")
+    both = sums.select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).unionByName(codes.select(F.col("item_id_no").alias("a"), F.col("item_id_no").alias("b"), F.lit(1.0).alias("s")))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("s", _EXACT - 3)), "b"))
+    near = both.withColumn("place", place).where(F.col("place") <= neighbours)
+    name = lambda c, n: codes.select(F.col("item_id_no").alias(c), F.col("item_id").alias(n))
+    return near.join(name("a", "item_id"), "a").join(name("b", "other_id"), "b").select("item_id", "other_id", F.col("s").alias("similarity"), "place")
+
+
+def item_based(
+    interactions: DataFrame, k: int, *, neighbours: int = 20, users: DataFrame | None = None, allowed: DataFrame | None = None, near: DataFrame | None = None
+) -> DataFrame:
     """Scores by the user's items: each touched item gives weight * similarity to its own neighbours; touched items go.
 
     A touched item reaches at most its neighbours, so the rows grow with interactions * neighbours, however popular an item.
+    users are those to score; near is what item_neighbours gave, where it was kept.
     """
-    near = materialize(item_neighbours(interactions, neighbours), "neighbours")
+    near = materialize(item_neighbours(interactions, neighbours), "neighbours") if near is None else near
     own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
     reach = own.join(near.drop("place"), "item_id").select("user_id", F.col("other_id").alias("item_id"), "weight", "similarity")
     scored = reach.groupBy("user_id", "item_id").agg(F.sum(F.col("weight") * F.col("similarity")).alias("score")).where("score > 0")
@@ -102,41 +107,51 @@ def item_tokens(items: DataFrame, features: Sequence[FeatureColumn]) -> DataFram
 
 
 def content_fallback(
-    interactions: DataFrame, items: DataFrame, features: Sequence[FeatureColumn], k: int, *, max_rows: int = 50, allowed: DataFrame | None = None
-) -> DataFrame:
+    interactions: DataFrame, items: DataFrame, features: Sequence[FeatureColumn], k: int, *, max_rows: int = 50, users: DataFrame | None = None,
+    allowed: DataFrame | None = None,
+) -> DataFrame:
     """Untouched items for users with a history: the greatest cosine of token sets with one of the user's newest 50 items.
 
     items must have one row per item_id. A cosine is shared tokens / sqrt(tokens * tokens); items at 0 are left out. A user
-    gets at most min(k, max_rows) rows. The history is ordered by time, then item.
-
-    Items with the same tokens score alike, so cosines are computed once per pair of different token sets of touched
-    and untouched items that share a token. A user meets each touched set once; per touched set only its best untouched
-    items can reach anyone's top places, so the list kept per set is min(k, max_rows) long.
+    gets at most min(k, max_rows) rows. The history is ordered by time, then item. users are those to score.
+
+    Cosines are found once per different token set of touched items, without pairing sets that share a token: of all
+    untouched items that hold a given set of tokens only the first min(k, max_rows) by number of tokens, then id, can be
+    among the best of anyone. (An item ahead of another in the list of the tokens that the other shares with a touched item
+    has at least its cosine there, and comes first in a tie.) So each touched set meets the short lists of its subsets, and
+    a token that a third of all items carry costs no more than any other. Items of more than LISTED_TOKENS tokens have too many
+    subsets; pairs with one of them are compared by their shared tokens.
     """
     take = min(k, max_rows)
-    tokens = materialize(item_tokens(items, features), "tokens")
+    tokens = materialize(item_tokens(items, features).withColumn("tokens", F.array_sort("tokens")), "tokens")
     touched = interactions.select("item_id").distinct()
     cold = tokens.join(touched, "item_id", "left_anti")
     if allowed is not None:
         cold = cold.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
-    recent = top_k(interactions, HISTORY, order=(F.desc("last_us"), F.asc("item_id"))).select("user_id", "item_id")
-    history = recent.join(tokens, "item_id").select("user_id", F.array_sort("tokens").alias("set")).distinct()
-    warm_sets = history.select("set").distinct()
-    cold_sets = cold.select(F.array_sort("tokens").alias("set"), "item_id")
-    sides = lambda f, name: f.select("set").distinct().select(F.col("set").alias(name), F.explode("set").alias("token"))
-    shared = sides(warm_sets, "warm").join(sides(cold_sets, "cold"), "token").groupBy("warm", "cold").agg(F.count(F.lit(1)).alias("n"))
-    cosine = F.col("n") / F.sqrt((F.size("warm") * F.size("cold")).cast("double"))
-    pairs = shared.select("warm", F.col("cold").alias("set"), F.round(cosine, _EXACT).alias("score"))
-    # per touched set: its best untouched items; enough for every user
-    listed = top_k(pairs.join(_first_items(cold_sets, take), "set"), take, by=("warm",), order=(F.desc("score"), F.asc("item_id")))
-    best = history.select("user_id", F.col("set").alias("warm")).join(listed.select("warm", "item_id", "score"), "warm")
-    return top_k(best.groupBy("user_id", "item_id").agg(F.max("score").alias("score")), take).select("user_id", "item_id", "rank", "score")
-
-
-def _first_items(cold_sets: DataFrame, n: int) -> DataFrame:
-    """Of the untouched items with the same tokens the first n by id: they tie in score, so no other can be listed."""
-    place = F.row_number().over(Window.partitionBy("set").orderBy("item_id"))
-    return cold_sets.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
+    recent = top_k(own, HISTORY, order=(F.desc("last_us"), F.asc("item_id"))).select("user_id", "item_id")
+    history = materialize(recent.join(tokens, "item_id").select("user_id", F.col("tokens").alias("set")).distinct(), "history")
+    warm = materialize(history.select("set").distinct(), "warm_sets")
+    cosine = lambda n, a, b: F.round(n / F.sqrt((a * b).cast("double")), _EXACT)
+
+    short = lambda c: F.size(c) <= LISTED_TOKENS
+    listed = cold.where(short("tokens")).select("item_id", F.size("tokens").alias("n_cold"), F.explode(_subsets("tokens")).alias("part"))
+    first = top_k(listed, take, by=("part",), order=(F.asc("n_cold"), F.asc("item_id"))).select("part", "item_id", "n_cold")
+    parts = warm.where(short("set")).select(F.col("set").alias("warm"), F.explode(_subsets("set")).alias("part"))
+    pairs = parts.join(first, "part").select("warm", "item_id", cosine(F.size("part"), F.size("warm"), F.col("n_cold")).alias("score"))
+    if not tokens.where(~short("tokens")).isEmpty():
+        sides = lambda f, name, *more: f.select(F.col(name), *more, F.explode(name).alias("token"))
+        met = sides(warm.select(F.col("set").alias("warm")), "warm").join(sides(cold, "tokens", "item_id"), "token").where(~short("warm") | ~short("tokens"))
+        shared = met.groupBy("warm", "item_id", F.size("tokens").alias("n_cold")).agg(F.count(F.lit(1)).alias("n"))
+        pairs = pairs.unionByName(shared.select("warm", "item_id", cosine(F.col("n"), F.size("warm"), F.col("n_cold")).alias("score")))
+    best = top_k(pairs.groupBy("warm", "item_id").agg(F.max("score").alias("score")), take, by=("warm",), order=(F.desc("score"), F.asc("item_id")))
+    reach = history.select("user_id", F.col("set").alias("warm")).join(best.select("warm", "item_id", "score"), "warm")
+    return top_k(reach.groupBy("user_id", "item_id").agg(F.max("score").alias("score")), take).select("user_id", "item_id", "rank", "score")
+
+
+def _subsets(column: str) -> Column:
+    """The sets of at least one of the column's tokens, each in the column's order."""
+    return F.expr(f"transform(sequence(1, shiftleft(1, size({column})) - 1), m -> filter({column}, (t, i) -> (shiftright(m, i) & 1) = 1))")
 
 
 def transitions(interactions: DataFrame) -> DataFrame:
@@ -147,21 +162,24 @@ def transitions(interactions: DataFrame) -> DataFrame:
 
 
 def sequential(
-    interactions: DataFrame, k: int, *, last: int = 3, fade: float = 0.5, fan_out: int | None = None, allowed: DataFrame | None = None
-) -> DataFrame:
+    interactions: DataFrame, k: int, *, last: int = 3, fade: float = 0.5, fan_out: int | None = None, users: DataFrame | None = None,
+    allowed: DataFrame | None = None, moves: DataFrame | None = None,
+) -> DataFrame:
     """Next items by first-order transitions from the user's last items: sum of fade^(position - 1) * n / n_from, unseen only.
 
     An item leads to all of its next items, or only to its fan_out most frequent ones (ties by id) where that is given, which
     loses scores; n_from counts all of its transitions. The rows to score are the users' last items times their next items.
-    Users with the same last items in the same order score alike, so each such list of ends is scored once.
+    Users with the same last items in the same order score alike, so each such list of ends is scored once. users are those to
+    score; moves is what transitions gave, where it was kept.
 
     A counting baseline, not a neural model: an architecture of that kind needs a library that is not here.
     """
-    moves = transitions(interactions)
+    moves = transitions(interactions) if moves is None else moves
     total = moves.groupBy("from_id").agg(F.sum("n").alias("n_from"))
     often = moves if fan_out is None else top_k(moves, fan_out, by=("from_id",), order=(F.desc("n"), F.asc("to_id")))
     odds = often.join(total, "from_id").select("from_id", "to_id", (F.col("n") / F.col("n_from")).alias("p"))
-    newest = top_k(interactions, last, order=(F.desc("last_us"), F.desc("item_id")))
+    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
+    newest = top_k(own, last, order=(F.desc("last_us"), F.desc("item_id")))
     in_order = F.array_sort(F.collect_list(F.struct("rank", "item_id")))  # at most last items
     ends = materialize(newest.groupBy("user_id").agg(F.transform(in_order, lambda x: x["item_id"]).alias("ends")), "ends")
     parts = ends.select("ends").distinct().select("ends", F.posexplode("ends").alias("at", "from_id"))
@@ -169,19 +187,18 @@ def sequential(
     if allowed is not None:
         scored = scored.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
     named = ends.join(scored, "ends").select("user_id", "item_id", "score")
-    fresh = named.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    fresh = named.join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
 
 
-def collaborative(
-    interactions: DataFrame, k: int, *, user_features: DataFrame | None = None, item_features: DataFrame | None = None, feature_weight: float = 0.1,
-    rank: int = 16, iterations: int = 5, reg: float = 0.05, alpha: float = 10.0, seed: int = 42, allowed: DataFrame | None = None, blocks: int = 8,
-) -> DataFrame:
+def fit_collaborative(
+    interactions: DataFrame, *, user_features: DataFrame | None = None, item_features: DataFrame | None = None, feature_weight: float = 0.1,
+    rank: int = 16, iterations: int = 5, reg: float = 0.05, alpha: float = 10.0, seed: int = 42, blocks: int = 8,
+) -> dict[str, DataFrame]:
     """Implicit ALS over interactions and feature edges: users to pseudo-items of their features, pseudo-users to items.
 
-    A user with features but no interactions gets factors from them. Pseudo ids and items not allowed are left out before
-    scoring and each user asks for k and at least as many as they have seen, so k unseen items remain if there are so many.
-    Scores are the model's and not comparable with other strategies.
+    Gives user_factors (user_id, no, features) and item_factors (item_id, no, features) of real users and items; a user with
+    features but no interactions gets factors from them.
     """
     from pyspark.ml.recommendation import ALS
 
@@ -199,45 +216,83 @@ def collaborative(
         userCol="u_no", itemCol="i_no", ratingCol="weight", implicitPrefs=True, rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, seed=seed,
         numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=-1,
     ).fit(coded)
-    real = its.where("i like 'i:%'").select("i_no", F.expr("substring(i, 3)").alias("item_id"))
+    real = lambda ids, c, name: ids.where(f"{c} like '{c}:%'").select(F.col(f"{c}_no").alias("no"), F.expr(f"substring({c}, 3)").alias(name))
+    kept = lambda factors, ids, name: factors.join(ids, factors["id"] == ids["no"]).select(name, "no", "features")
+    return {"user_factors": kept(model.userFactors, real(us, "u", "user_id"), "user_id"), "item_factors": kept(model.itemFactors, real(its, "i", "item_id"), "item_id")}
+
+
+def collaborative(
+    interactions: DataFrame, k: int, *, users: DataFrame | None = None, allowed: DataFrame | None = None, fitted: dict[str, DataFrame] | None = None,
+    unseen: bool = True, **options,
+) -> DataFrame:
+    """The k items not touched yet (any items, where unseen is false) with the highest scores of implicit ALS; fitted is what fit_collaborative gave, where it was
+    kept, else it is fitted with the options here.
+
+    Items not allowed are left out before scoring and each user asks for k and at least as many as they have seen, so k
+    unseen items remain if there are so many. users are those to score. Scores are the model's and not comparable with
+    other strategies.
+    """
+    fitted = {n: materialize(f, n) for n, f in fit_collaborative(interactions, **options).items()} if fitted is None else fitted
+    items, people = fitted["item_factors"], fitted["user_factors"]
     if allowed is not None:
-        real = real.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
-    real = materialize(real, "real_items")
-    n_items = real.count()
-    if not n_items:
-        return top_k(interactions.select("user_id", "item_id", F.lit(0.0).alias("score")).limit(0), k).select("user_id", "item_id", "rank", "score")
-    factors = materialize(model.itemFactors.join(real, model.itemFactors["id"] == real["i_no"], "left_semi"), "item_factors")
-    scorer = _with_items(model, factors)
+        items = items.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
+    if users is not None:
+        people = people.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    interactions = interactions if unseen else interactions.limit(0)
     seen = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    named_users = us.where("u like 'u:%'").select("u_no", F.expr("substring(u, 3)").alias("user_id"))
-    people = materialize(named_users.join(seen, "user_id", "left").select("u_no", "user_id", F.coalesce("n", F.lit(0)).alias("n")), "people")
-    most = people.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    people = materialize(people.join(seen, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0))), "people")
+    items = materialize(items, "real_items")
+    n_items, width = items.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    most = people.agg(F.max("n")).first()[0]
+    if not n_items or most is None:
+        return top_k(interactions.select("user_id", "item_id", F.lit(0.0).alias("score")).limit(0), k).select("user_id", "item_id", "rank", "score")
+    scorer = _als_model(width, people, items)
     low, high, bands = -1, 16, []
     while low < most:  # a user of a band asks for k and as many as anyone in it has seen: a few bands up to the most
-        own = people.where((F.col("n") > low) & (F.col("n") <= high)).select("u_no")
+        own = people.where((F.col("n") > low) & (F.col("n") <= high)).select(F.col("no").alias("u_no"))
         bands.append(scorer.recommendForUserSubset(own, min(n_items, k + min(high, most))))
         low, high = high, high * 4
     found = union(bands).select("u_no", F.inline("recommendations"))
-    named = found.join(people, "u_no").join(real, "i_no").select("user_id", "item_id", F.col("rating").cast("double").alias("score"))
-    fresh = named.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    named = found.join(people.select(F.col("no").alias("u_no"), "user_id"), "u_no").join(items.select(F.col("no").alias("i_no"), "item_id"), "i_no")
+    fresh = named.select("user_id", "item_id", F.col("rating").cast("double").alias("score")).join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
 
 
-def _with_items(model, factors: DataFrame):
-    """The ALS model with these item factors only, so that no other item takes a place in its lists."""
+def collaborative_epochs(interactions: DataFrame, k: int, epochs: Sequence[int], *, max_users: int = 2000, **options) -> list[tuple[int, dict[str, float]]]:
+    """Precision and recall at k on the interactions themselves after so many iterations each, to watch a fit by.
+
+    Measured over at most max_users users, the first by a hash of their id. The fit starts from a seed, so one of e iterations is
+    the beginning of a longer one; each is made anew, which costs the sum of the epochs in iterations.
+    """
+    from cellarflow.operators.evaluate import mean_metrics
+
+    users = materialize(interactions.select("user_id").distinct().orderBy(F.xxhash64("user_id"), "user_id").limit(max_users), "watched")
+    truth = interactions.join(users, "user_id", "left_semi")
+    out = []
+    for e in epochs:
+        row = mean_metrics(collaborative(interactions, k, users=users, unseen=False, iterations=e, **options), truth, k).first()
+        out.append((e, {f"Precision@{k}": row["precision"], f"Recall@{k}": row["recall"]}))
+    return out
+
+
+def _als_model(width: int, users: DataFrame, items: DataFrame):
+    """An ALS model of kept factors, with these items only, so that no other item takes a place in its lists."""
     from pyspark.ml.recommendation import ALSModel
 
-    jvm = factors.sparkSession._jvm
-    java = jvm.org.apache.spark.ml.recommendation.ALSModel(model.uid, model.rank, model.userFactors._jdf, factors._jdf)
+    sides = [f.select(F.col("no").alias("id"), "features")._jdf for f in (users, items)]
+    java = users.sparkSession._jvm.org.apache.spark.ml.recommendation.ALSModel("kept", width, *sides)
     return ALSModel(java.setUserCol("u_no").setItemCol("i_no"))
 
 
-def _dense_ids(ids: DataFrame, name: str) -> DataFrame:
-    """Whole numbers from 0 for different ids, by counts per partition: no global sort in one task."""
-    parts = materialize(ids.withColumn("_pid", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()), "numbering")
-    per = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("c"), F.min("_n").alias("low"))
-    base = per.withColumn("base", F.sum("c").over(Window.orderBy("_pid")) - F.col("c"))  # one row per partition
-    return parts.join(F.broadcast(base), "_pid").select(name, (F.col("_n") - F.col("low") + F.col("base")).cast("int").alias(f"{name}_no"))
+def _dense_ids(ids: DataFrame, name: str, *, in_order: bool = False) -> DataFrame:
+    """Whole numbers from 0 for different ids, by counts per partition: no global sort in one task. in_order numbers them by
+    value, over range partitions."""
+    spread = ids.repartitionByRange(name).sortWithinPartitions(name) if in_order else ids
+    parts = materialize(spread.select(name, F.monotonically_increasing_id().alias("_n")), "numbering")
+    part = F.shiftright("_n", 33)  # the partition; the lower bits count its rows
+    per = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("c"))
+    base = per.withColumn("base", F.sum("c").over(Window.orderBy("_part")) - F.col("c"))  # one row per partition
+    return parts.join(F.broadcast(base), part == F.col("_part")).select(name, (F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("base")).cast("int").alias(f"{name}_no"))
 
 
 REGISTRY: dict[str, Callable] = {}

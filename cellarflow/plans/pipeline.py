@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarflow.config import NEEDS_HISTORY, PERSONALIZED, SOURCE_LABELS, STRATEGIES, ConfigError, FeatureConfig, JobSettings
+from cellarflow.config import NEEDS_HISTORY, PERSONALIZED, SOURCE_LABELS, STRATEGIES, Blending, BoostRule, ConfigError, FeatureColumn, FeatureConfig, JobSettings
 from cellarflow.functions.times import micros
 from cellarflow.functions.values import as_time
+from cellarflow.operators import evaluate as E
 from cellarflow.operators import interactions as I
 from cellarflow.operators import ranking as R
 from cellarflow.operators import strategies as S
@@ -41,15 +42,27 @@ def run_plan(models: Sequence[str], *, content_fallback: bool, blending: bool) -
 
 @dataclass
 class Dataset:
-    """What strategies read. Interactions and features are written once, for every strategy reads them."""
+    """What strategies read. Interactions and features are written once, for every strategy reads them. fitted holds what fit
+    learned; a strategy that finds nothing there learns it from the interactions."""
 
     interactions: DataFrame
     targets: DataFrame
     items: DataFrame | None
     user_features: DataFrame
     item_features: DataFrame
-    events: DataFrame
+    as_of_us: int
+    fitted: dict[str, DataFrame] = field(default_factory=dict)
     _lists: dict[str, DataFrame] = field(default_factory=dict)
+    _scored: dict[bool, DataFrame] = field(default_factory=dict)
+
+    def scored(self, strategy: str) -> DataFrame:
+        """The target users that a personalized strategy has something to say of: with interactions, or, where it needs no
+        history, with a feature."""
+        history = strategy in NEEDS_HISTORY
+        if history not in self._scored:
+            known = self.interactions.select("user_id") if history else I.known_users(self.interactions, self.user_features)
+            self._scored[history] = materialize(self.targets.join(known, "user_id", "left_semi"), "scored_users")
+        return self._scored[history]
 
 
 def build_dataset(events: DataFrame, users: DataFrame | None, items: DataFrame | None, config: FeatureConfig, as_of_us: int, half_life_days: float) -> Dataset:
@@ -62,18 +75,34 @@ def build_dataset(events: DataFrame, users: DataFrame | None, items: DataFrame |
         return newest_rows(nan_to_null(df), key, [*order, F.xxhash64(*[c for c in df.columns])])
 
     users, items = one(users, "user_id"), one(items, "item_id")
-    clean = I.clean_events(events)
     none = lambda: events.sparkSession.createDataFrame([], I.FEATURES)
     return Dataset(
         materialize(I.build_interactions(events, config, as_of_us, half_life_days), "interactions"),
-        I.target_users(clean, users),
+        materialize(I.target_users(I.clean_events(events), users), "targets"),
         items,
         I.explode_features(users, "user_id", config.user_features) if users is not None else none(),
         I.explode_features(items, "item_id", config.item_features) if items is not None else none(),
-        clean,
+        as_of_us,
     )
 
 
+#: What fit keeps of each strategy; the others read the interactions or the items, which are kept with it.
+_LEARNED: dict[str, Callable[[Dataset, JobSettings], dict[str, DataFrame]]] = {
+    "item_based": lambda d, job: {"neighbours": S.item_neighbours(d.interactions, job.neighbours)},
+    "sequential": lambda d, job: {"transitions": S.transitions(d.interactions)},
+    "collaborative": lambda d, job: S.fit_collaborative(d.interactions, user_features=d.user_features, item_features=d.item_features),
+}
+
+
+def fit(data: Dataset, models: Sequence[str], job: JobSettings) -> Dataset:
+    """Learns and keeps what the strategies need, each once: neighbours, transitions, factors."""
+    for name in models:
+        if name in _LEARNED and (name not in PERSONALIZED or not data.scored(name).isEmpty()):
+            for table, df in _LEARNED[name](data, job).items():
+                data.fitted.setdefault(table, materialize(df, table))
+    return data
+
+
 def allowed_items(data: Dataset, config: FeatureConfig) -> DataFrame | None:
     """Items that pass the availability flags; None where no flag can be read."""
     flags = [c for c in config.availability if data.items is not None and c in data.items.columns]
@@ -81,28 +110,32 @@ def allowed_items(data: Dataset, config: FeatureConfig) -> DataFrame | None:
 
 
 def strategy_list(name: str, data: Dataset, config: FeatureConfig, job: JobSettings, k: int, allowed: DataFrame | None) -> DataFrame:
-    """(user_id, item_id, rank, score, source) of one strategy; personalized ones only for target users."""
+    """(user_id, item_id, rank, score, source) of one strategy. A personalized one scores only the users it knows something
+    of, and does nothing where there are none."""
     if name in data._lists:
         return data._lists[name]
-    x = data.interactions
-    if name == "popular":
-        rows = S.to_users(data.targets, S.popular(x, k, allowed))
+    x, f = data.interactions, data.fitted
+    users = data.scored(name) if name in PERSONALIZED else data.targets
+    if name in PERSONALIZED and users.isEmpty():
+        rows = x.sparkSession.createDataFrame([], "user_id string, item_id string, rank int, score double")
+    elif name == "popular":
+        rows = S.to_users(users, S.popular(x, k, allowed))
     elif name == "latest":
-        rows = S.to_users(data.targets, S.latest(x, k, window_days=job.latest_days, allowed=allowed))
+        rows = S.to_users(users, S.latest(x, k, window_days=job.latest_days, not_after_us=data.as_of_us, allowed=allowed))
     elif name == "item_based":
-        rows = S.item_based(x, k, neighbours=job.neighbours, allowed=allowed)
+        rows = S.item_based(x, k, neighbours=job.neighbours, users=users, allowed=allowed, near=f.get("neighbours"))
     elif name == "content_fallback":
         if data.items is None:
             raise ConfigError("content_fallback needs the items table")
-        rows = S.content_fallback(x, data.items, config.item_features, k, max_rows=job.content_rows, allowed=allowed)
+        rows = S.content_fallback(x, data.items, config.item_features, k, max_rows=job.content_rows, users=users, allowed=allowed)
     elif name == "sequential":
-        rows = S.sequential(x, k, allowed=allowed)
+        rows = S.sequential(x, k, users=users, allowed=allowed, moves=f.get("transitions"))
     elif name == "collaborative":
-        rows = S.collaborative(x, k, user_features=data.user_features, item_features=data.item_features, allowed=allowed)
+        kept = {n: f[n] for n in ("user_factors", "item_factors")} if "item_factors" in f else None
+        options = {} if kept else {"user_features": data.user_features, "item_features": data.item_features}
+        rows = S.collaborative(x, k, users=users, allowed=allowed, fitted=kept, **options)
     else:
         rows = S.REGISTRY[name](x, k)
-    if name in PERSONALIZED:
-        rows = rows.join(data.targets, "user_id", "left_semi")
     data._lists[name] = materialize(rows.withColumn("source", F.lit(SOURCE_LABELS.get(name, name))), name)
     return data._lists[name]
 
@@ -133,22 +166,90 @@ def recommend(data: Dataset, config: FeatureConfig, job: JobSettings) -> DataFra
     return rows.where(F.col("rank") <= job.top_k)
 
 
+def backtest(
+    events: DataFrame, users: DataFrame | None, items: DataFrame | None, config: FeatureConfig, job: JobSettings, candidates: Sequence[E.Candidate], as_of_us: int
+) -> list[tuple[E.Candidate, dict[str, float]]]:
+    """The mean metrics of each candidate over the job's folds before as_of. A strategy's list is made once a fold, whatever
+    number of candidates share it. Without a filled fold there is nothing to judge by, which raises."""
+    clean = materialize(I.clean_events(events), "events")
+    folds = E.time_folds(clean, job.folds, job.fold_days, not_after_us=as_of_us)
+    if not folds:
+        raise ConfigError("no fold has events on both sides")
+    raw = clean.withColumn("occurred_at", F.timestamp_micros("t"))
+    parts = {f: E.split(raw, f) for f in folds}
+    data = {f: build_dataset(parts[f][0], users, items, config, f.start_us, job.half_life_days) for f in folds}
+    truth = {f: materialize(I.build_interactions(parts[f][1], config, f.end_us, job.half_life_days), "truth") for f in folds}
+
+    def rows(c: E.Candidate, f: E.Fold) -> DataFrame:
+        return recommend(data[f], config, with_candidate(job, c))
+
+    return E.evaluate(folds, candidates, rows, lambda f: truth[f], job.top_k)
+
+
+def with_candidate(job: JobSettings, c: E.Candidate) -> JobSettings:
+    return replace(job, models=c.models, content_fallback="content_fallback" in c.models, model_weights=dict(c.weights) if c.weights else None, rrf_k=c.rrf_k)
+
+
+def choose(
+    events: DataFrame, users: DataFrame | None, items: DataFrame | None, config: FeatureConfig, job: JobSettings, as_of_us: int
+) -> tuple[JobSettings, dict]:
+    """The job with the models, weights and rrf_k of the best candidate, and what the manifest says of the choice."""
+    candidates = E.parse_candidates(job.candidates) if job.candidates is not None else E.default_candidates([m for m in STRATEGIES if m != "content_fallback" or items is not None], PERSONALIZED)
+    median = I.median_items_per_user(I.clean_events(events)).first()[0]
+    candidates = E.without_sequential(candidates, median, job.sequential_least)
+    results = backtest(events, users, items, config, job, candidates, as_of_us)
+    best = E.select_best(results, job.primary_metric)
+    return with_candidate(job, best), {"selected": best.label, "metric": job.primary_metric, "folds": job.folds, "results": {c.label: m for c, m in results}}
+
+
+def save_artifact(store: Store, data: Dataset, config: FeatureConfig, job: JobSettings) -> None:
+    """Everything that recommending anew needs, as tables and settings: recommend over read_artifact gives the same rows."""
+    tables = {"interactions": data.interactions, "targets": data.targets, "user_features": data.user_features, "item_features": data.item_features} | data.fitted
+    if data.items is not None:
+        tables["items"] = data.items
+    store.write_artifact(tables, {"job": asdict(job), "features": asdict(config), "as_of_us": data.as_of_us, "fitted": list(data.fitted)})
+
+
+def load_artifact(store: Store) -> tuple[Dataset, FeatureConfig, JobSettings]:
+    meta, t = store.read_artifact()
+    f = meta["features"]
+    config = FeatureConfig(
+        **f | {
+            "user_features": tuple(FeatureColumn(**x) for x in f["user_features"]), "item_features": tuple(FeatureColumn(**x) for x in f["item_features"]),
+            "boosts": tuple(BoostRule(**x) for x in f["boosts"]), "blending": Blending(**f["blending"] | {"latest_date_columns": tuple(f["blending"]["latest_date_columns"])}),
+            "quantity_scaled": tuple(f["quantity_scaled"]), "availability": tuple(f["availability"]),
+        }
+    )
+    job = meta["job"] | {"models": tuple(meta["job"]["models"]), "epochs": tuple(meta["job"]["epochs"])}
+    data = Dataset(t["interactions"], t["targets"], t.get("items"), t["user_features"], t["item_features"], meta["as_of_us"], {n: t[n] for n in meta["fitted"]})
+    return data, config, JobSettings(**job)
+
+
 def run_job(spark: SparkSession, store: Store, config: FeatureConfig, job: JobSettings, *, as_of: datetime | None = None) -> Mapping:
-    """Reads the store, recommends, writes snapshot, recommendations and artifact, and always one manifest."""
+    """Reads the store, chooses the plan where the job asks for that, recommends, writes snapshot, recommendations and artifact,
+    and always one manifest."""
     as_of = as_of or datetime.now(UTC)
+    as_of_us = int(as_of.timestamp() * 1_000_000)
     manifest: dict = {"generated_at": datetime.now(UTC).isoformat(), "status": "failed", "error": None, "mode": "full", "models": list(job.models), "top_k": job.top_k, "half_life_days": job.half_life_days, "partial_outputs": []}
     try:
         events, users, items = store.read_input()
-        data = build_dataset(events, users, items, config, int(as_of.timestamp() * 1_000_000), job.half_life_days)
+        if job.automl:
+            job, manifest["automl"] = choose(events, users, items, config, job, as_of_us)
+            manifest["models"] = list(job.models)
+        plan = run_plan(job.models, content_fallback=job.content_fallback, blending=config.blending.enabled)
+        data = fit(build_dataset(events, users, items, config, as_of_us, job.half_life_days), plan, job)
+        if job.epochs and "collaborative" in plan:
+            history = S.collaborative_epochs(data.interactions, job.top_k, job.epochs, user_features=data.user_features, item_features=data.item_features)
+            names = list(history[0][1])
+            manifest["epochs"] = {"values": history, "warnings": {n: E.trajectory_warning([m[n] for _, m in history]) for n in names}}
         rows = recommend(data, config, job)
-        store.write_artifact({"interaction_counts": I.interaction_counts(data.interactions)}, {"models": list(job.models), "needs_history": list(NEEDS_HISTORY)})
+        save_artifact(store, data, config, job)
         manifest["partial_outputs"].append("artifact")
         if data.items is not None:
             store.write_snapshot(data.items)
             manifest["partial_outputs"].append("items")
-        written = store.write_recommendations(rows)
-        n = written.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users")).first()
-        manifest |= {"status": "ok", "n_rows": n["rows"], "n_users": n["users"], "partial_outputs": []}
+        n = store.write_recommendations(rows).count()
+        manifest |= {"status": "ok", "n_rows": n, "n_users": store.count_users(), "partial_outputs": []}
     except Exception as e:
         manifest["error"] = f"{type(e).__name__}: {e}"[:500]
         raise

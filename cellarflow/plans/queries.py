@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from cellarflow.operators import lookup as L
 from cellarflow.operators import ranking as R
 from cellarflow.operators import strategies as S
 from cellarflow.plans import pipeline
-from cellarflow.runtime import materialize
+from cellarflow.runtime import fresh_path, materialize
 from cellarflow.schemas import nan_to_null, newest_rows
 from cellarflow.sources import tables as T
 from cellarflow.streaming import intake as N
@@ -30,9 +31,9 @@ HALF_LIFE = 90.0
 K = 10
 SIGMOID, LINEAR = Blending(enabled=True), Blending(enabled=True, curve="linear")
 BOOSTS = (
-    BoostRule("paying", "is_paying_producer", "boolean", factor=2.0),
-    BoostRule("tier", "plan_tier", "value_map", value_factors={"premium": 1.5, "standard": 1.1, "free": 1.0}),
-    BoostRule("margin", "margin", "numeric", weight=1.0),
+    BoostRule("listed", "published", "boolean", factor=1.3),
+    BoostRule("strength", "abv_bucket", "value_map", value_factors={"none": 0.7, "low": 1.25, "high": 0.9}),
+    BoostRule("earnings", "margin", "numeric", weight=0.4),
 )
 CURSOR = (1_773_000_000_000_000, "5")
 
@@ -227,12 +228,13 @@ def latest_items(spark, d):
     return S.latest(interactions(spark, d), K, not_after_us=AS_OF_US)
 
 
-_KNN = f"""{_INTER}, per_user AS (SELECT user_id, count(*) AS n FROM inter GROUP BY 1),
+_NEAR = """per_user AS (SELECT user_id, count(*) AS n FROM inter GROUP BY 1),
 raw AS (SELECT user_id, item_id, weight, sqrt(weight) * (ln((SELECT CAST(count(DISTINCT item_id) AS DOUBLE) FROM inter)) - ln(1 + n)) AS v FROM inter JOIN per_user USING (user_id)),
 norms AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM raw GROUP BY 1),
 vec AS (SELECT user_id, item_id, v / norm AS v FROM raw JOIN norms USING (item_id) WHERE norm > 0),
 pairs AS (SELECT a.item_id, b.item_id AS other_id, sum(a.v * b.v) AS similarity FROM vec a JOIN vec b USING (user_id) GROUP BY 1, 2),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, other_id) AS place FROM pairs) WHERE place <= 20)"""
+_KNN = f"{_INTER}, {_NEAR}"
 
 
 @query(f"WITH {_KNN} SELECT item_id, other_id, round(similarity, 6) AS similarity, place FROM near")
@@ -248,7 +250,8 @@ def item_based(spark, d):
     return S.item_based(materialize(interactions(spark, d), "interactions"), K).withColumn("score", F.round("score", 6))
 
 
-_TOKENS = f"{_ITEM_FEATURES}, tok AS (SELECT DISTINCT id AS item_id, feature || '=' || value AS token FROM itf), sizes AS (SELECT item_id, count(*) AS n FROM tok GROUP BY 1)"
+_TOK = "tok AS (SELECT DISTINCT id AS item_id, feature || '=' || value AS token FROM itf), sizes AS (SELECT item_id, count(*) AS n FROM tok GROUP BY 1)"
+_TOKENS = f"{_ITEM_FEATURES}, {_TOK}"
 
 
 @query(f"WITH {_TOKENS} SELECT item_id, n FROM sizes")
@@ -256,22 +259,25 @@ def item_token_counts(spark, d):
     return S.item_tokens(items(spark, d), SHOP.item_features).select("item_id", F.size("tokens").cast("bigint").alias("n"))
 
 
-@query(f"""WITH {_INTER}, {_TOKENS},
-hist AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_us DESC, item_id) AS place FROM inter) WHERE place <= 50),
-cold AS (SELECT * FROM tok WHERE item_id NOT IN (SELECT item_id FROM inter)),
+_CONTENT = """hist AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_us DESC, item_id) AS place FROM inter) WHERE place <= 50),
+cold AS (SELECT * FROM tok WHERE item_id NOT IN (SELECT item_id FROM inter) AND item_id IN (SELECT item_id FROM al)),
 sets AS (SELECT item_id, list(token ORDER BY token) AS s FROM tok GROUP BY 1),
 warm_sets AS (SELECT DISTINCT s FROM sets WHERE item_id IN (SELECT item_id FROM hist)),
 cos AS (SELECT w.s, c.item_id, round(len(list_intersect(w.s, c.s)) / sqrt(CAST(len(w.s) * len(c.s) AS DOUBLE)), 12) AS score
         FROM warm_sets w, (SELECT * FROM sets WHERE item_id IN (SELECT item_id FROM cold)) c WHERE list_has_any(w.s, c.s)),
 user_sets AS (SELECT DISTINCT h.user_id, s.s FROM hist h JOIN sets s USING (item_id)),
-best AS (SELECT user_id, item_id, max(score) AS score FROM user_sets JOIN cos USING (s) GROUP BY 1, 2)
+best AS (SELECT user_id, item_id, max(score) AS score FROM user_sets JOIN cos USING (s) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_INTER}, {_TOKENS}, al AS (SELECT item_id FROM tok), {_CONTENT}
 SELECT user_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM best) WHERE rank <= {K}""")
 def content_fallback(spark, d):
     rows = S.content_fallback(materialize(interactions(spark, d), "interactions"), items(spark, d), SHOP.item_features, K)
     return rows.withColumn("score", F.round("score", 6))
 
 
-_MOVES = f"{_INTER}, steps AS (SELECT lag(item_id) OVER (PARTITION BY user_id ORDER BY last_us, item_id) AS from_id, item_id AS to_id FROM inter), moves AS (SELECT from_id, to_id, count(*) AS n FROM steps WHERE from_id IS NOT NULL GROUP BY 1, 2)"
+_STEPS = "steps AS (SELECT lag(item_id) OVER (PARTITION BY user_id ORDER BY last_us, item_id) AS from_id, item_id AS to_id FROM inter), moves AS (SELECT from_id, to_id, count(*) AS n FROM steps WHERE from_id IS NOT NULL GROUP BY 1, 2)"
+_MOVES = f"{_INTER}, {_STEPS}"
 
 
 @query(f"WITH {_MOVES} SELECT * FROM moves")
@@ -300,7 +306,7 @@ def sequential_whole(spark, d):
 
 @query()
 def collaborative(spark, d):
-    return S.collaborative(materialize(interactions(spark, d), "interactions"), K, user_features=user_features(spark, d), item_features=item_features(spark, d), rank=8, iterations=3)
+    return S.collaborative(materialize(interactions(spark, d), "interactions"), K, user_features=user_features(spark, d), item_features=item_features(spark, d))
 
 
 # ---- combining, blending, boosting ---------------------------------------------------------------------------------
@@ -393,9 +399,10 @@ def cold_start_rows(spark, d):
 
 
 _MARGIN = "CASE WHEN NOT isnan(margin) THEN margin END"
-_FACTORS = f"""{_ITEMS}, bounds AS (SELECT min({_MARGIN}) AS lo, max({_MARGIN}) AS hi FROM it),
-factors AS (SELECT item_id, (CASE WHEN is_paying_producer THEN 2.0e0 ELSE 1.0e0 END) * (CASE plan_tier WHEN 'premium' THEN 1.5e0 WHEN 'standard' THEN 1.1e0 ELSE 1.0e0 END)
-  * (1 + coalesce(({_MARGIN} - lo) / (hi - lo), 0)) AS factor FROM it, bounds)"""
+_FACTOR_PARTS = f"""bounds AS (SELECT min({_MARGIN}) AS lo, max({_MARGIN}) AS hi FROM it),
+factors AS (SELECT item_id, (CASE WHEN published THEN 1.3e0 ELSE 1.0e0 END) * (CASE abv_bucket WHEN 'none' THEN 0.7e0 WHEN 'low' THEN 1.25e0 WHEN 'high' THEN 0.9e0 ELSE 1.0e0 END)
+  * (1 + 0.4e0 * coalesce(({_MARGIN} - lo) / (hi - lo), 0)) AS factor FROM it, bounds)"""
+_FACTORS = f"{_ITEMS}, {_FACTOR_PARTS}"
 
 
 @query(f"WITH {_FACTORS} SELECT item_id, round(factor, 9) AS factor FROM factors")
@@ -447,24 +454,9 @@ def metrics_mean(spark, d):
     return E.mean_metrics(*_judged(spark, d), K).select(*(F.round(c, 9).alias(c) for c in ("map", "ndcg", "recall", "precision")))
 
 
-@query()
-def automl(spark, d):
-    """Every strategy of the registry alone and two combinations of all over two weekly folds: the mean metrics of each."""
-    ev = materialize(events(spark, d), "events")
-    raw = ev.withColumn("occurred_at", F.timestamp_micros("t"))
-    folds = E.time_folds(ev, 2, 7, not_after_us=AS_OF_US)
-    split = {f: E.split(raw, f) for f in folds}
-    data = {f: pipeline.build_dataset(split[f][0], None, items(spark, d), SHOP, f.start_us, HALF_LIFE) for f in folds}
-    truth = {f: materialize(I.build_interactions(split[f][1], SHOP, f.end_us, HALF_LIFE), "truth") for f in folds}
-    models = tuple(S.REGISTRY)
-
-    def recommend(c: E.Candidate, f: E.Fold) -> DataFrame:
-        return pipeline.recommend(data[f], SHOP, JobSettings(models=c.models, content_fallback="content_fallback" in c.models, model_weights=dict(c.weights) if c.weights else None, rrf_k=c.rrf_k))
-
-    results = E.evaluate(folds, E.default_candidates(models, PERSONALIZED), recommend, lambda f: truth[f], K)
-    best = E.select_best(results, "MAP").label
-    rows = [(c.label, c.label == best, *(float(m[f"{n}@{K}"]) for n in E.METRICS)) for c, m in results]
-    return spark.createDataFrame(rows, "candidate string, is_best boolean, map double, ndcg double, recall double, precision double")
+@query(f"WITH {_INTER}, {_TRUTH} SELECT user_id, item_id FROM truth")
+def held_out_truth(spark, d):
+    return _judged(spark, d)[1].select("user_id", "item_id")
 
 
 # ---- lookup --------------------------------------------------------------------------------------------------------
@@ -617,9 +609,134 @@ def keyset_page(spark, d):
     return T.keyset_page(events(spark, d).select("event_id", "t", "user_id", "item_id").distinct(), CURSOR, 100)
 
 
-@query()
+@query(f"WITH {_EV} SELECT event_id, t, n FROM (SELECT event_id, t, count(*) * 3 AS n FROM ev GROUP BY 1, 2)")
+def event_times(spark, d):
+    """The same times read from timestamps, from ISO texts with an offset and from epoch seconds."""
+    rows = read(spark, d, "shop_events").where("user_id is not null and item_id is not null and occurred_at is not null")
+    at = F.col("occurred_at")
+    kinds = [at, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.unix_micros(at) / 1e6]
+    frames = [rows.select("event_id", k.alias("occurred_at")) for k in kinds]
+    times = R.union([f.select("event_id", N.event_time(f, "occurred_at").alias("t")) for f in frames])
+    return times.groupBy("event_id", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT event_id, count(*) AS n FROM shop_events
+WHERE NOT coalesce({duckdb_strip("user_id")} <> '' AND {duckdb_strip("item_id")} <> '' AND {duckdb_strip("event_type")} <> '' AND occurred_at IS NOT NULL AND coalesce(quantity, 1) >= 1, false) GROUP BY 1""")
+def events_rejected(spark, d):
+    """The shop's events as a stream would take them: those without a user, item, type, time or sensible quantity."""
+    return N.normalise(read(spark, d, "shop_events"))[1].groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- whole runs ----------------------------------------------------------------------------------------------------
+
+CLOSED_FORM = ("item_based", "sequential", "content_fallback", "latest", "popular")
+_AVAILABLE = f"snap AS{_SNAPSHOT.split(', snap AS')[1]}, al AS (SELECT item_id FROM snap WHERE is_available)"
+
+
+def _lists_sql(k: int) -> str:
+    """The lists of all closed-form strategies, from ev, inter, it and itf, for allowed items."""
+    cut = lambda name, source: f"SELECT user_id, item_id, rank, score, '{source}' AS source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM {name}) WHERE rank <= {k}"
+    fresh = lambda name: f"SELECT s.* FROM {name} s ANTI JOIN inter i ON i.user_id = s.user_id AND i.item_id = s.item_id WHERE s.item_id IN (SELECT item_id FROM al)"
+    shown = lambda name, rows: f"{name} AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM {rows} WHERE item_id IN (SELECT item_id FROM al) GROUP BY item_id) ORDER BY rank LIMIT {k})"
+    return f"""{_AVAILABLE}, {_TARGETS}, {shown("pop_", "inter")}, {_RECENT}, {shown("lat_", "recent")},
+l_popular AS (SELECT user_id, item_id, rank, score, 'popular_fallback' AS source FROM targets, pop_), l_latest AS (SELECT user_id, item_id, rank, score, 'latest' AS source FROM targets, lat_),
+{_NEAR}, ib AS (SELECT i.user_id, n.other_id AS item_id, sum(i.weight * n.similarity) AS score FROM inter i JOIN near n ON n.item_id = i.item_id GROUP BY 1, 2 HAVING sum(i.weight * n.similarity) > 0),
+ib_fresh AS ({fresh("ib")}), l_item_based AS ({cut("ib_fresh", "item_based")}),
+{_STEPS}, odds AS (SELECT from_id, to_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY from_id) AS p FROM moves),
+ends AS (SELECT user_id, item_id AS from_id, pow(0.5e0, place - 1) AS f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_us DESC, item_id DESC) AS place FROM inter) WHERE place <= 3),
+sq AS (SELECT user_id, to_id AS item_id, sum(f * p) AS score FROM ends JOIN odds USING (from_id) GROUP BY 1, 2), sq_fresh AS ({fresh("sq")}), l_sequential AS ({cut("sq_fresh", "sequential")}),
+{_TOK}, {_CONTENT}, l_content_fallback AS ({cut("best", "content_fallback")})"""
+
+
+def _priority_sql(models: tuple[str, ...], k: int) -> str:
+    tagged = " UNION ALL ".join(f"SELECT *, {i} AS o FROM l_{m}" for i, m in enumerate(models))
+    return f"""SELECT user_id, item_id, place AS rank, score, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, rank, item_id) AS place FROM (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY o, rank) AS first FROM ({tagged})) WHERE first = 1)) WHERE place <= {k}"""
+
+
+_WHOLE = f"{_INTER}, {_ITEM_FEATURES}"
+_RUN = ("item_based", "sequential", "content_fallback", "popular")
+_BATCH_SQL = f"""WITH {_WHOLE}, {_FACTOR_PARTS}, {_lists_sql(3 * K)}, mixed AS ({_priority_sql(_RUN, 3 * K)}),
+boosted AS (SELECT user_id, item_id, score * coalesce(factor, 1) AS score, source FROM mixed LEFT JOIN factors USING (item_id))
+SELECT user_id, item_id, rank, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM boosted) WHERE rank <= {K}"""
+
+
+def _data(spark: SparkSession, d: str) -> pipeline.Dataset:
+    return pipeline.build_dataset(read(spark, d, "shop_events"), read(spark, d, "shop_users"), read(spark, d, "shop_items"), SHOP, AS_OF_US, HALF_LIFE)
+
+
+_BATCH_JOB, _BATCH_CONFIG = JobSettings(models=_RUN, content_fallback=True), replace(SHOP, boosts=BOOSTS)
+
+
+@query(_BATCH_SQL)
 def batch_pipeline(spark, d):
-    """The whole batch run over the shop's tables: item_based, sequential and popular by priority, boosts on."""
-    job = JobSettings(models=("item_based", "sequential", "popular"), content_fallback=True)
-    data = pipeline.build_dataset(read(spark, d, "shop_events"), read(spark, d, "shop_users"), read(spark, d, "shop_items"), SHOP, AS_OF_US, HALF_LIFE)
-    return pipeline.recommend(data, SHOP, job)
+    """The whole batch run over the shop's tables: all closed-form strategies but latest by priority, available items only, boosted."""
+    return pipeline.recommend(_data(spark, d), _BATCH_CONFIG, _BATCH_JOB).withColumn("score", F.round("score", 6))
+
+
+@query(_BATCH_SQL)
+def artifact_rows(spark, d):
+    """The same rows from an artifact: fitted, written, read back and recommended from, without learning anything anew."""
+    store = T.Store(spark, fresh_path(spark, "store"))
+    pipeline.save_artifact(store, pipeline.fit(_data(spark, d), _RUN, _BATCH_JOB), _BATCH_CONFIG, _BATCH_JOB)
+    return pipeline.recommend(*pipeline.load_artifact(store)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_WHOLE}, {_lists_sql(K)}, {_BY_DATE.replace("published_at IS NOT NULL", "published_at IS NOT NULL AND item_id IN (SELECT item_id FROM al)")},
+wt AS (SELECT t.user_id, coalesce(CASE WHEN n > 0 THEN {_SIGMOID_SQL} END, 0) AS p FROM targets t LEFT JOIN (SELECT user_id, count(*) AS n FROM inter GROUP BY 1) USING (user_id)
+  UNION ALL SELECT '__cold_start__', 0),
+rows_ AS (SELECT user_id, item_id, min(rank) AS rank, 'personalized' AS source FROM (SELECT * FROM l_item_based UNION ALL SELECT * FROM l_sequential) GROUP BY 1, 2
+  UNION ALL SELECT user_id, item_id, rank, 'popular_fallback' FROM wt, pop_ UNION ALL SELECT user_id, item_id, rank, 'latest' FROM wt, by_date),
+weighed AS (SELECT r.*, CASE source WHEN 'personalized' THEN p WHEN 'popular_fallback' THEN (1 - p) * 0.7e0 ELSE (1 - p) * (1 - 0.7e0) END AS w FROM rows_ r JOIN wt USING (user_id)),
+mixed AS (SELECT user_id, item_id, sum(w / (60.0e0 + rank)) AS score, CASE WHEN count(DISTINCT source) > 1 THEN 'blended' ELSE min(source) END AS source FROM weighed WHERE w > 1e-9 GROUP BY 1, 2)
+SELECT user_id, item_id, rank, round(score, 9) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM mixed) WHERE rank <= {K}""")
+def batch_blended(spark, d):
+    """The whole batch run with blending: personalized, popular and newest items by each user's weights, and the cold-start rows."""
+    job = JobSettings(models=("item_based", "sequential", "popular"))
+    return pipeline.recommend(_data(spark, d), replace(SHOP, blending=SIGMOID), job).withColumn("score", F.round("score", 9))
+
+
+_CANDIDATES = E.default_candidates(CLOSED_FORM, PERSONALIZED)
+_FUSED = " UNION ALL ".join(f"SELECT user_id, item_id, {1.0 if m in PERSONALIZED else 0.3}e0 / (60.0e0 + rank) AS x FROM l_{m}" for m in CLOSED_FORM)
+
+
+def _fold_sql(i: int) -> str:
+    """Hits of every candidate in the i-th fold from the end, and how many users it is judged by."""
+    newest = f"(SELECT max(epoch_us(occurred_at)) + 1 FROM shop_events WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND epoch_us(occurred_at) <= {AS_OF_US})"
+    start, end = f"({newest} - {7 * (i + 1) * DAY_US})", f"({newest} - {7 * i * DAY_US})"
+    during = lambda part, when, as_of: part.replace(str(AS_OF_US), as_of).replace("occurred_at IS NOT NULL)", f"occurred_at IS NOT NULL AND {when})")
+    at = "epoch_us(occurred_at)"
+    solo = [f"SELECT '{c.label}' AS candidate, user_id, item_id, rank FROM l_{c.models[0]}" for c in _CANDIDATES if len(c.models) == 1]
+    fused = f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(sum(x), 9) DESC, item_id) AS rank FROM ({_FUSED}) GROUP BY 1, 2"
+    mixed = [f"SELECT '{c.label}', user_id, item_id, rank FROM ({_priority_sql(CLOSED_FORM, K) if c.weights is None else fused}) WHERE rank <= {K}" for c in _CANDIDATES if len(c.models) > 1]
+    lists = during(_lists_sql(K), "true", start).replace("SELECT user_id FROM ev UNION SELECT user_id FROM shop_users WHERE user_id IS NOT NULL", "SELECT DISTINCT user_id FROM ev")
+    return f"""(WITH {during(_INTER, f"{at} < {start}", start)}, {_ITEM_FEATURES}, {lists}, recs AS ({" UNION ALL ".join(solo + mixed)}),
+truth AS (WITH {during(_INTER, f"{at} >= {start} AND {at} < {end}", end)} SELECT user_id, item_id FROM inter), relevant AS (SELECT user_id, count(*) AS n FROM truth GROUP BY 1),
+hits AS (SELECT r.candidate, r.user_id, r.rank, row_number() OVER (PARTITION BY candidate, r.user_id ORDER BY r.rank) AS h FROM recs r SEMI JOIN truth t ON t.user_id = r.user_id AND t.item_id = r.item_id WHERE r.rank <= {K}),
+per AS (SELECT candidate, user_id, count(*) AS hits, sum(CAST(h AS DOUBLE) / rank) AS ap, sum(1 / log2(rank + 1)) AS dcg FROM hits GROUP BY 1, 2)
+SELECT candidate, sum(ap / n) / m AS map, sum(dcg) / (SELECT sum(1 / log2(j + 1)) FROM range(1, {K + 1}) AS r(j)) / m AS ndcg, sum(CAST(hits AS DOUBLE) / n) / m AS recall, sum(hits / {K}.0e0) / m AS precision
+FROM per JOIN relevant USING (user_id), (SELECT count(*) AS m FROM relevant) GROUP BY candidate, m)"""
+
+
+@query(f"""WITH all_ AS (SELECT * FROM (VALUES {", ".join(f"('{c.label}', {i})" for i, c in enumerate(_CANDIDATES))}) AS v(candidate, o)),
+means AS (SELECT candidate, o, coalesce(sum(map), 0) / 2 AS map, coalesce(sum(ndcg), 0) / 2 AS ndcg, coalesce(sum(recall), 0) / 2 AS recall, coalesce(sum(precision), 0) / 2 AS precision
+  FROM all_ LEFT JOIN ({_fold_sql(0)} UNION ALL {_fold_sql(1)}) USING (candidate) GROUP BY 1, 2)
+SELECT candidate, row_number() OVER (ORDER BY round(map, 9) DESC, o) = 1 AS is_best, round(map, 9) AS map, round(ndcg, 9) AS ndcg, round(recall, 9) AS recall, round(precision, 9) AS precision FROM means""")
+def automl(spark, d):
+    """Every closed-form strategy alone, all by priority and all fused, over two weekly folds: the mean metrics of each."""
+    job = JobSettings(folds=2, fold_days=7, half_life_days=HALF_LIFE)
+    return _results(spark, pipeline.backtest(read(spark, d, "shop_events"), None, read(spark, d, "shop_items"), SHOP, job, _CANDIDATES, AS_OF_US))
+
+
+@query()
+def automl_all(spark, d):
+    """The same with collaborative among the strategies, as a job chooses by default."""
+    job = JobSettings(folds=2, fold_days=7, half_life_days=HALF_LIFE)
+    candidates = E.default_candidates(("collaborative", *CLOSED_FORM), PERSONALIZED)
+    return _results(spark, pipeline.backtest(read(spark, d, "shop_events"), None, read(spark, d, "shop_items"), SHOP, job, candidates, AS_OF_US))
+
+
+def _results(spark: SparkSession, results: list) -> DataFrame:
+    best = E.select_best([(c, {n: round(v, 9) for n, v in m.items()}) for c, m in results], "MAP").label
+    rows = [(c.label, c.label == best, *(round(m[f"{n}@{K}"], 9) for n in E.METRICS)) for c, m in results]
+    return spark.createDataFrame(rows, "candidate string, is_best boolean, map double, ndcg double, recall double, precision double")

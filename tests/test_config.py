@@ -4,26 +4,26 @@ from cellarflow.config import ConfigError, check_weights, load_features, parse_f
 from cellarflow.plans.pipeline import run_plan
 
 GOOD = """
-quantity_scaled_events = ["purchase"]
-item_availability_filters = ["published"]
+quantity_scaled_events = ["ordered"]
+item_availability_filters = ["on_tap"]
 boost_overfetch_factor = 2
 [event_weights]
-purchase = 4.0
-view = 0.3
+ordered = 6.5
+looked = 0.25
 [event_caps]
-view = 5
+looked = 3
 [[user_features]]
-column = "styles"
+column = "hops"
 type = "list"
 [[boost]]
-name = "paying"
-item_column = "paying"
+name = "local"
+item_column = "local"
 kind = "boolean"
-factor = 2
+factor = 3
 [blending]
 enabled = true
 curve = "linear"
-popular_share = 0.5
+popular_share = 0.35
 """
 
 
@@ -31,8 +31,8 @@ def test_toml(tmp_path):
     p = tmp_path / "f.toml"
     p.write_text(GOOD)
     c = load_features(str(p))
-    assert c.event_weights == {"purchase": 4.0, "view": 0.3} and c.event_caps == {"view": 5} and c.quantity_scaled == ("purchase",)
-    assert c.boosts[0].factor == 2 and c.blending.curve == "linear" and c.blending.popular_share == 0.5 and c.boost_overfetch == 2
+    assert c.event_weights == {"ordered": 6.5, "looked": 0.25} and c.event_caps == {"looked": 3} and c.quantity_scaled == ("ordered",)
+    assert c.boosts[0].factor == 3 and c.blending.curve == "linear" and c.blending.popular_share == 0.35 and c.boost_overfetch == 2
 
 
 @pytest.mark.parametrize("bad", [
@@ -48,8 +48,10 @@ def test_bad_features(bad):
 
 def test_job():
     j = parse_job({"job": {"models": ["popular", "latest"], "model_weights": {"popular": 1}}})
-    assert j.models == ("popular", "latest") and j.model_weights == {"popular": 1.0}
-    for bad in ({"models": ["odd"]}, {"top_k": 0}, {"rrf_k": -1}, {"model_weights": {"odd": 1}}, {"top_k": True}, {"top_k": 2.5}):
+    assert j.models == ("popular", "latest") and j.model_weights == {"popular": 1.0} and not j.automl
+    a = parse_job({"job": {"automl": {"enabled": True, "n_splits": 3, "test_days": 5, "primary_metric": "NDCG", "candidates": [{"models": ["latest"]}]}}})
+    assert (a.automl, a.folds, a.fold_days, a.primary_metric, a.candidates) == (True, 3, 5, "NDCG", ({"models": ["latest"]},))
+    for bad in ({"models": ["odd"]}, {"top_k": 0}, {"rrf_k": -1}, {"model_weights": {"odd": 1}}, {"top_k": True}, {"top_k": 2.5}, {"automl": {"candidates": []}}, {"automl": {"n_splits": 0}}):
         with pytest.raises(ConfigError):
             parse_job({"job": bad})
 

@@ -40,9 +40,9 @@ def group(rows):
 
 
 def test_weights_by_hand(spark):
-    got = weights(spark, [ev("u1", "i1", "purchase", 3), ev("u1", "i2", "view"), ev("u2", "i1", "review_positive"), ev("u2", "i3", "saved"), ev("u3", "i2", "cart_add")])
-    want = {("u1", "i1"): 4 * math.log(4), ("u1", "i2"): 0.3, ("u2", "i1"): 5.0, ("u2", "i3"): 2.0, ("u3", "i2"): 1.0}
-    assert got == pytest.approx(want)
+    rows = [ev("ada", "stout", "cart_add", 9), ev("ada", "stout", "saved"), ev("bo", "perry", "purchase", 12), ev("bo", "stout", "review_negative"), ev("bo", "stout", "review_positive"), ev("cy", "mead", "view")]
+    want = {("ada", "stout"): 3.0, ("bo", "perry"): 4 * math.log(13), ("bo", "stout"): 2.0, ("cy", "mead"): 0.3}
+    assert weights(spark, rows) == pytest.approx(want)
 
 
 def test_caps_decay_and_dropping(spark):
@@ -104,14 +104,16 @@ def test_blend_weights(spark):
 
 
 def test_cold_blend_and_latest(spark):
-    items = spark.createDataFrame([("old", "2020-01-01"), ("new", "2024-01-01"), ("odd", "soon"), (None, "2025-01-01")], "item_id string, d string")
-    by_date = R.latest_by_date(items, as_time(items, "d"), 5)
-    assert [(r.item_id, r.score) for r in sorted(by_date.collect(), key=lambda r: r["rank"])] == [("new", 2.0), ("old", 1.0)]
-    assert R.usable_date_column(items, ["absent", "d"]) == "d" and R.usable_date_column(items, ["absent"]) is None
-    pop = spark.createDataFrame([("pop1", 1, 2.0), ("pop2", 2, 1.0)], "item_id string, rank int, score double")
-    late = spark.createDataFrame([("lat1", 1, 1.0)], "item_id string, rank int, score double")
-    got = R.with_cold_start(frame(spark, [("__cold_start__", "x", 1, 1.0, "y"), ("u", "x", 1, 1.0, "y")]), pop, late, Blending(popular_share=0.5), 5)
-    assert ranked(got) == {"__cold_start__": ["lat1", "pop1", "pop2"], "u": ["x"]}
+    items = spark.createDataFrame([("cask", "2019-06-30"), ("keg", "2022-11-05"), ("can", "2022-11-05"), ("jug", "?"), (None, "2025-05-05")], "item_id string, shown string")
+    by_date = R.latest_by_date(items, as_time(items, "shown"), 9)
+    assert [(r.item_id, r.score) for r in sorted(by_date.collect(), key=lambda r: r["rank"])] == [("can", 3.0), ("keg", 2.0), ("cask", 1.0)]
+    assert R.usable_date_column(items, ["gone", "shown"]) == "shown" and R.usable_date_column(items, ["gone"]) is None
+    short = lambda *ids: spark.createDataFrame([(x, i, 10.0 - i) for i, x in enumerate(ids, 1)], "item_id string, rank int, score double")
+    before = frame(spark, [("__cold_start__", "stale", 1, 1.0, "popular_fallback"), ("bo", "stale", 1, 1.0, "sequential")])
+    got = R.with_cold_start(before, short("ipa", "gose", "bock"), short("gose", "kolsch"), Blending(popular_share=0.8), 3)
+    # gose is second and first: 0.8 / 62 + 0.2 / 61; ipa 0.8 / 61; bock 0.8 / 63; kolsch 0.2 / 62
+    assert ranked(got) == {"__cold_start__": ["gose", "ipa", "bock"], "bo": ["stale"]}
+    assert {r.source for r in got.where("item_id = 'gose'").collect()} == {"blended"}
 
 
 def test_best_rank(spark):
@@ -120,12 +122,15 @@ def test_best_rank(spark):
 
 
 def test_boosts(spark):
-    items = spark.createDataFrame([("i1", True, "premium", 10.0), ("i2", False, "free", 5.0), ("i3", True, "standard", 20.0), ("i4", None, None, 1.0)], "item_id string, p boolean, t string, m double")
-    rules = [BoostRule("a", "p", "boolean", factor=2.0), BoostRule("b", "t", "value_map", value_factors={"premium": 1.5, "standard": 1.1}), BoostRule("c", "m", "numeric", weight=1.0), BoostRule("d", "absent", "boolean", factor=9.0)]
+    items = spark.createDataFrame([("keg", False, "cask", -4.0), ("can", True, "tin", 12.0), ("jug", None, "odd", 0.0), ("vat", True, None, None)], "item_id string, fresh boolean, vessel string, profit double")
+    rules = [
+        BoostRule("fresh", "fresh", "boolean", factor=1.6), BoostRule("vessel", "vessel", "value_map", value_factors={"cask": 3.0, "tin": 0.5}),
+        BoostRule("profit", "profit", "numeric", weight=0.8), BoostRule("gone", "gone", "boolean", factor=7.0),
+    ]
     got = {r.item_id: r.factor for r in R.boost_factors(items, rules).collect()}
-    assert got == pytest.approx({"i1": 3 * (1 + 9 / 19), "i2": 1 + 4 / 19, "i3": 4.4, "i4": 1.0})
-    rows = frame(spark, [("u", "i2", 1, 10.0, "s"), ("u", "i1", 2, 9.0, "s"), ("u", "zz", 3, 1.0, "s")])
-    assert ranked(R.apply_factors(rows, R.boost_factors(items, rules[:1]), 2)) == {"u": ["i1", "i2"]}
+    assert got == pytest.approx({"keg": 3.0, "can": 1.6 * 0.5 * 1.8, "jug": 1 + 0.8 * 4 / 16, "vat": 1.6})
+    rows = frame(spark, [("bo", "jug", 1, 8.0, "s"), ("bo", "keg", 2, 3.0, "s"), ("bo", "elsewhere", 3, 2.0, "s")])
+    assert ranked(R.apply_factors(rows, R.boost_factors(items, rules[1:2]), 2)) == {"bo": ["keg", "jug"]}
 
 
 def inter(spark, rows):
@@ -153,7 +158,7 @@ def knn_brute(rows, k):
     return {i: [j for j in sorted((j for j in items if set(v[i]) & set(v[j])), key=lambda j: (-round(sim(i, j), 9), j))[:k]] for i in items}
 
 
-@pytest.mark.parametrize("piece", [500, 2])
+@pytest.mark.parametrize("piece", [2048, 2])
 def test_neighbours_against_brute_force(spark, monkeypatch, piece):
     import random
 
@@ -170,14 +175,40 @@ def test_neighbours_against_brute_force(spark, monkeypatch, piece):
     assert all((r.user_id, r.item_id) not in seen and r.score > 0 and r["rank"] <= 3 for r in recs)
 
 
-def test_content(spark):
-    items = spark.createDataFrame([("i1", "beer", "p1"), ("i2", "beer", "p2"), ("i3", "wine", "p1"), ("new", "beer", "p9"), ("bare", None, None), ("twin", "beer", "p9")], "item_id string, category string, producer_id string")
-    x = inter(spark, [("u1", "i1", 1.0, 1), ("u1", "i2", 1.0, 2), ("u2", "i3", 1.0, 1)])
-    feats = [FeatureColumn("category"), FeatureColumn("producer_id"), FeatureColumn("absent")]
-    got = S.content_fallback(x, items, feats, 5)
-    assert ranked(got) == {"u1": ["new", "twin"]} and {r.score for r in got.collect()} == {0.5}
-    assert ranked(S.content_fallback(x, items, feats, 1)) == {"u1": ["new"]}
-    assert S.content_fallback(x.limit(0), items, feats, 5).collect() == []
+def cosines(rows, sets, k):
+    """Of untouched items by the greatest cosine with one of the user's items, by brute force."""
+    touched = {i for _, i, *_ in rows}
+    out = {}
+    for u in {r[0] for r in rows}:
+        best = {}
+        for _, i, *_ in (r for r in rows if r[0] == u):
+            for c, t in sets.items():
+                if c not in touched and t & sets.get(i, set()):
+                    best[c] = max(best.get(c, 0), round(len(t & sets[i]) / math.sqrt(len(t) * len(sets[i])), 9))
+        if best:
+            out[u] = sorted(best, key=lambda c: (-best[c], c))[:k]
+    return out
+
+
+@pytest.mark.parametrize("listed", [8, 2])
+def test_content_against_brute_force(spark, monkeypatch, listed):
+    """Tokens of four columns, one of which nearly all items share; with listed 2 most sets are compared token by token."""
+    import random
+
+    monkeypatch.setattr(S, "LISTED_TOKENS", listed)
+    rng = random.Random(7)
+    pick = lambda *xs: rng.choice([*xs, None])
+    table = [(f"x{i:02d}", "drink" if i % 9 else None, pick("oak", "tin"), pick("n", "s", "w"), [f"h{rng.randrange(4)}" for _ in range(rng.randrange(3))]) for i in range(70)]
+    items = spark.createDataFrame(table, "item_id string, kind string, vessel string, side string, hops array<string>")
+    feats = [FeatureColumn("kind"), FeatureColumn("vessel"), FeatureColumn("side"), FeatureColumn("hops", "list"), FeatureColumn("gone")]
+    rows = [(f"u{rng.randrange(6)}", f"x{rng.randrange(35):02d}", 1.0, n) for n in range(40)]
+    rows = [(u, i, 1.0, n) for n, (u, i) in enumerate(sorted({r[:2] for r in rows}))] + [("lone", "not there", 1.0, 1)]
+    sets = {r[0]: {f"{c}={v}" for c, v in zip(("kind", "vessel", "side"), r[1:4]) if v} | {f"hops={h}" for h in r[4]} for r in table}
+    for k in (1, 6):
+        assert ranked(S.content_fallback(inter(spark, rows), items, feats, k)) == cosines(rows, sets, k)
+    few = spark.createDataFrame([("u1",)], "user_id string")
+    assert set(ranked(S.content_fallback(inter(spark, rows), items, feats, 2, users=few))) <= {"u1"}
+    assert S.content_fallback(inter(spark, rows).limit(0), items, feats, 5).collect() == []
 
 
 def test_sequential(spark):

@@ -1,11 +1,13 @@
 import threading
 import time
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from cellarflow.config import SHOP, Blending, BoostRule, JobSettings
-from cellarflow.plans.pipeline import run_job
+from cellarflow.config import SHOP, Blending, BoostRule, ConfigError, JobSettings
+from cellarflow.operators import strategies as S
+from cellarflow.plans.pipeline import build_dataset, fit, load_artifact, recommend, run_job
 from cellarflow.sources import tables as T
 from cellarflow.sources.locks import FileLease, RunGuard
 from cellarflow.sources.tables import Store
@@ -34,13 +36,41 @@ def test_job_end_to_end(spark, store):
         mine = sorted((r for r in recs if r.user_id == u), key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and len({r.item_id for r in mine}) == len(mine) <= 3
     assert store.manifests(1)[0]["status"] == "ok" and store.read_snapshot().count() == 7
-    meta, tables = store.read_artifact()
-    assert meta["models"][0] == "item_based" and tables["interaction_counts"].count() == 6
+    again = recommend(*load_artifact(store)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, recs))
+    assert {"neighbours", "transitions", "interactions", "items"} <= set(store.read_artifact()[1])
 
 
-def test_job_with_blend_fusion_and_boosts(spark, store):
-    from dataclasses import replace
+def test_job_chooses_by_backtesting(spark, store):
+    job = JobSettings(top_k=2, automl=True, folds=1, fold_days=2, candidates=({"models": ["popular"]}, {"models": ["item_based", "popular"], "weights": {"item_based": 1, "popular": 0.5}}))
+    m = run_job(spark, store, SHOP, job, as_of=NOW)
+    auto = store.manifests(1)[0]["automl"]
+    assert set(auto["results"]) == {"popular", "fusion(item_based=1,popular=0.5)"} and auto["selected"] in auto["results"]
+    assert m["models"] == (["popular"] if auto["selected"] == "popular" else ["item_based", "popular"])
+    with pytest.raises(ConfigError):
+        run_job(spark, store, SHOP, replace(job, candidates=()), as_of=NOW)
+    with pytest.raises(ConfigError):
+        run_job(spark, store, SHOP, replace(job, candidates=({"models": ["sequential"]},), sequential_least=99.0), as_of=NOW)
+
+
+def test_factors_of_the_artifact_recommend_the_same(spark, store):
+    m = run_job(spark, store, SHOP, JobSettings(top_k=2, models=("collaborative",), epochs=(1, 3)), as_of=NOW)
+    assert [e for e, _ in m["epochs"]["values"]] == [1, 3] and all(0 < v["Recall@2"] <= 1 for _, v in m["epochs"]["values"])
+    assert set(m["epochs"]["warnings"]) == {"Precision@2", "Recall@2"}
+    got = lambda rows: {(r.user_id, r.item_id, round(r.score, 5)) for r in rows.collect()}
+    assert got(recommend(*load_artifact(store))) == got(store.read_recommendations()) != set()
+
 
+def test_strategies_without_a_user_to_score_do_nothing(spark, store, monkeypatch):
+    events, users, items = store.read_input()
+    data = build_dataset(events.where("event_type = 'odd'"), users.drop("favorite_styles", "region_slug"), items, SHOP, int(NOW.timestamp() * 1e6), 90.0)
+    for name in ("item_neighbours", "item_based", "transitions", "sequential", "fit_collaborative", "collaborative", "content_fallback"):
+        monkeypatch.setattr(S, name, lambda *a, **k: 1 / 0)
+    job = JobSettings(top_k=2, models=("collaborative", "item_based", "sequential", "popular"), content_fallback=True)
+    assert recommend(fit(data, job.models, job), SHOP, job).collect() == []
+
+
+def test_job_with_blend_fusion_and_boosts(spark, store):
     blend = replace(SHOP, blending=Blending(enabled=True), boosts=(BoostRule("p", "paying", "boolean", factor=2.0), BoostRule("m", "margin", "numeric", weight=1.0)))
     run_job(spark, store, blend, JobSettings(top_k=3, models=("item_based", "popular")), as_of=NOW)
     assert store.read_recommendations().where("user_id = '__cold_start__'").count() == 3
