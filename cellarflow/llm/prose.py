@@ -7,6 +7,8 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+#: Verdicts that a worker remembers, and the longest unit of which it does: some 20 MB at most.
+REMEMBERED, REMEMBERED_LENGTH = 50_000, 300
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -121,6 +123,7 @@ class ProseModel:
     other: frozenset[str] = frozenset()
     langs: frozenset[str] = frozenset()
     nonsense: frozenset[str] = frozenset()
+    _met: dict[tuple[str, bool, bool], str] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def fit(cls, samples: Iterable[tuple[str | None, str | None, str | None]], common: Iterable[tuple[str | None, str | None]]) -> ProseModel:
@@ -163,6 +166,18 @@ class ProseModel:
         grams = _pairs(words)
         return (sum(map(self.pairs.__contains__, grams)) + 0.5 * sum(map(self.other.__contains__, grams))) / len(grams)
 
+    def verdict(self, line: str, marked_run: bool = False, short_run: bool = False) -> str:
+        """unit, remembered for lines and sentences of usual length: menus, notices and stock phrases come again and again."""
+        if len(line) > REMEMBERED_LENGTH:
+            return self.unit(line, marked_run, short_run)
+        key = (line, marked_run, short_run)
+        found = self._met.get(key)
+        if found is None:
+            if len(self._met) >= REMEMBERED:
+                self._met.clear()
+            found = self._met[key] = self.unit(line, marked_run, short_run)
+        return found
+
     # a unit's verdict: prose, list, table or junk
     def unit(self, line: str, marked_run: bool = False, short_run: bool = False) -> str:
         mark = _MARK.match(line)
@@ -307,9 +322,9 @@ class ProseModel:
             if len(tagged) > 160:
                 for part in sentences_of(tagged):
                     if part.strip():
-                        chars[self.unit(part.strip(), False)] += len(part)
+                        chars[self.verdict(part.strip())] += len(part)
             else:
-                chars[self.unit(tagged, marked or plain_run, short_run)] += len(line)
+                chars[self.verdict(tagged, marked or plain_run, short_run)] += len(line)
         total = sum(chars.values())
         return {k: v / total for k, v in chars.items()}
 
