@@ -84,6 +84,11 @@ def with_category(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.join(snapshot.select("item_id", "category"), "item_id", "left")
 
 
+def cell(column: str) -> Column:
+    """A number as a table shows it: four decimals, empty for null."""
+    return F.when(F.col(column).isNull(), F.lit("")).otherwise(F.format_string("%.4f", F.round(column, 4)))
+
+
 def request_size(limit: int | None, k: int | None, default: int, most: int = 100) -> int:
     """The number of rows asked for; two different numbers, or one outside 1..most, raise."""
     if limit is not None and k is not None and limit != k:

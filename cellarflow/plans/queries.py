@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timedelta
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -520,6 +521,13 @@ def rows_with_category(spark, d):
     return L.with_category(shown, snapshot(spark, d))
 
 
+@query(f"WITH {_STORED}, {_PLACES}, {_SNAPSHOT} SELECT user_id, place, p.item_id, coalesce(printf('%.4f', round(score, 4) + 0.0), '') AS score, coalesce(category, '') AS category FROM places p LEFT JOIN snap USING (item_id) WHERE place <= 3")
+def shown_cells(spark, d):
+    """What a table of a user's rows shows: scores with four decimals, blanks for what is missing."""
+    shown = L.with_category(L.lookup(stored(spark, d), stored(spark, d).select("user_id"), 3), snapshot(spark, d))
+    return shown.select("user_id", "place", "item_id", L.cell("score").alias("score"), F.coalesce("category", F.lit("")).alias("category"))
+
+
 # ---- stores and streams --------------------------------------------------------------------------------------------
 
 _DELIVERED = f"""good AS (
@@ -627,6 +635,16 @@ def events_rejected(spark, d):
     return N.normalise(read(spark, d, "shop_events"))[1].groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT channel AS mode, count(*) AS n_rows, max(epoch_us(ingested_at)) AS at_us FROM shop_events WHERE channel IS NOT NULL AND ingested_at IS NOT NULL GROUP BY 1 ORDER BY at_us DESC LIMIT 2")
+def newest_manifests(spark, d):
+    """Manifests of one run per channel, dated by its newest row, written in the order of names and read back newest first."""
+    store = T.Store(spark, fresh_path(spark, "manifests"))
+    runs = read(spark, d, "shop_events").where("channel is not null and ingested_at is not null").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("ingested_at")).alias("at"))
+    for r in runs.orderBy("channel").collect():  # one row per channel
+        store.write_manifest({"generated_at": (datetime(1970, 1, 1) + timedelta(microseconds=r["at"])).isoformat(), "mode": r["channel"], "n_rows": r["n"], "at_us": r["at"]})
+    return spark.createDataFrame([(m["mode"], m["n_rows"], m["at_us"]) for m in store.manifests(2)], "mode string, n_rows bigint, at_us bigint")
+
+
 # ---- whole runs ----------------------------------------------------------------------------------------------------
 
 CLOSED_FORM = ("item_based", "sequential", "content_fallback", "latest", "popular")

@@ -273,6 +273,13 @@ class Store:
         named = sorted((x for x in names if x.endswith(".json") and mode in (None, x.split("-")[1])), reverse=True)
         return [json.loads(read_text(self.spark, f"{self.root}/manifests/{x}")) for x in named[:n]]
 
+    def failed(self, batch: int, error: str) -> int:
+        """Puts a failure of a micro-batch on record; returns how many there are of it, in this run and before."""
+        folder = f"{self.root}/failures/{batch}"
+        while not put_new(self.spark, f"{folder}/{(n := newest_number(self.spark, folder) + 1)}.json", json.dumps({"error": error[:500]})):
+            pass
+        return n
+
     def newest_incremental(self) -> dict | None:
         return next(iter(self.manifests(1, "incremental")), None)
 

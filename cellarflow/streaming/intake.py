@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,21 +142,40 @@ class MicroBatches:
 
     The number of the last batch is part of the table's version, so that it counts as applied exactly when its rows do. A batch
     reads and writes the buckets of its users only.
-    busy and fenced are asked before the work and before the write: a busy store raises, so that the batch comes again.
+    busy and fenced are asked before the work and before the write: a busy store raises, so that the batch comes again. A batch
+    that failed give_up times, in whatever run, is passed over: its number is put on record with the error, and the stream
+    goes on behind it. None never gives up.
     """
 
-    def __init__(self, store, config: FeatureConfig | None, k: int = 10, *, busy: Callable[[], bool] = lambda: False, fenced: Callable[[], bool] = lambda: False) -> None:
-        self.store, self.config, self.k, self.busy, self.fenced = store, config, k, busy, fenced
+    def __init__(
+        self, store, config: FeatureConfig | None, k: int = 10, *, busy: Callable[[], bool] = lambda: False, fenced: Callable[[], bool] = lambda: False,
+        give_up: int | None = None, metrics=None,
+    ) -> None:
+        self.store, self.config, self.k, self.busy, self.fenced, self.give_up, self.metrics = store, config, k, busy, fenced, give_up, metrics
         self.outcomes: list[dict] = []
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        from datetime import UTC, datetime
-
         done = self.store.last_batch()
         if done is not None and done >= batch_id:
             return
         if self.busy():
             raise RuntimeError("the store is being rebuilt")
+        try:
+            self._report(self._apply(batch, batch_id))
+        except Exception as e:
+            if self.give_up is None or self.fenced() or self.store.failed(batch_id, str(e)) < self.give_up:
+                raise
+            self._report({"generated_at": datetime.now(UTC).isoformat(), "mode": "incremental", "batch_id": batch_id, "status": "skipped", "error": f"{type(e).__name__}: {e}"[:500], "n_events": 0, "n_rejected": 0})
+
+    def _report(self, report: dict) -> None:
+        self.store.write_manifest(report)
+        self.outcomes.append(report)
+        if self.metrics is not None:
+            self.metrics.count(f"batches_{report['status']}")
+            self.metrics.count("events_applied", report["n_events"])
+            self.metrics.count("events_rejected", report["n_rejected"])
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> dict:
         events, rejected = normalise(batch)
         events = dedupe_batch(events).persist()
         try:
@@ -167,8 +187,7 @@ class MicroBatches:
                 if self.fenced():
                     raise RuntimeError("another writer took over")
                 report["n_users"] = self.store.replace_for_users(rows.select("user_id"), rows, batch=batch_id)
-            self.store.write_manifest(report)
-            self.outcomes.append(report)
+            return report
         finally:
             events.unpersist()
 
@@ -185,6 +204,14 @@ def start(source: DataFrame, apply: MicroBatches, checkpoint: str, *, seconds: i
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def drain(query: StreamingQuery) -> None:
+    """Works off what has arrived and stops; an error of the stream comes out, and it is stopped all the same."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def health(query: StreamingQuery) -> dict:
     """Whether the stream runs, what it waits for, and how far it is behind."""
     last = query.lastProgress

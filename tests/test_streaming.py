@@ -1,13 +1,16 @@
 import json
+import time
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellarflow.config import SHOP
 from cellarflow.sources import streams
 from cellarflow.sources.locks import FileLease
 from cellarflow.sources.tables import Store
 from cellarflow.streaming import intake as N
+from cellarflow.streaming.metrics import Metrics
 
 ROWS = "user_id string, item_id string, rank int, score double, source string"
 EVENTS = "event_id string, user_id string, item_id string, event_type string, quantity int, t bigint"
@@ -140,6 +143,53 @@ def test_cursor_source(spark, tmp_path):
     assert sorted(out) == [f"e{i:02d}" for i in range(10)] and max(sizes) <= 4
 
 
+def test_a_page_waits_for_its_window(spark, tmp_path):
+    t = lambda i: datetime(2026, 3, 1, 10, i, tzinfo=UTC)
+    schema = "event_id string, user_id string, item_id string, event_type string, quantity int, occurred_at timestamp"
+    spark.createDataFrame([(f"e{i}", "u", "i", "view", 1, t(i)) for i in range(5)], schema).repartition(3).write.parquet(f"{tmp_path}/ev")
+    reader, now = streams._CursorReader({"path": f"{tmp_path}/ev", "page": 2, "window": 60}, spark.createDataFrame([], schema).schema), [0.0]
+    reader.clock = lambda: now[0]
+    ends = [json.loads(reader.latestOffset()["at"])[1] for _ in range(4)]
+    assert ends == ["e1", "e3", "e3", "e3"]  # two full pages at once, then the rest waits
+    now[0] = 61
+    assert json.loads(reader.latestOffset()["at"])[1] == "e4"
+    rows = [r[0] for p in reader.partitions(reader.initialOffset(), {"at": json.dumps(reader.now)}) for r in reader.read(p)]
+    assert sorted(rows) == [f"e{i}" for i in range(5)]
+
+
+def test_a_batch_that_keeps_failing_is_passed_over(spark, tmp_path):
+    store, metrics = Store(spark, f"{tmp_path}/store"), Metrics()
+    batch = raw(spark, [("e", None, "u", "i", "view", "1", "2026-03-01T11:00:00Z")])
+    broken = batch.withColumn("quantity", F.raise_error(F.lit("unreadable")))
+    apply = N.MicroBatches(store, SHOP, give_up=3, metrics=metrics)
+    for _ in range(2):
+        with pytest.raises(Exception, match="unreadable"):
+            N.MicroBatches(store, SHOP, give_up=3)(broken, 0)  # failures count across runs
+    apply(broken, 0)
+    assert store.newest_incremental()["status"] == "skipped" and "unreadable" in store.newest_incremental()["error"]
+    apply(batch, 1)
+    assert store.last_batch() == 1 and metrics.counters["batches_ok"] == metrics.counters["batches_skipped"] == 1
+
+
+def test_drain_and_metrics(spark, tmp_path):
+    metrics, seen = Metrics(), []
+    spark.streams.addListener(metrics)
+    try:
+        drop(tmp_path / "in", "1.json", [event(1), event(2)])
+        q = streams.open_source(spark, "files", path=f"{tmp_path}/in").writeStream.foreachBatch(lambda df, n: seen.append(df.count())).option("checkpointLocation", f"{tmp_path}/c").start()
+        N.drain(q)
+        assert sum(seen) == 2 and not q.isActive
+        for _ in range(50):
+            if metrics.counters["streams_ended"]:
+                break
+            time.sleep(0.2)
+        assert metrics.counters["stream_rows"] == 2 and metrics.counters["streams_ended"] == 1
+        text = metrics.text()
+        assert "cellarflow_stream_rows 2\n" in text and 'cellarflow_stream_batch_seconds_bucket{le="+Inf"}' in text
+    finally:
+        spark.streams.removeListener(metrics)
+
+
 def test_registry(spark):
     with pytest.raises(ValueError):
         streams.open_source(spark, "odd")
