@@ -76,22 +76,25 @@ def _sums(flush: int = FLUSH_PAIRS) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def pair_sums(entries: DataFrame, piece: int) -> DataFrame:
+def pair_sums(entries: DataFrame, piece: int, largest: int) -> DataFrame:
     """(a, b, s) with a < b: over all groups, the sum of the products of the values of two different items of a group.
 
-    entries has group, item (whole numbers from 0), v and n_group, how many items the group has; an item at most once a group. Pairs
-    are made once, not twice. A group of more than piece items is cut into pieces by a hash of the item before it is
-    gathered, and each piece meets each later one in a row of its own, so no row holds more than two pieces and one group is
-    spread over many tasks. Each task sums its pairs before they are shuffled. Empty entries give an empty result.
+    entries has group, item (whole numbers from 0), v and n_group, how many items the group has, at most largest; an item at most
+    once a group. Pairs are made once, not twice. A group of more than piece items is cut into pieces by a hash of the item
+    before it is gathered, and each piece meets each later one in a row of its own, so no row holds more than two pieces and one
+    group is spread over many tasks. Each task sums its pairs before they are shuffled. Empty entries give an empty result.
     """
-    pieces = F.ceil(F.col("n_group") / F.lit(piece)).cast("int")
-    placed = entries.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int"))
-    packed = materialize(placed.groupBy("group", "pieces", "piece").agg(F.collect_list(F.struct("item", "v")).alias("x")), "packed")  # about piece at most
     none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    packed = entries.withColumn("pieces", F.ceil(F.col("n_group") / F.lit(piece)).cast("int")) if largest > piece else entries.withColumn("pieces", F.lit(1))
+    piece_no = F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int")
+    packed = packed.groupBy("group", "pieces", piece_no.alias("piece")).agg(F.collect_list(F.struct("item", "v")).alias("x"))  # about piece at most
+    if largest > piece:
+        packed = materialize(packed, "packed")
     rows = packed.where(F.size("x") > 1).select(F.col("x.item").alias("items"), F.col("x.v").alias("values"), none("int").alias("others"), none("double").alias("other_values"))
-    large = packed.where("pieces > 1")
-    left = large.where("piece < pieces - 1").select("group", F.col("piece").alias("p"), F.explode(F.expr("sequence(piece + 1, pieces - 1)")).alias("q"), "x")
-    right = large.where("piece > 0").select("group", F.col("piece").alias("q"), F.explode(F.expr("sequence(0, piece - 1)")).alias("p"), F.col("x").alias("y"))
-    met = left.join(right, ["group", "p", "q"])
-    rows = rows.unionByName(met.select(F.col("x.item").alias("items"), F.col("x.v").alias("values"), F.col("y.item").alias("others"), F.col("y.v").alias("other_values")))
+    if largest > piece:
+        large = packed.where("pieces > 1")
+        left = large.where("piece < pieces - 1").select("group", F.col("piece").alias("p"), F.explode(F.expr("sequence(piece + 1, pieces - 1)")).alias("q"), "x")
+        right = large.where("piece > 0").select("group", F.col("piece").alias("q"), F.explode(F.expr("sequence(0, piece - 1)")).alias("p"), F.col("x").alias("y"))
+        met = left.join(right, ["group", "p", "q"])
+        rows = rows.unionByName(met.select(F.col("x.item").alias("items"), F.col("x.v").alias("values"), F.col("y.item").alias("others"), F.col("y.v").alias("other_values")))
     return rows.mapInArrow(_sums(), "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))

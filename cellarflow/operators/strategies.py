@@ -45,7 +45,7 @@ def to_users(users: DataFrame, ranking: DataFrame) -> DataFrame:
 
 
 def item_vectors(interactions: DataFrame) -> DataFrame:
-    """(user_id, item_id, v): sqrt(weight) * (ln items - ln(1 + items of the user)), scaled to length 1 per item."""
+    """(user_id, item_id, n_user, v): sqrt(weight) * (ln items - ln(1 + items of the user)), scaled to length 1 per item."""
     n_items = interactions.agg(F.count_distinct("item_id").cast("double"))
     per_user = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_user"))
     raw = interactions.join(per_user, "user_id").select(
@@ -64,7 +64,8 @@ def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
     vectors = materialize(item_vectors(interactions), "vectors")
     codes = materialize(_dense_ids(vectors.select("item_id").distinct(), "item_id", in_order=True), "item_codes")
     entries = vectors.join(codes, "item_id").select(F.col("user_id").alias("group"), F.col("item_id_no").alias("item"), "v", F.col("n_user").alias("n_group"))
-    sums = pair_sums(entries, PIECE)
+    largest = vectors.agg(F.coalesce(F.max("n_user"), F.lit(0))).first()[0]
+    sums = pair_sums(entries, PIECE, largest)
     pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "s")
     both = sums.select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).unionByName(codes.select(F.col("item_id_no").alias("a"), F.col("item_id_no").alias("b"), F.lit(1.0).alias("s")))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("s", _EXACT - 3)), "b"))
