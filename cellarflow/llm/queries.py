@@ -161,7 +161,7 @@ _BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
 _BREAKS = "[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]+"
 _PAT = {k: "'" + v.replace("'", "''") + "'" for k, v in {
     "not_letter": "[^\\p{L}\\p{Nl}\\p{No}]+", "not_alpha": "[^\\p{L}]+", "not_digit": "[^\\p{Nd}]+", "lines": _BREAKS, "ended": f"[{ENDS}][{CLOSING}]*$",
-    "stop": f"[.!?…][{CLOSING}]*(?:[{_BLANK}]|$)|[。！？]", "separator": f"[{SEPARATORS}]", "sentences": f"[{ENDS}\\n\\r]+",
+    "stop": f"[^0-9{_BLANK}][.!?…][{CLOSING}]*(?:[{_BLANK}]|$)|[。！？]", "separator": f"[{SEPARATORS}]", "sentences": f"[{ENDS}\\n\\r]+",
     "not_unspaced": f"[^{UNSPACED_LETTERS}]+", "not_hiragana": f"[^{HIRAGANA}]+",
 }.items()}
 _SIZE = lambda pattern: f"length(regexp_replace(text, {pattern}, '', 'g'))"
