@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
 from cellarflow.functions.values import as_list
+from cellarflow.operators.next_items import best_next
 from cellarflow.operators.pair_sums import pair_sums
 from cellarflow.operators.ranking import days, for_each_user, top_k, union
 from cellarflow.runtime import materialize
@@ -169,27 +170,33 @@ def sequential(
     """Next items by first-order transitions from the user's last items: sum of fade^(position - 1) * n / n_from, unseen only.
 
     An item leads to all of its next items, or only to its fan_out most frequent ones (ties by id) where that is given, which
-    loses scores; n_from counts all of its transitions. The rows to score are the users' last items times their next items.
-    Users with the same last items in the same order score alike, so each such list of ends is scored once. users are those to
-    score; moves is what transitions gave, where it was kept.
+    loses scores; n_from counts all of its transitions. Lists of next items are read by weight and only so far as an item of
+    theirs may be among the best, see next_items; where even the long lists are too large to be sent to every task, the users'
+    last items are joined with all of their next items. users are those to score; moves is what transitions gave, where it was kept.
 
     A counting baseline, not a neural model: an architecture of that kind needs a library that is not here.
     """
-    moves = transitions(interactions) if moves is None else moves
+    moves = materialize(transitions(interactions), "moves") if moves is None else moves
     total = moves.groupBy("from_id").agg(F.sum("n").alias("n_from"))
     often = moves if fan_out is None else top_k(moves, fan_out, by=("from_id",), order=(F.desc("n"), F.asc("to_id")))
     odds = often.join(total, "from_id").select("from_id", "to_id", (F.col("n") / F.col("n_from")).alias("p"))
-    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    newest = top_k(own, last, order=(F.desc("last_us"), F.desc("item_id")))
-    in_order = F.array_sort(F.collect_list(F.struct("rank", "item_id")))  # at most last items
-    ends = materialize(newest.groupBy("user_id").agg(F.transform(in_order, lambda x: x["item_id"]).alias("ends")), "ends")
-    parts = ends.select("ends").distinct().select("ends", F.posexplode("ends").alias("at", "from_id"))
-    scored = parts.join(odds, "from_id").groupBy("ends", F.col("to_id").alias("item_id")).agg(F.sum(F.pow(F.lit(fade), F.col("at")) * F.col("p")).alias("score"))
     if allowed is not None:
-        scored = scored.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
-    named = ends.join(scored, "ends").select("user_id", "item_id", "score")
-    fresh = named.join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
+        odds = odds.join(allowed.select(F.col("item_id").alias("to_id")).distinct(), "to_id", "left_semi")
+    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
+    names = union([own.select("item_id"), odds.select(F.col("from_id").alias("item_id")), odds.select(F.col("to_id").alias("item_id"))]).distinct()
+    codes = materialize(_dense_ids(names, "item_id", in_order=True), "item_codes")
+    coded = materialize(own.join(codes, "item_id").select("user_id", F.col("item_id_no").alias("item"), "last_us"), "own")
+    number = lambda c, n: codes.select(F.col("item_id").alias(c), F.col("item_id_no").alias(n))
+    odds = materialize(odds.join(number("from_id", "key"), "from_id").join(number("to_id", "item"), "to_id").select("key", "item", "p"), "odds")
+    sizes = odds.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    ends = top_k(coded, last, order=(F.desc("last_us"), F.desc("item"))).select("user_id", F.col("rank").alias("place"), "item")
+    best = best_next(coded, ends, odds, sizes, k, fade)
+    if best is None:
+        reach = ends.join(odds.withColumnRenamed("item", "to"), ends["item"] == odds["key"])
+        scored = reach.groupBy("user_id", F.col("to").alias("item")).agg(F.sum(F.pow(F.lit(fade), F.col("place") - 1) * F.col("p")).alias("score"))
+        fresh = scored.join(coded.select("user_id", "item"), ["user_id", "item"], "left_anti")
+        best = top_k(fresh, k, order=(F.desc(F.round("score", 9)), F.asc("item")))
+    return best.join(codes, best["item"] == codes["item_id_no"]).select("user_id", "item_id", "rank", "score")
 
 
 def fit_collaborative(
