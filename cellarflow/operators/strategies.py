@@ -123,31 +123,44 @@ def content_fallback(
     has at least its cosine there, and comes first in a tie.) So each touched set meets the short lists of its subsets, and
     a token that a third of all items carry costs no more than any other. Items of more than LISTED_TOKENS tokens have too many
     subsets; pairs with one of them are compared by their shared tokens.
+
+    Sets and tokens are numbers from there on, and their joins go by sorting: a written table of token sets is
+    small as a file and many times that as rows, so that its size says nothing of what a broadcast would hold.
     """
     take = min(k, max_rows)
-    tokens = materialize(item_tokens(items, features).withColumn("tokens", F.array_sort("tokens")), "tokens")
+    tokens = materialize(item_tokens(items, features), "tokens")
     touched = interactions.select("item_id").distinct()
     cold = tokens.join(touched, "item_id", "left_anti")
     if allowed is not None:
         cold = cold.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
     own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    recent = top_k(own, HISTORY, order=(F.desc("last_us"), F.asc("item_id"))).select("user_id", "item_id")
-    history = materialize(recent.join(tokens, "item_id").select("user_id", F.col("tokens").alias("set")).distinct(), "history")
-    warm = materialize(history.select("set").distinct(), "warm_sets")
+    recent = materialize(top_k(own, HISTORY, order=(F.desc("last_us"), F.asc("item_id"))).select("user_id", "item_id"), "recent")
+    of_items = recent.select("item_id").distinct().hint("merge").join(tokens.hint("merge"), "item_id").select("item_id", F.array_sort("tokens").alias("set"))
+    sets = materialize(_dense_ids(of_items.select("set").distinct(), "set"), "warm_sets")
+    numbers = of_items.hint("merge").join(sets.hint("merge"), "set").select("item_id", "set_no")
+    history = recent.hint("merge").join(numbers.hint("merge"), "item_id").select("user_id", "set_no").distinct()
     cosine = lambda n, a, b: F.round(n / F.sqrt((a * b).cast("double")), _EXACT)
 
-    short = lambda c: F.size(c) <= LISTED_TOKENS
-    listed = cold.where(short("tokens")).select("item_id", F.size("tokens").alias("n_cold"), F.explode(_subsets("tokens")).alias("part"))
+    codes = materialize(_dense_ids(cold.select(F.explode("tokens").alias("token")).distinct(), "token"), "token_codes")
+
+    def coded(f: DataFrame, name: str, column: str, n: str) -> DataFrame:
+        """Each row's number of tokens, and the numbers of those that an untouched item has."""
+        each = f.select(name, F.size(column).alias(n), F.explode(column).alias("token")).hint("merge").join(codes.hint("merge"), "token")
+        return materialize(each.groupBy(name, n).agg(F.array_sort(F.collect_list("token_no")).alias("codes")), "coded")
+
+    cold, warm = coded(cold, "item_id", "tokens", "n_cold"), coded(sets, "set_no", "set", "n_warm")
+    listed = cold.where(F.col("n_cold") <= LISTED_TOKENS).select("item_id", "n_cold", F.explode(_subsets("codes")).alias("part"))
     first = top_k(listed, take, by=("part",), order=(F.asc("n_cold"), F.asc("item_id"))).select("part", "item_id", "n_cold")
-    parts = warm.where(short("set")).select(F.col("set").alias("warm"), F.explode(_subsets("set")).alias("part"))
-    pairs = parts.join(first, "part").select("warm", "item_id", cosine(F.size("part"), F.size("warm"), F.col("n_cold")).alias("score"))
-    if not tokens.where(~short("tokens")).isEmpty():
-        sides = lambda f, name, *more: f.select(F.col(name), *more, F.explode(name).alias("token"))
-        met = sides(warm.select(F.col("set").alias("warm")), "warm").join(sides(cold, "tokens", "item_id"), "token").where(~short("warm") | ~short("tokens"))
-        shared = met.groupBy("warm", "item_id", F.size("tokens").alias("n_cold")).agg(F.count(F.lit(1)).alias("n"))
-        pairs = pairs.unionByName(shared.select("warm", "item_id", cosine(F.col("n"), F.size("warm"), F.col("n_cold")).alias("score")))
-    best = top_k(pairs.groupBy("warm", "item_id").agg(F.max("score").alias("score")), take, by=("warm",), order=(F.desc("score"), F.asc("item_id")))
-    reach = history.select("user_id", F.col("set").alias("warm")).join(best.select("warm", "item_id", "score"), "warm")
+    parts = warm.where(F.col("n_warm") <= LISTED_TOKENS).select("set_no", "n_warm", F.explode(_subsets("codes")).alias("part"))
+    pairs = parts.hint("merge").join(first.hint("merge"), "part").select("set_no", "item_id", cosine(F.size("part"), F.col("n_warm"), F.col("n_cold")).alias("score"))
+    if not cold.where(F.col("n_cold") > LISTED_TOKENS).isEmpty() or not warm.where(F.col("n_warm") > LISTED_TOKENS).isEmpty():
+        sides = lambda f, *names: f.select(*names, F.explode("codes").alias("token"))
+        met = sides(warm, "set_no", "n_warm").hint("merge").join(sides(cold, "item_id", "n_cold").hint("merge"), "token").where((F.col("n_warm") > LISTED_TOKENS) | (F.col("n_cold") > LISTED_TOKENS))
+        shared = met.groupBy("set_no", "n_warm", "item_id", "n_cold").agg(F.count(F.lit(1)).alias("n"))
+        pairs = pairs.unionByName(shared.select("set_no", "item_id", cosine(F.col("n"), F.col("n_warm"), F.col("n_cold")).alias("score")))
+    best = top_k(pairs.groupBy("set_no", "item_id").agg(F.max("score").alias("score")), take, by=("set_no",), order=(F.desc("score"), F.asc("item_id")))
+    lists = best.groupBy("set_no").agg(F.collect_list(F.struct("item_id", "score")).alias("best"))  # at most take items
+    reach = history.hint("merge").join(lists.hint("merge"), "set_no").select("user_id", "best").repartition("user_id").select("user_id", F.inline("best"))
     return top_k(reach.groupBy("user_id", "item_id").agg(F.max("score").alias("score")), take).select("user_id", "item_id", "rank", "score")
 
 

@@ -211,6 +211,16 @@ def test_content_against_brute_force(spark, monkeypatch, listed):
     assert S.content_fallback(inter(spark, rows).limit(0), items, feats, 5).collect() == []
 
 
+def test_content_fallback_broadcasts_no_listed_subsets(spark):
+    """Written sets of tokens are tiny files; the subsets made of them must not be broadcast for that."""
+    items = spark.createDataFrame([(f"i{i}", f"k{i % 7}", f"v{i % 5}") for i in range(60)], "item_id string, kind string, vessel string")
+    x = inter(spark, [(f"u{u}", f"i{(u * 3 + j) % 40}", 1.0, j) for u in range(20) for j in range(4)])
+    df = S.content_fallback(x, items, [FeatureColumn("kind"), FeatureColumn("vessel")], 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(df.collect()) == 60 and "SortMergeJoin" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("part#" in line or "set#" in line or "set_no#" in line)]
+
+
 def test_sequential(spark):
     x = inter(spark, [("u1", "a", 1.0, 1), ("u1", "b", 1.0, 2), ("u1", "c", 1.0, 3), ("u2", "a", 1.0, 1), ("u2", "b", 1.0, 2), ("u3", "b", 1.0, 1)])
     assert {(r.from_id, r.to_id): r.n for r in S.transitions(x).collect()} == {("a", "b"): 2, ("b", "c"): 1}
