@@ -15,7 +15,8 @@ from cellarflow.runtime import materialize
 FLUSH_PAIRS = 2_000_000
 
 
-def _summed(key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of each."""
     order = np.argsort(key)
     key, s = key[order], s[order]
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -55,7 +56,7 @@ def _sums(flush: int = FLUSH_PAIRS) -> Callable[[Iterator[pa.RecordBatch]], Iter
         size = 0
 
         def drain() -> pa.RecordBatch:
-            key, s = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            key, s = summed(*map(np.concatenate, zip(*held, strict=True)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(s)], names=["a", "b", "s"])
 
@@ -65,7 +66,7 @@ def _sums(flush: int = FLUSH_PAIRS) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     held.append((np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b), s))
                     size += len(a)
                 if size >= flush:
-                    held[:] = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    held[:] = [summed(*map(np.concatenate, zip(*held, strict=True)))]
                     size = len(held[0][0])
                     if size >= flush // 2:
                         yield drain()

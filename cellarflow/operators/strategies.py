@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
 from cellarflow.functions.values import as_list
+from cellarflow.operators.near_items import best_near
 from cellarflow.operators.next_items import best_next
 from cellarflow.operators.pair_sums import pair_sums
 from cellarflow.operators.ranking import days, for_each_user, top_k, union
@@ -62,6 +63,13 @@ def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
     Each pair of items of a user is made once and summed within its task, see pair_sums; an item's similarity to itself is 1
     and needs no sum. Items are numbered in the order of their ids, so that sums, ties and the cut work on whole numbers.
     """
+    codes, near = _near_numbers(interactions, neighbours)
+    name = lambda c, n: codes.select(F.col("item_id_no").alias(c), F.col("item_id").alias(n))
+    return near.join(name("a", "item_id"), "a").join(name("b", "other_id"), "b").select("item_id", "other_id", F.col("s").alias("similarity"), "place")
+
+
+def _near_numbers(interactions: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """Items with their numbers (item_id, item_id_no), and item_neighbours by number: (a, b, s, place)."""
     vectors = materialize(item_vectors(interactions), "vectors")
     codes = materialize(_dense_ids(vectors.select("item_id").distinct(), "item_id", in_order=True), "item_codes")
     entries = vectors.join(codes, "item_id").select(F.col("user_id").alias("group"), F.col("item_id_no").alias("item"), "v", F.col("n_user").alias("n_group"))
@@ -70,9 +78,7 @@ def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
     pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "s")
     both = sums.select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).unionByName(codes.select(F.col("item_id_no").alias("a"), F.col("item_id_no").alias("b"), F.lit(1.0).alias("s")))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("s", _EXACT - 3)), "b"))
-    near = both.withColumn("place", place).where(F.col("place") <= neighbours)
-    name = lambda c, n: codes.select(F.col("item_id_no").alias(c), F.col("item_id").alias(n))
-    return near.join(name("a", "item_id"), "a").join(name("b", "other_id"), "b").select("item_id", "other_id", F.col("s").alias("similarity"), "place")
+    return codes, both.withColumn("place", place).where(F.col("place") <= neighbours)
 
 
 def item_based(
@@ -80,17 +86,24 @@ def item_based(
 ) -> DataFrame:
     """Scores by the user's items: each touched item gives weight * similarity to its own neighbours; touched items go.
 
-    A touched item reaches at most its neighbours, so the rows grow with interactions * neighbours, however popular an item.
-    users are those to score; near is what item_neighbours gave, where it was kept.
+    A touched item reaches at most its neighbours, so the sums grow with interactions * neighbours, however popular an item.
+    They are made and cut within the tasks, see near_items; only the interactions are shuffled, and the lists of the less used items where not all
+    of them can be sent to every task. users are those to score; near is what item_neighbours gave, where it was kept.
     """
-    near = materialize(item_neighbours(interactions, neighbours), "neighbours") if near is None else near
-    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    reach = own.join(near.drop("place"), "item_id").select("user_id", F.col("other_id").alias("item_id"), "weight", "similarity")
-    scored = reach.groupBy("user_id", "item_id").agg(F.sum(F.col("weight") * F.col("similarity")).alias("score")).where("score > 0")
-    fresh = scored.join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    if near is None:
+        codes, numbered = _near_numbers(interactions, neighbours)
+        lists = numbered.select(F.col("a").alias("key"), F.col("b").alias("item"), "s")
+    else:
+        names = near.select("item_id").unionByName(near.select(F.col("other_id").alias("item_id"))).distinct()
+        codes = materialize(_dense_ids(names, "item_id", in_order=True), "item_codes")
+        number = lambda c, n: codes.select(F.col("item_id").alias(c), F.col("item_id_no").alias(n))
+        lists = near.join(number("item_id", "key"), "item_id").join(number("other_id", "item"), "other_id").select("key", "item", F.col("similarity").alias("s"))
     if allowed is not None:
-        fresh = fresh.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
-    return top_k(fresh, k).select("user_id", "item_id", "rank", "score")
+        lists = lists.join(codes.join(allowed.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id_no").alias("item")), "item", "left_semi")
+    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
+    own = materialize(own.join(codes, "item_id").select("user_id", F.col("item_id_no").alias("item"), "weight"), "own")
+    best = best_near(own, materialize(lists, "neighbours"), k)
+    return best.join(codes, best["item"] == codes["item_id_no"]).select("user_id", "item_id", "rank", "score")
 
 
 def _prefixed(prefix: str) -> Callable[[Column], Column]:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 16 << 20
+#: Whether the shuffle files of a query are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -60,10 +62,18 @@ def release(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+    """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+
+    The shuffle files of the write go as soon as it is done; else they would stay until the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
