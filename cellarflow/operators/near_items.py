@@ -50,25 +50,25 @@ def _products(row: np.ndarray, weight: np.ndarray, at: np.ndarray, size: np.ndar
         begin = stop
 
 
-def best_of_rows(row: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray, ...]], k: int, flush: int = FLUSH) -> tuple[np.ndarray, ...]:
+def best_of_rows(row: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray, ...]], k: int, flush: int = FLUSH, most: bool = False) -> tuple[np.ndarray, ...]:
     """The k items of each row with the greatest sums above 0, ties by item, without the row's own: (row, item, rank, score).
 
-    parts are (row, weight, begin, size, items, s): the lists of a row's items, as slices of items and s.
+    most takes an item's greatest product instead of the sum, and leaves out nothing. parts are (row, weight, begin, size, items, s): the lists of a row's items, as slices of items and s.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    size, by = 0, np.maximum if most else np.add
     for part in parts:
         for key, s in _products(*part, flush):
             held.append((key, s))
             size += len(key)
             if size >= flush:
-                held[:] = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                held[:] = [summed(*map(np.concatenate, zip(*held, strict=True)), by)]
                 size = 0
     if not held or not sum(len(key) for key, _ in held):
         return tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, np.float64))
-    key, score = summed(*map(np.concatenate, zip(*held, strict=True)))
+    key, score = summed(*map(np.concatenate, zip(*held, strict=True)), by)
     seen = np.sort(row.astype(np.int64) << 32 | own)
-    fresh = (seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key) & (score > 0)
+    fresh = (score > 0) & (most or seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key)
     key, score = key[fresh], score[fresh]
     of, item = key >> 32, key & 0xFFFFFFFF
     order = np.lexsort((item, -np.floor(score * _UNIT + 0.5), of))
@@ -78,7 +78,7 @@ def best_of_rows(row: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray,
     return of[first], item[first], rank[first], score[first]
 
 
-def _kernel(sent: Broadcast[Lists], k: int, flush: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _kernel(sent: Broadcast[Lists], k: int, flush: int, most: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
@@ -99,7 +99,7 @@ def _kernel(sent: Broadcast[Lists], k: int, flush: int) -> Callable[[Iterator[pa
                 stop = max(begin + 1, int(np.searchsorted(until, until[begin] + flush, side="right")) - 1)
                 p = slice(offsets[begin] - offsets[0], offsets[stop] - offsets[0])
                 parts = [(row[p], weight[p], at[p], size[p], known.item, known.s), (row[p], weight[p], begins[p], sizes[p], other, s)]
-                of, found, rank, score = best_of_rows(row[p], item[p], parts, k, flush)
+                of, found, rank, score = best_of_rows(row[p], item[p], parts, k, flush, most)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(of)), pa.array(found.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(score)], names=["user_id", "item", "rank", "score"]
                 )
@@ -108,9 +108,9 @@ def _kernel(sent: Broadcast[Lists], k: int, flush: int) -> Callable[[Iterator[pa
     return run
 
 
-def best_near(own: DataFrame, near: DataFrame, k: int) -> DataFrame:
+def best_near(own: DataFrame, near: DataFrame, k: int, *, most: bool = False) -> DataFrame:
     """(user_id, item, rank, score): the k items with the greatest sums above 0 of weight * s over the lists of the user's items,
-    ties by item, without the user's own.
+    ties by item, without the user's own; most takes an item's greatest product instead of the sum, and leaves out nothing.
 
     own has user_id, item, weight; near has key, item, s: the list of the item of that number. Items are whole numbers in the
     order of ties. The lists of the items of most users, up to SENT entries, are sent to every task once; the others are joined
@@ -138,4 +138,4 @@ def best_near(own: DataFrame, near: DataFrame, k: int) -> DataFrame:
         lists = near.join(cold, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("item", "s")).alias("near"))
         parts = own.join(lists, own["item"] == lists["key"], "left").select("user_id", "item", "weight", "near")
     packed = parts.groupBy("user_id").agg(F.collect_list(F.struct("item", "weight", "near")).alias("x"))
-    return packed.mapInArrow(_kernel(sent, k, FLUSH), "user_id string, item int, rank int, score double")
+    return packed.mapInArrow(_kernel(sent, k, FLUSH, most), "user_id string, item int, rank int, score double")

@@ -15,12 +15,12 @@ from cellarflow.runtime import materialize
 FLUSH_PAIRS = 2_000_000
 
 
-def summed(key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys in order, and the sum of each."""
+def summed(key: np.ndarray, s: np.ndarray, by: np.ufunc = np.add) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of each, or what else by makes of its values."""
     order = np.argsort(key)
     key, s = key[order], s[order]
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[at], np.add.reduceat(s, at)
+    return key[at], by.reduceat(s, at)
 
 
 def _sums(flush: int = FLUSH_PAIRS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

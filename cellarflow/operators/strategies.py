@@ -135,7 +135,7 @@ def content_fallback(
     among the best of anyone. (An item ahead of another in the list of the tokens that the other shares with a touched item
     has at least its cosine there, and comes first in a tie.) So each touched set meets the short lists of its subsets, and
     a token that a third of all items carry costs no more than any other. Items of more than LISTED_TOKENS tokens have too many
-    subsets; pairs with one of them are compared by their shared tokens.
+    subsets; pairs with one of them are compared by their shared tokens. A set's list then travels to its users' tasks, see near_items.
 
     Sets and tokens are numbers from there on, and their joins go by sorting: a written table of token sets is
     small as a file and many times that as rows, so that its size says nothing of what a broadcast would hold.
@@ -161,20 +161,36 @@ def content_fallback(
         each = f.select(name, F.size(column).alias(n), F.explode(column).alias("token")).hint("merge").join(codes.hint("merge"), "token")
         return materialize(each.groupBy(name, n).agg(F.array_sort(F.collect_list("token_no")).alias("codes")), "coded")
 
-    cold, warm = coded(cold, "item_id", "tokens", "n_cold"), coded(sets, "set_no", "set", "n_warm")
-    listed = cold.where(F.col("n_cold") <= LISTED_TOKENS).select("item_id", "n_cold", F.explode(_subsets("codes")).alias("part"))
-    first = top_k(listed, take, by=("part",), order=(F.asc("n_cold"), F.asc("item_id"))).select("part", "item_id", "n_cold")
+    ids = materialize(_dense_ids(cold.select("item_id"), "item_id", in_order=True), "item_codes")
+    numbered = cold.hint("merge").join(ids.hint("merge"), "item_id").select(F.col("item_id_no").alias("item"), "tokens")
+    cold, warm = coded(numbered, "item", "tokens", "n_cold"), coded(sets, "set_no", "set", "n_warm")
+    listed = cold.where(F.col("n_cold") <= LISTED_TOKENS).select("item", "n_cold", F.explode(_subsets("codes")).alias("part"))
+    first = materialize(top_k(listed, take, by=("part",), order=(F.asc("n_cold"), F.asc("item"))).select("part", "item", "n_cold"), "first")
     parts = warm.where(F.col("n_warm") <= LISTED_TOKENS).select("set_no", "n_warm", F.explode(_subsets("codes")).alias("part"))
-    pairs = parts.hint("merge").join(first.hint("merge"), "part").select("set_no", "item_id", cosine(F.size("part"), F.col("n_warm"), F.col("n_cold")).alias("score"))
+    pairs = _short_lists_met(parts, first, take, cosine)
     if not cold.where(F.col("n_cold") > LISTED_TOKENS).isEmpty() or not warm.where(F.col("n_warm") > LISTED_TOKENS).isEmpty():
         sides = lambda f, *names: f.select(*names, F.explode("codes").alias("token"))
-        met = sides(warm, "set_no", "n_warm").hint("merge").join(sides(cold, "item_id", "n_cold").hint("merge"), "token").where((F.col("n_warm") > LISTED_TOKENS) | (F.col("n_cold") > LISTED_TOKENS))
-        shared = met.groupBy("set_no", "n_warm", "item_id", "n_cold").agg(F.count(F.lit(1)).alias("n"))
-        pairs = pairs.unionByName(shared.select("set_no", "item_id", cosine(F.col("n"), F.col("n_warm"), F.col("n_cold")).alias("score")))
-    best = top_k(pairs.groupBy("set_no", "item_id").agg(F.max("score").alias("score")), take, by=("set_no",), order=(F.desc("score"), F.asc("item_id")))
-    lists = best.groupBy("set_no").agg(F.collect_list(F.struct("item_id", "score")).alias("best"))  # at most take items
-    reach = history.hint("merge").join(lists.hint("merge"), "set_no").select("user_id", "best").repartition("user_id").select("user_id", F.inline("best"))
-    return top_k(reach.groupBy("user_id", "item_id").agg(F.max("score").alias("score")), take).select("user_id", "item_id", "rank", "score")
+        met = sides(warm, "set_no", "n_warm").hint("merge").join(sides(cold, "item", "n_cold").hint("merge"), "token").where((F.col("n_warm") > LISTED_TOKENS) | (F.col("n_cold") > LISTED_TOKENS))
+        shared = met.groupBy("set_no", "n_warm", "item", "n_cold").agg(F.count(F.lit(1)).alias("n"))
+        pairs = pairs.unionByName(shared.select("set_no", "item", cosine(F.col("n"), F.col("n_warm"), F.col("n_cold")).alias("score")))
+    best = top_k(pairs.groupBy("set_no", "item").agg(F.max("score").alias("score")), take, by=("set_no",), order=(F.desc("score"), F.asc("item")))
+    lists = materialize(best.select(F.col("set_no").alias("key"), "item", F.col("score").alias("s")), "lists")  # at most take items a set
+    own = materialize(history.select("user_id", F.col("set_no").alias("item"), F.lit(1.0).alias("weight")), "own")
+    found = best_near(own, lists, take, most=True).hint("merge")
+    return found.join(ids.hint("merge"), found["item"] == ids["item_id_no"]).select("user_id", "item_id", "rank", "score")
+
+
+def _short_lists_met(parts: DataFrame, first: DataFrame, take: int, cosine: Callable) -> DataFrame:
+    """(set_no, item, score): what the sets' subsets find in the short lists, without what cannot be among a set's first take.
+
+    A list of take items makes take items of a set at least as near as its last one, so lists that begin below the
+    highest of these bounds, and items below it, are left out before the lists are joined. Ties with it stay.
+    """
+    heads = first.groupBy("part").agg(F.min("n_cold").alias("n_first"), F.max("n_cold").alias("n_last"), F.count(F.lit(1)).alias("n_list"))
+    to = lambda n: cosine(F.size("part"), F.col("n_warm"), F.col(n))
+    met = parts.hint("merge").join(heads.hint("merge"), "part").withColumns({"begins": to("n_first"), "ends": F.when(F.col("n_list") >= take, to("n_last")).otherwise(F.lit(0.0))})
+    near = met.withColumn("bound", F.max("ends").over(Window.partitionBy("set_no"))).where("begins >= bound").select("set_no", "n_warm", "part", "bound")
+    return near.hint("merge").join(first.hint("merge"), "part").withColumn("score", to("n_cold")).where("score >= bound").select("set_no", "item", "score")
 
 
 def _subsets(column: str) -> Column:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from cellarflow.config import FeatureColumn
 from cellarflow.operators import near_items
 from cellarflow.operators import strategies as S
 from cellarflow.operators.pair_sums import summed
@@ -47,6 +48,19 @@ def grouped(rows) -> dict[str, list]:
     return dict(out)
 
 
+def test_content_lists_are_cut_before_they_are_joined(spark, monkeypatch):
+    """Only subsets whose lists can hold one of a set's first items are met: here the whole set, of three."""
+    met = []
+    real = S._short_lists_met
+    monkeypatch.setattr(S, "_short_lists_met", lambda *a: met.append(real(*a)) or met[-1])
+    items = spark.createDataFrame([(f"i{i:02}", "k", "v") for i in range(30)] + [("j", "k", "w")], "item_id string, kind string, vessel string")
+    x = spark.createDataFrame([(f"u{u}", f"i{u:02}", 1.0, 1) for u in range(4)], "user_id string, item_id string, weight double, last_us long")
+    df = S.content_fallback(x, items, [FeatureColumn("kind"), FeatureColumn("vessel")], 5)
+    assert "MapInArrow" in df._jdf.queryExecution().toString()
+    assert grouped(df.collect()) == {f"u{u}": [(f"i{i:02}", 1.0) for i in range(4, 9)] for u in range(4)}
+    assert met[0].count() == 5
+
+
 def test_summed():
     key, s = summed(np.array([3, 1, 3]), np.array([1.0, 2.0, 4.0]))
     assert list(key) == [1, 3] and list(s) == [2.0, 5.0]
