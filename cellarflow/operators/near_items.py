@@ -17,6 +17,8 @@ from cellarflow.operators.pair_sums import summed
 SENT = 4_000_000
 #: Products held before they are summed.
 FLUSH = 2_000_000
+#: One row per user: numbers of items by rank, and their scores.
+PACKED = "user_id string, items array<int>, scores array<double>"
 _UNIT = 1e9  # scores are compared after rounding to 9 decimals, halves away from 0
 
 
@@ -28,6 +30,7 @@ class Lists:
         self.keys, begin = np.unique(key[order], return_index=True)
         self.bounds = np.append(begin, len(key))
         self.item, self.s = item[order], s[order]
+        self.least = np.minimum.reduceat(self.s, begin) if len(key) else np.empty(0)
 
     def places(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each item's list begins, and its length; 0 for an item without a list here."""
@@ -36,6 +39,13 @@ class Lists:
         at = np.minimum(np.searchsorted(self.keys, items), len(self.keys) - 1)
         return self.bounds[at], np.where(self.keys[at] == items, self.bounds[at + 1] - self.bounds[at], 0)
 
+    def ends(self, items: np.ndarray, k: int) -> np.ndarray:
+        """The least s of each item's list, where that has k entries or more; else 0."""
+        if not len(self.keys):
+            return np.zeros(len(items))
+        at = np.minimum(np.searchsorted(self.keys, items), len(self.keys) - 1)
+        return np.where((self.keys[at] == items) & (self.bounds[at + 1] - self.bounds[at] >= k), self.least[at], 0.0)
+
 
 def _products(row: np.ndarray, weight: np.ndarray, at: np.ndarray, size: np.ndarray, item: np.ndarray, s: np.ndarray, flush: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row << 32 | item, weight * s) for each entry of each row's lists, about flush of them at a time."""
@@ -50,15 +60,18 @@ def _products(row: np.ndarray, weight: np.ndarray, at: np.ndarray, size: np.ndar
         begin = stop
 
 
-def best_of_rows(row: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray, ...]], k: int, flush: int = FLUSH, most: bool = False) -> tuple[np.ndarray, ...]:
+def best_of_rows(row: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray, ...]], k: int, flush: int = FLUSH, most: bool = False, floor: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """The k items of each row with the greatest sums above 0, ties by item, without the row's own: (row, item, rank, score).
 
-    most takes an item's greatest product instead of the sum, and leaves out nothing. parts are (row, weight, begin, size, items, s): the lists of a row's items, as slices of items and s.
+    most takes an item's greatest product instead of the sum, and leaves out nothing; floor is then what k items of each row have at least. parts are (row, weight, begin, size, items, s): the lists of a row's items, as slices of items and s.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size, by = 0, np.maximum if most else np.add
     for part in parts:
         for key, s in _products(*part, flush):
+            if floor is not None:
+                near = s >= floor[key >> 32] - 2 / _UNIT  # what is below the first k is not worth sorting
+                key, s = key[near], s[near]
             held.append((key, s))
             size += len(key)
             if size >= flush:
@@ -78,6 +91,20 @@ def best_of_rows(row: np.ndarray, own: np.ndarray, parts: list[tuple[np.ndarray,
     return of[first], item[first], rank[first], score[first]
 
 
+def packed_lists(users: pa.Array, of: np.ndarray, items: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """PACKED rows of the users with entries; entries come by user, then rank."""
+    rows, begin = np.unique(of, return_index=True)
+    offsets = pa.array(np.append(begin, len(of)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (items.astype(np.int32), scores.astype(np.float64))]
+    return pa.RecordBatch.from_arrays([users.take(pa.array(rows.astype(np.int64))), *lists], names=["user_id", "items", "scores"])
+
+
+def unpacked(lists: DataFrame) -> DataFrame:
+    """PACKED lists as rows (user_id, item, rank, score)."""
+    each = lists.select("user_id", F.posexplode(F.arrays_zip("items", "scores")).alias("_at", "_one"))
+    return each.select("user_id", F.col("_one.items").alias("item"), (F.col("_at") + 1).alias("rank"), F.col("_one.scores").alias("score"))
+
+
 def _kernel(sent: Broadcast[Lists], k: int, flush: int, most: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -93,23 +120,27 @@ def _kernel(sent: Broadcast[Lists], k: int, flush: int, most: bool) -> Callable[
             other, s = inner.field("item").to_numpy(), inner.field("s").to_numpy()
             sizes = np.where(near.is_null().to_numpy(zero_copy_only=False), 0, np.diff(near.offsets.to_numpy())).astype(np.int64)
             begins = np.cumsum(sizes) - sizes
+            floor = None
+            if most:
+                ends, there = known.ends(item, k), np.flatnonzero(sizes)
+                ends[there] = np.where(sizes[there] >= k, np.minimum.reduceat(s, begins[there]), 0.0) if len(there) else 0.0
+                floor = np.zeros(batch.num_rows)
+                np.maximum.at(floor, row, weight * ends)
             until = np.append(0, np.cumsum(size + sizes))[offsets - offsets[0]]  # entries of the lists of the rows before each row
             begin = 0
             while begin < batch.num_rows:
                 stop = max(begin + 1, int(np.searchsorted(until, until[begin] + flush, side="right")) - 1)
                 p = slice(offsets[begin] - offsets[0], offsets[stop] - offsets[0])
                 parts = [(row[p], weight[p], at[p], size[p], known.item, known.s), (row[p], weight[p], begins[p], sizes[p], other, s)]
-                of, found, rank, score = best_of_rows(row[p], item[p], parts, k, flush, most)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(of)), pa.array(found.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(score)], names=["user_id", "item", "rank", "score"]
-                )
+                of, found, _, score = best_of_rows(row[p], item[p], parts, k, flush, most, floor)
+                yield packed_lists(batch.column(0), of, found, score)
                 begin = stop
 
     return run
 
 
 def best_near(own: DataFrame, near: DataFrame, k: int, *, most: bool = False) -> DataFrame:
-    """(user_id, item, rank, score): the k items with the greatest sums above 0 of weight * s over the lists of the user's items,
+    """PACKED lists: the k items with the greatest sums above 0 of weight * s over the lists of the user's items,
     ties by item, without the user's own; most takes an item's greatest product instead of the sum, and leaves out nothing.
 
     own has user_id, item, weight; near has key, item, s: the list of the item of that number. Items are whole numbers in the
@@ -138,4 +169,4 @@ def best_near(own: DataFrame, near: DataFrame, k: int, *, most: bool = False) ->
         lists = near.join(cold, "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("item", "s")).alias("near"))
         parts = own.join(lists, own["item"] == lists["key"], "left").select("user_id", "item", "weight", "near")
     packed = parts.groupBy("user_id").agg(F.collect_list(F.struct("item", "weight", "near")).alias("x"))
-    return packed.mapInArrow(_kernel(sent, k, FLUSH, most), "user_id string, item int, rank int, score double")
+    return packed.mapInArrow(_kernel(sent, k, FLUSH, most), PACKED)

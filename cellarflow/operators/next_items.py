@@ -10,6 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellarflow.operators.near_items import PACKED, packed_lists
+
 #: Entries of a list up to which it travels with each user that it is for; longer lists are sent to every task once.
 SHORT = 32
 #: Entries of all longer lists together up to which they are sent so, 24 bytes each; beyond that the caller joins.
@@ -74,7 +76,7 @@ def _kernel(sent: Broadcast[Longer], fade: float, k: int) -> Callable[[Iterator[
             ends = np.cumsum(lengths)
             inner = short.flatten()
             items, p = inner.field("item").to_numpy(), inner.field("p").to_numpy()
-            users, found, scores, ranks = [], [], [], []
+            users, found, scores = [], [], []
             for u in range(batch.num_rows):
                 own = slice(at[u], at[u + 1])
                 lists = []
@@ -92,16 +94,14 @@ def _kernel(sent: Broadcast[Longer], fade: float, k: int) -> Callable[[Iterator[
                 users.append(np.full(len(got), u))
                 found.append(got)
                 scores.append(score)
-                ranks.append(np.arange(1, len(got) + 1))
             if users:
-                whole = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(whole(users, np.int64)), whole(found, np.int32), whole(ranks, np.int32), whole(scores, np.float64)], names=["user_id", "item", "rank", "score"])
+                yield packed_lists(batch.column(0), *map(np.concatenate, (users, found, scores)))
 
     return run
 
 
 def best_next(own: DataFrame, ends: DataFrame, odds: DataFrame, sizes: DataFrame, k: int, fade: float) -> DataFrame | None:
-    """(user_id, item, rank, score): the k items with the greatest sums of fade^(place - 1) * p over the lists of the user's ends,
+    """PACKED lists: the k items with the greatest sums of fade^(place - 1) * p over the lists of the user's ends,
     ties by item, without those in own. None where the longer lists have more than SENT entries.
 
     own has user_id, item; ends user_id, place (from 1), item; odds has key, item, p: the list of the end of that number; sizes
@@ -118,4 +118,4 @@ def best_next(own: DataFrame, ends: DataFrame, odds: DataFrame, sizes: DataFrame
     parts = ends.join(short, ends["item"] == short["key"], "left").select("user_id", "place", "item", "short")
     parts = parts.unionByName(own.select("user_id", F.lit(0).alias("place"), "item", none.alias("short")))
     packed = parts.groupBy("user_id").agg(F.collect_list(F.struct("place", "item", "short")).alias("x"))
-    return packed.mapInArrow(_kernel(sent, fade, k), "user_id string, item int, rank int, score double")
+    return packed.mapInArrow(_kernel(sent, fade, k), PACKED)

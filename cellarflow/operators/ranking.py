@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,89 @@ def combine_priority(frames: Sequence[DataFrame], k: int) -> DataFrame:
     return top_k(once.drop("_place"), k, order=order).select("user_id", "item_id", "rank", "score", "source")
 
 
+#: Items up to whose number their factors are sent to every task, 8 bytes each.
+SENT_FACTORS = 4_000_000
+
+
+def _by_priority(widths: int, shared: Sequence[tuple[np.ndarray, np.ndarray] | None], labels: Sequence[str], k: int, factors: Broadcast[np.ndarray] | None, top: int) -> Callable:
+    """Rows (user_id, then items and scores of each of widths PACKED lists) to (user_id, item, rank, score, source): lists in the order of
+    shared, where None stands for the next PACKED one and the rest are the same for all users."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            count, held = np.zeros(n, np.int64), np.empty(0, np.int64)
+            took: list[tuple[np.ndarray, ...]] = []
+            column = iter(range(1, 2 * widths, 2))
+            for label, same in enumerate(shared):
+                lacking = count < k
+                if same is None:
+                    c = next(column)
+                    of_user = batch.column(c)
+                    size = np.where(of_user.is_null().to_numpy(zero_copy_only=False), 0, np.diff(of_user.offsets.to_numpy())).astype(np.int64)
+                    row = np.repeat(np.arange(n), size)
+                    item, score = of_user.flatten().to_numpy(), batch.column(c + 1).flatten().to_numpy()
+                    keep = lacking[row]
+                    row, item, score = row[keep], item[keep], score[keep]
+                else:
+                    rows = np.flatnonzero(lacking)
+                    row, item, score = np.repeat(rows, len(same[0])), np.tile(same[0], len(rows)), np.tile(same[1], len(rows))
+                key = row << 32 | item
+                if len(held):
+                    fresh = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] != key
+                    row, item, score, key = row[fresh], item[fresh], score[fresh], key[fresh]
+                keep = count[row] + np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, item, score, key = row[keep], item[keep], score[keep], key[keep]
+                count += np.bincount(row, minlength=n)
+                held = np.sort(np.concatenate([held, key]))
+                took.append((row, item, score, np.full(len(row), label)))
+            row, item, score, label = map(np.concatenate, zip(*took, strict=True))
+            if factors is not None:
+                score = score * factors.value[item]
+                by = np.lexsort((item, -np.sign(score) * np.floor(np.abs(score) * 10**SCORE_DECIMALS + 0.5), row))
+            else:
+                by = np.argsort(row, kind="stable")
+            row, item, score, label = row[by], item[by], score[by], label[by]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            first = rank <= top
+            source = pa.array(list(labels), pa.string()).take(pa.array(label[first]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[first])), pa.array(item[first].astype(np.int32)), pa.array(rank[first].astype(np.int32)), pa.array(score[first]), source],
+                names=["user_id", "item", "rank", "score", "source"],
+            )
+
+    return run
+
+
+def combine_packed(
+    users: DataFrame, lists: Sequence[tuple[str, DataFrame, bool]], codes: DataFrame, k: int, *, factors: DataFrame | None = None, top: int | None = None
+) -> DataFrame:
+    """combine_priority, with factors followed by apply_factors to top rows, of lists by item number: (user_id, item, rank, score, source).
+
+    lists are (source, frame, shared): PACKED ones of different users each, or, where shared, one short ranking (item_id, rank, score)
+    that all of users have. A user is one row, filled and ranked within a task; only lists are shuffled, and none is written out per
+    user. codes numbers all items (item_id, item_id_no); factors (item_id, factor) must have at most SENT_FACTORS numbers.
+    """
+    spark = users.sparkSession
+    same, labels, rows, n = [], [], users.select("user_id").distinct(), 0
+    for label, f, shared in lists:
+        labels.append(label)
+        if shared:
+            short = f.join(codes, "item_id").orderBy("rank").select("item_id_no", "score").collect()  # at most k rows
+            same.append((np.array([r[0] for r in short], np.int32), np.array([r[1] for r in short], np.float64)))
+        else:
+            rows = rows.join(f.select("user_id", F.col("items").alias(f"i{n}"), F.col("scores").alias(f"s{n}")), "user_id", "left")
+            same.append(None)
+            n += 1
+    sent = None
+    if factors is not None:
+        known = factors.join(codes, "item_id").where("factor <> 1").select("item_id_no", F.col("factor")).toArrow()
+        table = np.ones((codes.agg(F.max("item_id_no")).first()[0] or 0) + 1)
+        table[known.column(0).to_numpy()] = known.column(1).to_numpy()
+        sent = spark.sparkContext.broadcast(table)
+    return rows.mapInArrow(_by_priority(n, same, labels, k, sent, top or k), "user_id string, item int, rank int, score double, source string")
+
+
 def combine_fusion(frames: Mapping[str, DataFrame], weights: Mapping[str, float], k: int, rrf_k: float = 60.0) -> DataFrame:
     """Weighted reciprocal rank fusion: sum of weight / (rrf_k + rank) over the named frames.
 

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
 from cellarflow.functions.values import as_list
-from cellarflow.operators.near_items import best_near
+from cellarflow.operators.near_items import best_near, unpacked
 from cellarflow.operators.next_items import best_next
 from cellarflow.operators.pair_sums import pair_sums
 from cellarflow.operators.ranking import days, for_each_user, top_k, union
-from cellarflow.runtime import materialize
+from cellarflow.runtime import broadcast_if_small, materialize
 
 #: Items of a user that one row holds, about; users with more are split into pieces.
 PIECE = 2048
@@ -24,6 +25,38 @@ HISTORY = 50
 _EXACT = 12
 
 
+@dataclass
+class Coded:
+    """Interactions by item number (user_id, item, weight, last_us), and the items' numbers (item_id, item_id_no) in the order of their ids."""
+
+    interactions: DataFrame
+    codes: DataFrame
+
+    def numbers(self, items: DataFrame) -> DataFrame:
+        """The numbers of these items: item."""
+        return self.codes.join(items.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id_no").alias("item"))
+
+    def with_names(self, rows: DataFrame, *, merge: bool = False) -> DataFrame:
+        """The rows with item_id in place of item; merge joins by sorting, however small the codes are."""
+        codes = self.codes.hint("merge") if merge else broadcast_if_small(self.codes, self.codes.count(), 128)
+        return rows.join(codes, rows["item"] == codes["item_id_no"]).select(*("item_id" if c == "item" else c for c in rows.columns))
+
+    def named(self, lists: DataFrame) -> DataFrame:
+        """PACKED lists as rows (user_id, item_id, rank, score)."""
+        return self.with_names(unpacked(lists))
+
+
+def coded_items(interactions: DataFrame, *others: DataFrame) -> Coded:
+    """Numbers for the items of the interactions, and of other frames with an item_id."""
+    codes = item_codes(interactions, *others)
+    return Coded(materialize(interactions.join(codes, "item_id").select("user_id", F.col("item_id_no").alias("item"), "weight", "last_us"), "coded_interactions"), codes)
+
+
+def item_codes(*frames: DataFrame) -> DataFrame:
+    """(item_id, item_id_no) of the items of these frames."""
+    return materialize(_dense_ids(union([f.where("item_id is not null").select("item_id").distinct() for f in frames]).distinct(), "item_id", in_order=True), "item_codes")
+
+
 def popular(interactions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """The k items with most interactions (one per user), whatever their weight: item_id, rank, score."""
     rows = interactions if allowed is None else interactions.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
@@ -63,22 +96,23 @@ def item_neighbours(interactions: DataFrame, neighbours: int = 20) -> DataFrame:
     Each pair of items of a user is made once and summed within its task, see pair_sums; an item's similarity to itself is 1
     and needs no sum. Items are numbered in the order of their ids, so that sums, ties and the cut work on whole numbers.
     """
-    codes, near = _near_numbers(interactions, neighbours)
-    name = lambda c, n: codes.select(F.col("item_id_no").alias(c), F.col("item_id").alias(n))
-    return near.join(name("a", "item_id"), "a").join(name("b", "other_id"), "b").select("item_id", "other_id", F.col("s").alias("similarity"), "place")
+    data = coded_items(interactions)
+    name = lambda c, n: data.codes.select(F.col("item_id_no").alias(c), F.col("item_id").alias(n))
+    near = near_numbers(data, neighbours)
+    return near.join(name("key", "item_id"), "key").join(name("item", "other_id"), "item").select("item_id", "other_id", F.col("s").alias("similarity"), "place")
 
 
-def _near_numbers(interactions: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
-    """Items with their numbers (item_id, item_id_no), and item_neighbours by number: (a, b, s, place)."""
-    vectors = materialize(item_vectors(interactions), "vectors")
-    codes = materialize(_dense_ids(vectors.select("item_id").distinct(), "item_id", in_order=True), "item_codes")
-    entries = vectors.join(codes, "item_id").select(F.col("user_id").alias("group"), F.col("item_id_no").alias("item"), "v", F.col("n_user").alias("n_group"))
+def near_numbers(data: Coded, neighbours: int) -> DataFrame:
+    """item_neighbours by number: (key, item, s, place)."""
+    vectors = materialize(item_vectors(data.interactions.withColumnRenamed("item", "item_id")), "vectors")
+    entries = vectors.select(F.col("user_id").alias("group"), F.col("item_id").alias("item"), "v", F.col("n_user").alias("n_group"))
     largest = vectors.agg(F.coalesce(F.max("n_user"), F.lit(0))).first()[0]
     sums = pair_sums(entries, PIECE, largest)
-    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "s")
-    both = sums.select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).unionByName(codes.select(F.col("item_id_no").alias("a"), F.col("item_id_no").alias("b"), F.lit(1.0).alias("s")))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("s", _EXACT - 3)), "b"))
-    return codes, both.withColumn("place", place).where(F.col("place") <= neighbours)
+    pair = lambda x, y: F.struct(F.col(x).alias("key"), F.col(y).alias("item"), "s")
+    own = vectors.select(F.col("item_id").alias("key")).distinct().select("key", F.col("key").alias("item"), F.lit(1.0).alias("s"))
+    both = sums.select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).unionByName(own)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("s", _EXACT - 3)), "item"))
+    return both.withColumn("place", place).where(F.col("place") <= neighbours)
 
 
 def item_based(
@@ -91,19 +125,20 @@ def item_based(
     of them can be sent to every task. users are those to score; near is what item_neighbours gave, where it was kept.
     """
     if near is None:
-        codes, numbered = _near_numbers(interactions, neighbours)
-        lists = numbered.select(F.col("a").alias("key"), F.col("b").alias("item"), "s")
-    else:
-        names = near.select("item_id").unionByName(near.select(F.col("other_id").alias("item_id"))).distinct()
-        codes = materialize(_dense_ids(names, "item_id", in_order=True), "item_codes")
-        number = lambda c, n: codes.select(F.col("item_id").alias(c), F.col("item_id_no").alias(n))
-        lists = near.join(number("item_id", "key"), "item_id").join(number("other_id", "item"), "other_id").select("key", "item", F.col("similarity").alias("s"))
+        data = coded_items(interactions)
+        return data.named(item_based_lists(data, k, materialize(near_numbers(data, neighbours), "neighbours"), users=users, allowed=allowed))
+    data = coded_items(interactions, near, near.select(F.col("other_id").alias("item_id")))
+    number = lambda c, n: data.codes.select(F.col("item_id").alias(c), F.col("item_id_no").alias(n))
+    lists = near.join(number("item_id", "key"), "item_id").join(number("other_id", "item"), "other_id").select("key", "item", F.col("similarity").alias("s"))
+    return data.named(item_based_lists(data, k, materialize(lists, "neighbours"), users=users, allowed=allowed))
+
+
+def item_based_lists(data: Coded, k: int, near: DataFrame, *, users: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """item_based as PACKED lists; near has key, item, s."""
     if allowed is not None:
-        lists = lists.join(codes.join(allowed.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id_no").alias("item")), "item", "left_semi")
-    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    own = materialize(own.join(codes, "item_id").select("user_id", F.col("item_id_no").alias("item"), "weight"), "own")
-    best = best_near(own, materialize(lists, "neighbours"), k)
-    return best.join(codes, best["item"] == codes["item_id_no"]).select("user_id", "item_id", "rank", "score")
+        near = materialize(near.join(data.numbers(allowed), "item", "left_semi"), "near_allowed")
+    own = data.interactions if users is None else materialize(data.interactions.join(users, "user_id", "left_semi"), "own")
+    return best_near(own.select("user_id", "item", "weight"), near.select("key", "item", "s"), k)
 
 
 def _prefixed(prefix: str) -> Callable[[Column], Column]:
@@ -140,18 +175,26 @@ def content_fallback(
     Sets and tokens are numbers from there on, and their joins go by sorting: a written table of token sets is
     small as a file and many times that as rows, so that its size says nothing of what a broadcast would hold.
     """
+    data = coded_items(interactions, items)
+    return data.with_names(unpacked(content_lists(data, items, features, k, max_rows=max_rows, users=users, allowed=allowed)), merge=True)
+
+
+def content_lists(
+    data: Coded, items: DataFrame, features: Sequence[FeatureColumn], k: int, *, max_rows: int = 50, users: DataFrame | None = None, allowed: DataFrame | None = None
+) -> DataFrame:
+    """content_fallback as PACKED lists; data must have numbers of all items."""
     take = min(k, max_rows)
-    tokens = materialize(item_tokens(items, features), "tokens")
-    touched = interactions.select("item_id").distinct()
-    cold = tokens.join(touched, "item_id", "left_anti")
+    named = item_tokens(items, features)
+    tokens = materialize(named.join(data.codes, "item_id").select(F.col("item_id_no").alias("item"), "tokens"), "tokens")
+    cold = tokens.join(data.interactions.select("item").distinct(), "item", "left_anti")
     if allowed is not None:
-        cold = cold.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
-    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    recent = materialize(top_k(own, HISTORY, order=(F.desc("last_us"), F.asc("item_id"))).select("user_id", "item_id"), "recent")
-    of_items = recent.select("item_id").distinct().hint("merge").join(tokens.hint("merge"), "item_id").select("item_id", F.array_sort("tokens").alias("set"))
+        cold = cold.join(data.numbers(allowed), "item", "left_semi")
+    own = data.interactions if users is None else data.interactions.join(users, "user_id", "left_semi")
+    recent = materialize(top_k(own, HISTORY, order=(F.desc("last_us"), F.asc("item"))).select("user_id", "item"), "recent")
+    of_items = recent.select("item").distinct().hint("merge").join(tokens.hint("merge"), "item").select("item", F.array_sort("tokens").alias("set"))
     sets = materialize(_dense_ids(of_items.select("set").distinct(), "set"), "warm_sets")
-    numbers = of_items.hint("merge").join(sets.hint("merge"), "set").select("item_id", "set_no")
-    history = recent.hint("merge").join(numbers.hint("merge"), "item_id").select("user_id", "set_no").distinct()
+    numbers = of_items.hint("merge").join(sets.hint("merge"), "set").select("item", "set_no")
+    history = recent.hint("merge").join(numbers.hint("merge"), "item").select("user_id", "set_no").distinct()
     cosine = lambda n, a, b: F.round(n / F.sqrt((a * b).cast("double")), _EXACT)
 
     codes = materialize(_dense_ids(cold.select(F.explode("tokens").alias("token")).distinct(), "token"), "token_codes")
@@ -161,9 +204,7 @@ def content_fallback(
         each = f.select(name, F.size(column).alias(n), F.explode(column).alias("token")).hint("merge").join(codes.hint("merge"), "token")
         return materialize(each.groupBy(name, n).agg(F.array_sort(F.collect_list("token_no")).alias("codes")), "coded")
 
-    ids = materialize(_dense_ids(cold.select("item_id"), "item_id", in_order=True), "item_codes")
-    numbered = cold.hint("merge").join(ids.hint("merge"), "item_id").select(F.col("item_id_no").alias("item"), "tokens")
-    cold, warm = coded(numbered, "item", "tokens", "n_cold"), coded(sets, "set_no", "set", "n_warm")
+    cold, warm = coded(cold, "item", "tokens", "n_cold"), coded(sets, "set_no", "set", "n_warm")
     listed = cold.where(F.col("n_cold") <= LISTED_TOKENS).select("item", "n_cold", F.explode(_subsets("codes")).alias("part"))
     first = materialize(top_k(listed, take, by=("part",), order=(F.asc("n_cold"), F.asc("item"))).select("part", "item", "n_cold"), "first")
     parts = warm.where(F.col("n_warm") <= LISTED_TOKENS).select("set_no", "n_warm", F.explode(_subsets("codes")).alias("part"))
@@ -176,8 +217,7 @@ def content_fallback(
     best = top_k(pairs.groupBy("set_no", "item").agg(F.max("score").alias("score")), take, by=("set_no",), order=(F.desc("score"), F.asc("item")))
     lists = materialize(best.select(F.col("set_no").alias("key"), "item", F.col("score").alias("s")), "lists")  # at most take items a set
     own = materialize(history.select("user_id", F.col("set_no").alias("item"), F.lit(1.0).alias("weight")), "own")
-    found = best_near(own, lists, take, most=True).hint("merge")
-    return found.join(ids.hint("merge"), found["item"] == ids["item_id_no"]).select("user_id", "item_id", "rank", "score")
+    return best_near(own, lists, take, most=True)
 
 
 def _short_lists_met(parts: DataFrame, first: DataFrame, take: int, cosine: Callable) -> DataFrame:
@@ -218,27 +258,44 @@ def sequential(
 
     A counting baseline, not a neural model: an architecture of that kind needs a library that is not here.
     """
-    moves = materialize(transitions(interactions), "moves") if moves is None else moves
+    frames = [] if moves is None else [moves.select(F.col(c).alias("item_id")) for c in ("from_id", "to_id")]
+    data = coded_items(interactions, *frames)
+    if moves is not None:
+        number = lambda c: data.codes.select(F.col("item_id").alias(c), F.col("item_id_no").alias(f"{c}_no"))
+        moves = moves.join(number("from_id"), "from_id").join(number("to_id"), "to_id").select(F.col("from_id_no").alias("from_id"), F.col("to_id_no").alias("to_id"), "n")
+    return data.named(sequential_lists(data, k, moves, last=last, fade=fade, fan_out=fan_out, users=users, allowed=allowed))
+
+
+def sequential_lists(
+    data: Coded, k: int, moves: DataFrame | None = None, *, last: int = 3, fade: float = 0.5, fan_out: int | None = None, users: DataFrame | None = None,
+    allowed: DataFrame | None = None,
+) -> DataFrame:
+    """sequential as PACKED lists; moves is transitions by number."""
+    moves = materialize(move_numbers(data), "moves") if moves is None else moves
     total = moves.groupBy("from_id").agg(F.sum("n").alias("n_from"))
     often = moves if fan_out is None else top_k(moves, fan_out, by=("from_id",), order=(F.desc("n"), F.asc("to_id")))
     odds = often.join(total, "from_id").select("from_id", "to_id", (F.col("n") / F.col("n_from")).alias("p"))
     if allowed is not None:
-        odds = odds.join(allowed.select(F.col("item_id").alias("to_id")).distinct(), "to_id", "left_semi")
-    own = interactions if users is None else interactions.join(users, "user_id", "left_semi")
-    names = union([own.select("item_id"), odds.select(F.col("from_id").alias("item_id")), odds.select(F.col("to_id").alias("item_id"))]).distinct()
-    codes = materialize(_dense_ids(names, "item_id", in_order=True), "item_codes")
-    coded = materialize(own.join(codes, "item_id").select("user_id", F.col("item_id_no").alias("item"), "last_us"), "own")
-    number = lambda c, n: codes.select(F.col("item_id").alias(c), F.col("item_id_no").alias(n))
-    odds = materialize(odds.join(number("from_id", "key"), "from_id").join(number("to_id", "item"), "to_id").select("key", "item", "p"), "odds")
+        odds = odds.join(data.numbers(allowed).withColumnRenamed("item", "to_id"), "to_id", "left_semi")
+    odds = materialize(odds.select(F.col("from_id").alias("key"), F.col("to_id").alias("item"), "p"), "odds")
+    own = data.interactions.select("user_id", "item", "last_us")
+    own = own if users is None else materialize(own.join(users, "user_id", "left_semi"), "own")
     sizes = odds.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    ends = top_k(coded, last, order=(F.desc("last_us"), F.desc("item"))).select("user_id", F.col("rank").alias("place"), "item")
-    best = best_next(coded, ends, odds, sizes, k, fade)
+    ends = top_k(own, last, order=(F.desc("last_us"), F.desc("item"))).select("user_id", F.col("rank").alias("place"), "item")
+    best = best_next(own, ends, odds, sizes, k, fade)
     if best is None:
         reach = ends.join(odds.withColumnRenamed("item", "to"), ends["item"] == odds["key"])
         scored = reach.groupBy("user_id", F.col("to").alias("item")).agg(F.sum(F.pow(F.lit(fade), F.col("place") - 1) * F.col("p")).alias("score"))
-        fresh = scored.join(coded.select("user_id", "item"), ["user_id", "item"], "left_anti")
-        best = top_k(fresh, k, order=(F.desc(F.round("score", 9)), F.asc("item")))
-    return best.join(codes, best["item"] == codes["item_id_no"]).select("user_id", "item_id", "rank", "score")
+        fresh = scored.join(own.select("user_id", "item"), ["user_id", "item"], "left_anti")
+        ranked = top_k(fresh, k, order=(F.desc(F.round("score", 9)), F.asc("item")))
+        packed = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("x"))
+        best = packed.select("user_id", F.col("x.item").alias("items"), F.col("x.score").alias("scores"))
+    return best
+
+
+def move_numbers(data: Coded) -> DataFrame:
+    """transitions by number: (from_id, to_id, n)."""
+    return transitions(data.interactions.withColumnRenamed("item", "item_id"))
 
 
 def fit_collaborative(

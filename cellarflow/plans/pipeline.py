@@ -18,6 +18,7 @@ from cellarflow.operators import interactions as I
 from cellarflow.operators import ranking as R
 from cellarflow.operators import strategies as S
 from cellarflow.operators.lookup import item_snapshot
+from cellarflow.operators.near_items import PACKED
 from cellarflow.runtime import materialize
 from cellarflow.schemas import nan_to_null, newest_rows
 from cellarflow.sources.tables import Store
@@ -53,8 +54,21 @@ class Dataset:
     as_of_us: int
     fitted: dict[str, DataFrame] = field(default_factory=dict)
     _lists: dict[str, DataFrame] = field(default_factory=dict)
+    _coded: S.Coded | None = None
     _scored: dict[bool, DataFrame] = field(default_factory=dict)
 
+    @property
+    def coded(self) -> S.Coded:
+        """The interactions by item number, with numbers for the items of the items table too; numbers that fit left are used again."""
+        if self._coded is None:
+            if "item_codes" in self.fitted:
+                codes = self.fitted["item_codes"]
+                x = self.interactions.join(codes, "item_id").select("user_id", F.col("item_id_no").alias("item"), "weight", "last_us")
+                self._coded = S.Coded(materialize(x, "coded_interactions"), codes)
+            else:
+                self._coded = S.coded_items(self.interactions, *([self.items] if self.items is not None else []))
+        return self._coded
+
     def scored(self, strategy: str) -> DataFrame:
         """The target users that a personalized strategy has something to say of: with interactions, or, where it needs no
         history, with a feature."""
@@ -88,8 +102,8 @@ def build_dataset(events: DataFrame, users: DataFrame | None, items: DataFrame |
 
 #: What fit keeps of each strategy; the others read the interactions or the items, which are kept with it.
 _LEARNED: dict[str, Callable[[Dataset, JobSettings], dict[str, DataFrame]]] = {
-    "item_based": lambda d, job: {"neighbours": S.item_neighbours(d.interactions, job.neighbours)},
-    "sequential": lambda d, job: {"transitions": S.transitions(d.interactions)},
+    "item_based": lambda d, job: {"neighbours": S.near_numbers(d.coded, job.neighbours), "item_codes": d.coded.codes},
+    "sequential": lambda d, job: {"transitions": S.move_numbers(d.coded), "item_codes": d.coded.codes},
     "collaborative": lambda d, job: S.fit_collaborative(d.interactions, user_features=d.user_features, item_features=d.item_features),
 }
 
@@ -99,7 +113,8 @@ def fit(data: Dataset, models: Sequence[str], job: JobSettings) -> Dataset:
     for name in models:
         if name in _LEARNED and (name not in PERSONALIZED or not data.scored(name).isEmpty()):
             for table, df in _LEARNED[name](data, job).items():
-                data.fitted.setdefault(table, materialize(df, table))
+                if table not in data.fitted:
+                    data.fitted[table] = df if table == "item_codes" else materialize(df, table)
     return data
 
 
@@ -109,35 +124,60 @@ def allowed_items(data: Dataset, config: FeatureConfig) -> DataFrame | None:
     return item_snapshot(data.items, flags).where("is_available").select("item_id") if flags else None
 
 
+#: Strategies whose lists come by item number, one row per user, and those with one list for all users.
+_PACKED, _SHARED = ("item_based", "content_fallback", "sequential"), ("popular", "latest")
+
+
+def shared_list(name: str, data: Dataset, job: JobSettings, k: int, allowed: DataFrame | None) -> DataFrame:
+    """(item_id, rank, score) of a strategy that says the same to everyone."""
+    if name not in data._lists:
+        x = data.interactions
+        rows = S.popular(x, k, allowed) if name == "popular" else S.latest(x, k, window_days=job.latest_days, not_after_us=data.as_of_us, allowed=allowed)
+        data._lists[name] = materialize(rows, name)
+    return data._lists[name]
+
+
+def packed_list(name: str, data: Dataset, config: FeatureConfig, job: JobSettings, k: int, allowed: DataFrame | None) -> DataFrame:
+    """PACKED lists of a strategy for the users that it knows something of; none where there are no such users."""
+    if name not in data._lists:
+        users, f = data.scored(name), data.fitted
+        if name == "content_fallback" and data.items is None and not users.isEmpty():
+            raise ConfigError("content_fallback needs the items table")
+        if users.isEmpty():
+            rows = data.interactions.sparkSession.createDataFrame([], PACKED)
+        elif name == "item_based":
+            near = f["neighbours"] if "neighbours" in f else materialize(S.near_numbers(data.coded, job.neighbours), "neighbours")
+            rows = S.item_based_lists(data.coded, k, near, users=users, allowed=allowed)
+        elif name == "content_fallback":
+            rows = S.content_lists(data.coded, data.items, config.item_features, k, max_rows=job.content_rows, users=users, allowed=allowed)
+        else:
+            rows = S.sequential_lists(data.coded, k, f.get("transitions"), users=users, allowed=allowed)
+        data._lists[name] = materialize(rows, name)
+    return data._lists[name]
+
+
 def strategy_list(name: str, data: Dataset, config: FeatureConfig, job: JobSettings, k: int, allowed: DataFrame | None) -> DataFrame:
     """(user_id, item_id, rank, score, source) of one strategy. A personalized one scores only the users it knows something
     of, and does nothing where there are none."""
-    if name in data._lists:
-        return data._lists[name]
     x, f = data.interactions, data.fitted
-    users = data.scored(name) if name in PERSONALIZED else data.targets
-    if name in PERSONALIZED and users.isEmpty():
-        rows = x.sparkSession.createDataFrame([], "user_id string, item_id string, rank int, score double")
-    elif name == "popular":
-        rows = S.to_users(users, S.popular(x, k, allowed))
-    elif name == "latest":
-        rows = S.to_users(users, S.latest(x, k, window_days=job.latest_days, not_after_us=data.as_of_us, allowed=allowed))
-    elif name == "item_based":
-        rows = S.item_based(x, k, neighbours=job.neighbours, users=users, allowed=allowed, near=f.get("neighbours"))
-    elif name == "content_fallback":
-        if data.items is None:
-            raise ConfigError("content_fallback needs the items table")
-        rows = S.content_fallback(x, data.items, config.item_features, k, max_rows=job.content_rows, users=users, allowed=allowed)
-    elif name == "sequential":
-        rows = S.sequential(x, k, users=users, allowed=allowed, moves=f.get("transitions"))
-    elif name == "collaborative":
-        kept = {n: f[n] for n in ("user_factors", "item_factors")} if "item_factors" in f else None
-        options = {} if kept else {"user_features": data.user_features, "item_features": data.item_features}
-        rows = S.collaborative(x, k, users=users, allowed=allowed, fitted=kept, **options)
+    if name in _SHARED:
+        rows = S.to_users(data.targets, shared_list(name, data, job, k, allowed))
+    elif name in _PACKED:
+        rows = data.coded.named(packed_list(name, data, config, job, k, allowed))
+    elif name in data._lists:
+        rows = data._lists[name]
     else:
-        rows = S.REGISTRY[name](x, k)
-    data._lists[name] = materialize(rows.withColumn("source", F.lit(SOURCE_LABELS.get(name, name))), name)
-    return data._lists[name]
+        users = data.scored(name) if name in PERSONALIZED else data.targets
+        if name in PERSONALIZED and users.isEmpty():
+            rows = x.sparkSession.createDataFrame([], "user_id string, item_id string, rank int, score double")
+        elif name == "collaborative":
+            kept = {n: f[n] for n in ("user_factors", "item_factors")} if "item_factors" in f else None
+            options = {} if kept else {"user_features": data.user_features, "item_features": data.item_features}
+            rows = S.collaborative(x, k, users=users, allowed=allowed, fitted=kept, **options)
+        else:
+            rows = S.REGISTRY[name](x, k)
+        rows = data._lists[name] = materialize(rows, name)
+    return rows.withColumn("source", F.lit(SOURCE_LABELS.get(name, name)))
 
 
 def recommend(data: Dataset, config: FeatureConfig, job: JobSettings) -> DataFrame:
@@ -146,6 +186,13 @@ def recommend(data: Dataset, config: FeatureConfig, job: JobSettings) -> DataFra
     plan = run_plan(job.models, content_fallback=job.content_fallback, blending=b.enabled)
     k = job.top_k * config.boost_overfetch if config.boosts else job.top_k
     allowed = allowed_items(data, config)
+    by_number = not b.enabled and job.model_weights is None and set(plan) <= {*_PACKED, *_SHARED}
+    if by_number and data.coded.codes.count() <= R.SENT_FACTORS:
+        packed = [
+            (SOURCE_LABELS[m], shared_list(m, data, job, k, allowed) if m in _SHARED else packed_list(m, data, config, job, k, allowed), m in _SHARED) for m in plan
+        ]
+        factors = R.boost_factors(data.items, config.boosts) if config.boosts and data.items is not None else None
+        return data.coded.with_names(R.combine_packed(data.targets, packed, data.coded.codes, k, factors=factors, top=job.top_k))
     lists = {m: strategy_list(m, data, config, job, k, allowed) for m in plan}
     if b.enabled:
         column = R.usable_date_column(data.items, b.latest_date_columns) if data.items is not None else None
