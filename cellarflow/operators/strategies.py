@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cellarflow.config import FeatureColumn
 from cellarflow.functions.values import as_list
-from cellarflow.operators.near_items import best_near, unpacked
+from cellarflow.operators import factor_lists
+from cellarflow.operators.near_items import PACKED, best_near, unpacked
 from cellarflow.operators.next_items import best_next
 from cellarflow.operators.pair_sums import pair_sums
 from cellarflow.operators.ranking import days, for_each_user, top_k, union
@@ -41,6 +42,11 @@ class Coded:
         codes = self.codes.hint("merge") if merge else broadcast_if_small(self.codes, self.codes.count(), 128)
         return rows.join(codes, rows["item"] == codes["item_id_no"]).select(*("item_id" if c == "item" else c for c in rows.columns))
 
+    def with_numbers(self, rows: DataFrame) -> DataFrame:
+        """The rows with the item's number for item_id."""
+        codes = self.codes.withColumnRenamed("item_id", "_name")
+        return rows.join(codes, rows["item_id"] == codes["_name"]).select(*(F.col("item_id_no").alias("item_id") if c == "item_id" else c for c in rows.columns))
+
     def named(self, lists: DataFrame) -> DataFrame:
         """PACKED lists as rows (user_id, item_id, rank, score)."""
         return self.with_names(unpacked(lists))
@@ -335,8 +341,9 @@ def collaborative(
     """The k items not touched yet (any items, where unseen is false) with the highest scores of implicit ALS; fitted is what fit_collaborative gave, where it was
     kept, else it is fitted with the options here.
 
-    Items not allowed are left out before scoring and each user asks for k and at least as many as they have seen, so k
-    unseen items remain if there are so many. users are those to score. Scores are the model's and not comparable with
+    Items not allowed are left out before scoring, and items seen before the cut, so k unseen items remain if there are so many. Factors of items
+    are sent to every task and read by length, see factor_lists; where they are too large for that, ALS multiplies all and each user asks for k
+    and at least as many as they have seen. users are those to score. Scores are the model's and not comparable with
     other strategies.
     """
     fitted = {n: materialize(f, n) for n, f in fit_collaborative(interactions, **options).items()} if fitted is None else fitted
@@ -353,6 +360,14 @@ def collaborative(
     most = people.agg(F.max("n")).first()[0]
     if not n_items or most is None:
         return top_k(interactions.select("user_id", "item_id", F.lit(0.0).alias("score")).limit(0), k).select("user_id", "item_id", "rank", "score")
+    if n_items * width <= factor_lists.SENT:
+        rows = items.orderBy("item_id").select("no", "features").toArrow()  # in the order of ids, by which ties go
+        features = rows.column("features").combine_chunks().flatten().to_numpy().reshape(n_items, width)
+        sent = people.sparkSession.sparkContext.broadcast(factor_lists.Factors(rows.column("no").to_numpy(), features))
+        met = interactions.join(items.select("item_id", "no"), "item_id").groupBy("user_id").agg(F.collect_list("no").alias("seen"))
+        best = unpacked(people.join(met, "user_id", "left").select("user_id", "features", "seen").mapInArrow(factor_lists.kernel(sent, k), PACKED))
+        names = broadcast_if_small(items.select(F.col("no").alias("item"), "item_id"), n_items, 128)
+        return best.join(names, "item").select("user_id", "item_id", "rank", "score")
     scorer = _als_model(width, people, items)
     low, high, bands = -1, 16, []
     while low < most:  # a user of a band asks for k and as many as anyone in it has seen: a few bands up to the most

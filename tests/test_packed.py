@@ -2,9 +2,11 @@ import random
 from dataclasses import replace
 from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 
 from cellarflow.config import SHOP, BoostRule, JobSettings
+from cellarflow.operators import factor_lists
 from cellarflow.operators import ranking as R
 from cellarflow.operators import strategies as S
 from cellarflow.operators.near_items import PACKED, unpacked
@@ -53,3 +55,22 @@ def test_shared_lists_are_not_written_per_user(spark, monkeypatch):
     rows = pipeline.recommend(pipeline.build_dataset(events, None, items, config, int(NOW.timestamp() * 1e6), 90.0), config, job)
     assert rows.count() == 13 * 2
     assert written["popular"].count() == 6 and written["item_based"].count() <= 13
+
+
+@pytest.mark.parametrize("blocks", [(256, 1024, 8192), (7, 20, 50)])
+def test_collaborative_reads_factors_by_length(spark, monkeypatch, blocks):
+    """The same items as all products give, ties by id, and not all factors are read; nothing is asked for beyond k."""
+    for name, n in zip(("USERS", "FIRST", "ITEMS"), blocks, strict=True):
+        monkeypatch.setattr(factor_lists, name, n)
+    monkeypatch.setattr(S, "_als_model", lambda *a: 1 / 0)
+    rng = np.random.default_rng(4)
+    users, items = rng.normal(size=(30, 4)).astype(np.float32), (rng.normal(size=(400, 4)) * rng.pareto(1.5, size=(400, 1))).astype(np.float32)
+    items[50:60] = items[5]  # ties
+    frame = lambda f, c: spark.createDataFrame([(f"{c}{n:03}", n, [float(x) for x in v]) for n, v in enumerate(f)], f"{c}_id string, no int, features array<float>").withColumnRenamed("u_id", "user_id").withColumnRenamed("i_id", "item_id")
+    seen = [(f"u{u:03}", f"i{i:03}", 1.0, 1) for u in range(20) for i in rng.choice(400, u * 3, replace=False)]
+    x = spark.createDataFrame(seen, "user_id string, item_id string, weight double, last_us long")
+    got = sorted((r.user_id, r["rank"], r.item_id) for r in S.collaborative(x, 5, fitted={"user_factors": frame(users, "u"), "item_factors": frame(items, "i")}).collect())
+    known = {(u, i) for u, i, *_ in seen}
+    score = users.astype(float) @ items.astype(float).T
+    best = lambda u: sorted((-round(score[u, i], 9), f"i{i:03}") for i in range(400) if (f"u{u:03}", f"i{i:03}") not in known)[:5]
+    assert got == [(f"u{u:03}", n + 1, i) for u in range(30) for n, (_, i) in enumerate(best(u))]
