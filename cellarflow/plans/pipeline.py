@@ -18,7 +18,7 @@ from cellarflow.operators import interactions as I
 from cellarflow.operators import ranking as R
 from cellarflow.operators import strategies as S
 from cellarflow.operators.lookup import item_snapshot
-from cellarflow.operators.near_items import PACKED
+from cellarflow.operators.near_items import PACKED, unpacked
 from cellarflow.runtime import materialize
 from cellarflow.schemas import nan_to_null, newest_rows
 from cellarflow.sources.tables import Store
@@ -156,15 +156,19 @@ def packed_list(name: str, data: Dataset, config: FeatureConfig, job: JobSetting
     return data._lists[name]
 
 
-def strategy_list(name: str, data: Dataset, config: FeatureConfig, job: JobSettings, k: int, allowed: DataFrame | None) -> DataFrame:
-    """(user_id, item_id, rank, score, source) of one strategy. A personalized one scores only the users it knows something
-    of, and does nothing where there are none."""
+def strategy_list(name: str, data: Dataset, config: FeatureConfig, job: JobSettings, k: int, allowed: DataFrame | None, *, by_number: bool = False) -> DataFrame:
+    """(user_id, item_id, rank, score, source) of one strategy; by_number has the item's number for its id. A personalized one
+    scores only the users it knows something of, and does nothing where there are none."""
     x, f = data.interactions, data.fitted
+    numbered = data.coded.with_numbers if by_number else lambda rows: rows
     if name in _SHARED:
-        rows = S.to_users(data.targets, shared_list(name, data, job, k, allowed))
+        rows = S.to_users(data.targets, numbered(shared_list(name, data, job, k, allowed)))
     elif name in _PACKED:
-        rows = data.coded.named(packed_list(name, data, config, job, k, allowed))
-    elif name in data._lists:
+        rows = unpacked(packed_list(name, data, config, job, k, allowed))
+        rows = rows.withColumnRenamed("item", "item_id") if by_number else data.coded.with_names(rows)
+    elif by_number and f"{name} by number" in data._lists:
+        rows = data._lists[f"{name} by number"]
+    elif not by_number and name in data._lists:
         rows = data._lists[name]
     else:
         users = data.scored(name) if name in PERSONALIZED else data.targets
@@ -176,24 +180,25 @@ def strategy_list(name: str, data: Dataset, config: FeatureConfig, job: JobSetti
             rows = S.collaborative(x, k, users=users, allowed=allowed, fitted=kept, **options)
         else:
             rows = S.REGISTRY[name](x, k)
-        rows = data._lists[name] = materialize(rows, name)
+        rows = data._lists[f"{name} by number" if by_number else name] = materialize(numbered(rows), name)
     return rows.withColumn("source", F.lit(SOURCE_LABELS.get(name, name)))
 
 
-def recommend(data: Dataset, config: FeatureConfig, job: JobSettings) -> DataFrame:
-    """The final rows: strategies by plan, combined by blend, fusion or priority, boosted and cut to top_k."""
+def recommend(data: Dataset, config: FeatureConfig, job: JobSettings, *, by_number: bool = False) -> DataFrame:
+    """The final rows: strategies by plan, combined by blend, fusion or priority, boosted and cut to top_k. by_number, for runs without
+    blend and boosts, has the item's number, which is in the order of ids, for its id."""
     b = config.blending
     plan = run_plan(job.models, content_fallback=job.content_fallback, blending=b.enabled)
     k = job.top_k * config.boost_overfetch if config.boosts else job.top_k
     allowed = allowed_items(data, config)
-    by_number = not b.enabled and job.model_weights is None and set(plan) <= {*_PACKED, *_SHARED}
-    if by_number and data.coded.codes.count() <= R.SENT_FACTORS:
+    if not b.enabled and job.model_weights is None and set(plan) <= {*_PACKED, *_SHARED} and data.coded.codes.count() <= R.SENT_FACTORS:
         packed = [
             (SOURCE_LABELS[m], shared_list(m, data, job, k, allowed) if m in _SHARED else packed_list(m, data, config, job, k, allowed), m in _SHARED) for m in plan
         ]
         factors = R.boost_factors(data.items, config.boosts) if config.boosts and data.items is not None else None
-        return data.coded.with_names(R.combine_packed(data.targets, packed, data.coded.codes, k, factors=factors, top=job.top_k))
-    lists = {m: strategy_list(m, data, config, job, k, allowed) for m in plan}
+        rows = R.combine_packed(data.targets, packed, data.coded.codes, k, factors=factors, top=job.top_k)
+        return rows.withColumnRenamed("item", "item_id") if by_number else data.coded.with_names(rows)
+    lists = {m: strategy_list(m, data, config, job, k, allowed, by_number=by_number) for m in plan}
     if b.enabled:
         column = R.usable_date_column(data.items, b.latest_date_columns) if data.items is not None else None
         shared = R.latest_by_date(data.items, as_time(data.items, column), k, allowed) if column else None
@@ -224,13 +229,24 @@ def backtest(
         raise ConfigError("no fold has events on both sides")
     raw = clean.withColumn("occurred_at", F.timestamp_micros("t"))
     parts = {f: E.split(raw, f) for f in folds}
-    data = {f: build_dataset(parts[f][0], users, items, config, f.start_us, job.half_life_days) for f in folds}
-    truth = {f: materialize(I.build_interactions(parts[f][1], config, f.end_us, job.half_life_days), "truth") for f in folds}
+    by_number = not config.boosts and not config.blending.enabled  # names are not needed to judge by
+    codes = S.item_codes(clean, *([items] if items is not None else []))  # the same for all folds
+
+    def prepared(f: E.Fold) -> tuple[Dataset, DataFrame]:
+        """All learn from everyone, but only users of the truth are judged, so only they get lists."""
+        one = build_dataset(parts[f][0], users, items, config, f.start_us, job.half_life_days)
+        truth = I.build_interactions(parts[f][1], config, f.end_us, job.half_life_days)
+        truth = materialize(S.Coded(truth, codes).with_numbers(truth) if by_number else truth, "truth")
+        one.targets = materialize(one.targets.join(truth.select("user_id"), "user_id", "left_semi"), "judged")
+        one.fitted["item_codes"] = codes
+        return one, truth
+
+    ready = dict(zip(folds, E.side_by_side(prepared, folds), strict=True))
 
     def rows(c: E.Candidate, f: E.Fold) -> DataFrame:
-        return recommend(data[f], config, with_candidate(job, c))
+        return recommend(ready[f][0], config, with_candidate(job, c), by_number=by_number)
 
-    return E.evaluate(folds, candidates, rows, lambda f: truth[f], job.top_k)
+    return E.evaluate(folds, candidates, rows, lambda f: ready[f][1], job.top_k)
 
 
 def with_candidate(job: JobSettings, c: E.Candidate) -> JobSettings:

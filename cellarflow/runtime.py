@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ BROADCAST_LIMIT_BYTES = 16 << 20
 #: Whether the shuffle files of a query are deleted when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
+_LOCK, _WRITING, _BEFORE = threading.Lock(), [], []
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,6 +65,23 @@ def release(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_dir(spark)}/cellarflow/{_RUN}")
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP while at least one thread is in here, then what was set before the first came."""
+    with _LOCK:
+        if not _WRITING:
+            _BEFORE[:] = [spark.conf.get(CLEANUP, None)]
+            spark.conf.set(CLEANUP, "true")
+        _WRITING.append(1)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING.pop()
+            if not _WRITING:
+                spark.conf.unset(CLEANUP) if _BEFORE[0] is None else spark.conf.set(CLEANUP, _BEFORE[0])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
@@ -68,12 +89,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

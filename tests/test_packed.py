@@ -11,6 +11,7 @@ from cellarflow.operators import ranking as R
 from cellarflow.operators import strategies as S
 from cellarflow.operators.near_items import PACKED, unpacked
 from cellarflow.plans import pipeline
+from cellarflow.runtime import CLEANUP
 
 NOW = datetime(2026, 4, 1, tzinfo=UTC)
 
@@ -74,3 +75,15 @@ def test_collaborative_reads_factors_by_length(spark, monkeypatch, blocks):
     score = users.astype(float) @ items.astype(float).T
     best = lambda u: sorted((-round(score[u, i], 9), f"i{i:03}") for i in range(400) if (f"u{u:03}", f"i{i:03}") not in known)[:5]
     assert got == [(f"u{u:03}", n + 1, i) for u in range(30) for n, (_, i) in enumerate(best(u))]
+
+
+def test_backtest_scores_only_judged_users(spark, monkeypatch):
+    """Users without an event in the fold's test get no list; the metrics are those of all lists, the setting of writes is left as it was."""
+    events, items = _shop(spark)
+    scored = []
+    real = pipeline.S.item_based_lists
+    monkeypatch.setattr(pipeline.S, "item_based_lists", lambda *a, **k: scored.append(k["users"]) or real(*a, **k))
+    job = JobSettings(top_k=2, folds=1, fold_days=2)
+    (_, m), = pipeline.backtest(events, None, items, SHOP, job, [pipeline.E.Candidate(("item_based", "popular"))], int(NOW.timestamp() * 1e6))
+    assert [sorted(r.user_id for r in u.collect()) for u in scored] == [["u3"]]  # new has events in the test alone
+    assert 0 <= m["MAP@2"] <= 1 and spark.conf.get(CLEANUP, None) is None
