@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from threading import Lock
-from typing import TypeVar
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarflow.config import STRATEGIES, ConfigError, check_weights, positive
 from cellarflow.functions.times import DAY_US
+from cellarflow.runtime import cleaned
 
-T = TypeVar("T")
-FOLDS_AT_ONCE = 2
 METRICS = ("MAP", "NDCG", "Recall", "Precision")
 
 
@@ -141,27 +137,17 @@ def without_sequential(candidates: Sequence[Candidate], median_items: float | No
     return keep
 
 
-def side_by_side(f: Callable[[Fold], T], folds: Sequence[Fold]) -> list[T]:
-    """f of each fold, in their order, FOLDS_AT_ONCE at a time."""
-    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
-        return list(pool.map(f, folds))
-
-
 def evaluate(
     folds: Sequence[Fold], candidates: Sequence[Candidate], recommend: Callable[[Candidate, Fold], DataFrame], truth: Callable[[Fold], DataFrame], k: int
 ) -> list[tuple[Candidate, dict[str, float]]]:
     """The mean over folds of each candidate's metrics. The candidates of a fold are judged by one aggregation; one row per fold
-    and candidate reaches the driver. FOLDS_AT_ONCE folds run side by side, so that one's small steps fill what another leaves idle."""
+    and candidate reaches the driver."""
     sums = [{f"{name}@{k}": 0.0 for name in METRICS} for _ in candidates]
 
-    one = Lock()  # the largest plan by far: never two of them at once on the driver
-
-    def judged(f: Fold) -> list:
+    for f in folds:
         rows = [recommend(c, f).select("user_id", "item_id", "rank", F.lit(i).alias("candidate")) for i, c in enumerate(candidates)]
-        with one:
-            return metrics_by_candidate(reduce(DataFrame.unionByName, rows), truth(f), k).collect()
-
-    for found in side_by_side(judged, folds):
+        with cleaned(rows[0].sparkSession):
+            found = metrics_by_candidate(reduce(DataFrame.unionByName, rows), truth(f), k).collect()
         for r in found:
             for name in METRICS:
                 sums[r["candidate"]][f"{name}@{k}"] += float(r[name.lower()])

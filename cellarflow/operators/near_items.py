@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarflow.operators.pair_sums import summed
+from cellarflow.runtime import cleaned
 
 #: Entries of all lists together that are sent to every task, 12 bytes each, those of the items of most users first; the
 #: other lists travel with the rows that they are for.
@@ -151,7 +152,9 @@ def best_near(own: DataFrame, near: DataFrame, k: int, *, most: bool = False) ->
     spark = own.sparkSession
     uses = own.groupBy("item").agg(F.floor(F.log2(F.count(F.lit(1)).cast("double"))).alias("bin"))
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    bins = uses.join(sizes, uses["item"] == sizes["key"]).groupBy("bin").agg(F.sum("size").alias("n")).orderBy(F.desc("bin")).collect()  # 64 rows at most
+    bins = uses.join(sizes, uses["item"] == sizes["key"]).groupBy("bin").agg(F.sum("size").alias("n")).orderBy(F.desc("bin"))
+    with cleaned(spark):
+        bins = bins.collect()  # 64 rows at most
     least, total = None, 0
     for r in bins:
         total += r["n"]

@@ -241,7 +241,7 @@ def backtest(
         one.fitted["item_codes"] = codes
         return one, truth
 
-    ready = dict(zip(folds, E.side_by_side(prepared, folds), strict=True))
+    ready = {f: prepared(f) for f in folds}
 
     def rows(c: E.Candidate, f: E.Fold) -> DataFrame:
         return recommend(ready[f][0], config, with_candidate(job, c), by_number=by_number)

@@ -66,7 +66,7 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
+def cleaned(spark: SparkSession) -> Iterator[None]:
     """CLEANUP while at least one thread is in here, then what was set before the first came."""
     with _LOCK:
         if not _WRITING:
@@ -89,7 +89,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    with _cleaned(spark):
+    with cleaned(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
